@@ -44,9 +44,7 @@ def search_symbols(symbols: DataFrame, files: DataFrame, term: str, languages: l
         hits = ranked_scan(symbols, term, key="symbol_id", columns=SYMBOL_COLUMNS, carry=carry)
         order = [F.col("score"), F.col("symbol_id")]
     else:
-        hits = symbols.filter(
-            text.like_ci(F.col("name"), term) | text.like_ci(F.coalesce("signature", F.lit("")), term)
-        ).select("symbol_id", *carry)
+        hits = like_symbols(symbols, term).select("symbol_id", *carry)
         order = [F.col("name"), F.col("symbol_id")]
         limit = 100
     if not languages:
@@ -55,6 +53,11 @@ def search_symbols(symbols: DataFrame, files: DataFrame, term: str, languages: l
     return located.orderBy(*order).limit(limit)
 
 
+def like_symbols(symbols: DataFrame, term: str) -> DataFrame:
+    return symbols.filter(
+        text.like_ci(F.col("name"), term) | text.like_ci(F.coalesce("signature", F.lit("")), term))
+
+
 def first_symbol(symbols: DataFrame, name: str) -> DataFrame:
     """The symbol a name stands for: the first of that exact name (at most one row)."""
     return symbols.filter(F.col("name") == name).orderBy("symbol_id").limit(1)
