@@ -54,20 +54,18 @@ def phrase_count(token_array: Column, phrase: list[str]) -> Column:
     """How often the phrase occurs in the token array (overlaps counted)."""
     if len(phrase) == 1:
         return F.size(token_array) - F.size(F.array_remove(token_array, F.lit(phrase[0])))
-    last_start = F.size(token_array) - len(phrase)
 
-    def starts_here(i: Column) -> Column:
-        here = F.get(token_array, i) == phrase[0]
-        for offset, word in enumerate(phrase[1:], start=1):
-            here = here & (F.get(token_array, i + offset) == word)
+    def starts_here(word: Column, i: Column) -> Column:
+        here = word == phrase[0]
+        for offset, later in enumerate(phrase[1:], start=1):
+            here = here & (F.get(token_array, i + offset) == later)
         return here
 
-    hits = F.size(F.filter(F.sequence(F.lit(0), last_start), starts_here))
-    # The sequence is walked only where every word is there at all.
-    present = last_start >= 0
-    for word in phrase:
+    # Most documents lack one of the words and are not walked at all.
+    present = F.array_contains(token_array, phrase[0])
+    for word in phrase[1:]:
         present = present & F.array_contains(token_array, word)
-    return F.when(present, hits).otherwise(0)
+    return F.when(present, F.size(F.filter(token_array, starts_here))).otherwise(0)
 
 
 def lines(text: Column) -> Column:
@@ -110,7 +108,7 @@ def collapse_spaces(text: Column) -> Column:
 
 def human_bytes(size: Column) -> Column:
     """Base 1024, one decimal, no trailing zero: 0 B, 1.5 KB, 2 MB."""
-    power = F.least(F.lit(3), F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)))))
+    power = F.least(F.lit(3), F.floor(F.log(1024.0, F.greatest(size, F.lit(1)))))
     value = F.round(size / F.pow(F.lit(1024.0), power), 1)
     number = F.regexp_replace(F.format_number(value, 1), r"\.0$|,", "")
     unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), (power + 1).cast("int"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodebook.sources.ignore import (
-    DEFAULT_PATTERNS, IGNORE_FILES, compile_rules, ignored, path_ignored,
+    DEFAULT_PATTERNS, IGNORE_FILES, compile_rules, entry_ignored, ignored,
 )
 from lodebook.sources.languages import detect_language, included
 
@@ -38,8 +38,8 @@ class FileTreeReader(DataSourceReader):
         self.max_size = int(options.get("maxfilesize", MAX_FILE_SIZE))
         self.links = options.get("followsymlinks", "false") == "true"
         self.rules = [
-            (re.compile(regex, re.S), negated)
-            for regex, negated in compile_rules(options.get("ignore", "").split("\n"))
+            (re.compile(rule.regex, re.S), rule)
+            for rule in compile_rules(options.get("ignore", "").split("\n"))
         ]
 
     def _names(self):
@@ -49,9 +49,10 @@ class FileTreeReader(DataSourceReader):
             with os.scandir(os.path.join(self.root, folder)) as entries:
                 for entry in sorted(entries, key=lambda e: e.name):
                     name = f"{folder}/{entry.name}".lstrip("/")
-                    if path_ignored(name, self.rules):
+                    is_folder = entry.is_dir(follow_symlinks=False)
+                    if entry_ignored(name, is_folder, self.rules):
                         continue
-                    if entry.is_dir(follow_symlinks=False):
+                    if is_folder:
                         pending.append(name)
                     elif entry.is_file(follow_symlinks=False) or (
                         self.links and entry.is_symlink() and entry.is_file()

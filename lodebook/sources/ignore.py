@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,11 +27,14 @@ vendor/** Pods/** .gradle/** .idea/** .vscode/** .vs/**
 """.split()
 
 
-def rule_regex(pattern: str) -> tuple[str, bool] | None:
-    """(regex over the relative path, negated) for one line, or None for a blank one.
+class IgnoreRule(NamedTuple):
+    regex: str
+    negated: bool
+    folders_only: bool
 
-    The regex also matches everything below a matched folder.
-    """
+
+def ignore_rule(pattern: str) -> IgnoreRule | None:
+    """The rule of one line as a regex over a path, or None for a blank line or comment."""
     line = pattern.rstrip("\r\n")
     line = re.sub(r"(?<!\\)\s+$", "", line)
     if not line or line.startswith("#"):
@@ -69,38 +72,52 @@ def rule_regex(pattern: str) -> tuple[str, bool] | None:
             body += re.escape(line[i])
             i += 1
     prefix = "" if anchored else "(?:.*/)?"
-    below = "/.*" if folder_only else "(?:/.*)?"
-    return f"^{prefix}{body}{below}$", negated
+    return IgnoreRule(f"^{prefix}{body}$", negated, folder_only)
 
 
-def compile_rules(patterns: list[str]) -> list[tuple[str, bool]]:
-    return [rule for rule in map(rule_regex, patterns) if rule]
+def compile_rules(patterns: list[str]) -> list[IgnoreRule]:
+    return [rule for rule in map(ignore_rule, patterns) if rule]
 
 
-def _runs(rules: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
-    """Neighbouring rules of the same sign as one alternation each."""
-    merged: list[tuple[list[str], bool]] = []
-    for regex, negated in rules:
-        if merged and merged[-1][1] == negated:
-            merged[-1][0].append(regex)
+def _runs(rules: list[IgnoreRule]) -> list[IgnoreRule]:
+    """Neighbouring rules of the same sort as one alternation each."""
+    merged: list[IgnoreRule] = []
+    for rule in rules:
+        if merged and merged[-1][1:] == rule[1:]:
+            merged[-1] = merged[-1]._replace(regex=f"{merged[-1].regex}|{rule.regex}")
         else:
-            merged.append(([regex], negated))
-    return [("|".join(f"(?:{r})" for r in regexes), negated) for regexes, negated in merged]
+            merged.append(rule)
+    return merged
 
 
 def ignored(relative_path: Column, patterns: list[str]) -> Column:
-    """The last rule that matches decides; a negated rule brings the file back."""
-    return reduce(
-        lambda before, run: F.when(relative_path.rlike(run[0]), F.lit(not run[1])).otherwise(before),
-        _runs(compile_rules(patterns)),
-        F.lit(False),
-    )
-
-
-def path_ignored(relative_path: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
-    """The same decision for one name, used while a listing descends a tree."""
-    verdict = False
-    for regex, negated in rules:
-        if regex.match(relative_path):
-            verdict = not negated
-    return verdict
+    """Whether a file or any folder above it is ignored.
+
+    On each level the last rule that matches decides, and a negated rule keeps the entry;
+    nothing brings back what lies in an ignored folder.
+    """
+    runs = _runs(compile_rules(patterns))
+    parts = F.split(relative_path, "/")
+    levels = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), (i < F.size(parts)).alias("folder")))
+
+    def verdict(level: Column) -> Column:
+        result = F.lit(False)
+        for run in runs:
+            hit = level["path"].rlike(run.regex)
+            if run.folders_only:
+                hit = hit & level["folder"]
+            result = F.when(hit, F.lit(not run.negated)).otherwise(result)
+        return result
+
+    return F.exists(levels, verdict)
+
+
+def entry_ignored(relative_path: str, is_folder: bool, rules: list[tuple[re.Pattern, IgnoreRule]]) -> bool:
+    """The decision for one entry of a listing that never enters an ignored folder."""
+    decision = False
+    for regex, rule in rules:
+        if (is_folder or not rule.folders_only) and regex.match(relative_path):
+            decision = not rule.negated
+    return decision
