@@ -28,7 +28,7 @@ def affected_files(files: DataFrame, edges: DataFrame, name: str, symbol_id, own
     as well, its distinct lines count instead.
     """
     by_edge = edge_references(edges, name, symbol_id).join(files.select("file_id", "relative_path"), "file_id")
-    by_text = mention_lines(files.filter(F.col("file_id") != own_file_id), name).filter(F.size("lines") > 0)
+    by_text = mention_lines(files.filter(F.col("file_id") != own_file_id), name)
     merged = by_edge.withColumnRenamed("relative_path", "edge_path").join(by_text, "file_id", "full")
     lines = (
         F.when(F.col("edge_lines").isNull(), F.col("lines"))
@@ -116,7 +116,7 @@ def with_risk(total: DataFrame, name: Column, kind: Column) -> DataFrame:
 
 def unindexed(files: DataFrame, name: str) -> DataFrame:
     """Affected files of a name that is no symbol: all files whose lines hold it."""
-    found = mention_lines(files, name).filter(F.size("lines") > 0)
+    found = mention_lines(files, name)
     return describe_files(found.select("file_id", F.col("relative_path").alias("path"), "lines"))
 
 

@@ -70,13 +70,16 @@ def score_counts(counted: DataFrame, match: Match, key: str, carry: list[str],
             F.when(F.col("hit"), F.lit(-1))
             .otherwise(F.pmod(F.xxhash64(key), F.lit(REST_GROUPS))).alias("rest_group"),
             *[F.when(F.col("hit"), F.col(c)).alias(c) for c in [key, *carry]],
+            "hit",
             "doc_length",
             *names,
         )
         .groupBy("rest_group", key, *carry)
         .agg(
-            # One packed column: both readers below need all of it, so they share the shuffle.
+            # One packed column, the mark of a hit included: both readers below need all of it
+            # and no filter moves below the shuffle, so they share it.
             F.struct(
+                F.max("hit").alias("hit"),
                 F.count(F.lit(1)).alias("docs"),
                 F.sum("doc_length").alias("doc_length"),
                 *[F.sum(n).alias(n) for n in names],
@@ -94,7 +97,7 @@ def score_counts(counted: DataFrame, match: Match, key: str, carry: list[str],
     ).scalar()
     scored_names = [names[i] for i in match.scored]
     return (
-        grouped.filter(F.col("rest_group") == -1)
+        grouped.filter("packed.hit")
         .withColumn("corpus", corpus)
         .select(
             key,
@@ -142,6 +145,11 @@ def like_files(files: DataFrame, term: str, limit: int = 100, languages: list[st
     )
 
 
+def has_word(content: Column, word: str) -> Column:
+    """Whether the text holds a token; the substring test spares most texts the tokens."""
+    return text.fold(content).contains(word) & F.array_contains(text.tokens(content), word)
+
+
 def snippet(content: Column, phrase: list[str], width: int = 32) -> Column:
     """The words around the first hit, the hit marked, cut ends shown by dots."""
     words = F.regexp_extract_all(content, F.lit(text.TOKEN_PATTERN), F.lit(0))

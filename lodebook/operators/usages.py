@@ -23,22 +23,19 @@ def is_usage(line: Column, name: str) -> Column:
 def usage_lines(files: DataFrame, name: str) -> DataFrame:
     """file_id, relative_path, lines: the numbers of the lines that use the symbol.
 
-    A plain substring test keeps most texts from being split; the lines are found inside
-    the row, so nothing is shuffled.
+    No shape spans lines, so a text has such a line exactly if the whole text passes the
+    test: texts without one are never split, and nothing is shuffled.
     """
-    return (
-        files.filter(F.col("content").contains(name))
-        .select("file_id", "relative_path", text.line_numbers(F.col("content"), lambda l: is_usage(l, name)).alias("lines"))
-        .filter(F.size("lines") > 0)
-    )
+    return files.filter(F.col("content").contains(name) & is_usage(F.col("content"), name)).select(
+        "file_id", "relative_path",
+        text.line_numbers(F.col("content"), lambda line: is_usage(line, name)).alias("lines"))
 
 
 def mention_lines(files: DataFrame, name: str) -> DataFrame:
     """file_id, relative_path, lines that hold the name anywhere."""
-    return (
-        files.filter(F.col("content").contains(name))
-        .select("file_id", "relative_path", text.line_numbers(F.col("content"), lambda l: l.contains(name)).alias("lines"))
-    )
+    return files.filter(F.col("content").contains(name)).select(
+        "file_id", "relative_path",
+        text.line_numbers(F.col("content"), lambda line: line.contains(name)).alias("lines"))
 
 
 def candidate_files(files: DataFrame, symbols: DataFrame, name: str, languages: list[str] | None = None,

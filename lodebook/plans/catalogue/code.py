@@ -1 +1,330 @@
-QUERIES = {}
+"""Extraction, call resolution, graph and impact over a code tree written from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodebook.operators import extraction, graph, impact, related, resolve
+from lodebook.operators import symbols as symbol_ops
+from lodebook.plans.catalogue.texts import joined
+from lodebook.session import materialize
+from lodebook.sources import codetree
+from lodebook.sources.tables import document_files, page_files
+
+SYMBOL = ["file_id", "name", "type", "line_start", "line_end", "signature"]
+CALL = ["file_id", "callee_name", "call_type", "line_number", "column_number"]
+
+
+def symbols_in(files):
+    def query(spark, sf):
+        return extraction.symbols_of(extraction.find_matches(files(spark, sf))).select(*SYMBOL)
+
+    return query
+
+
+def calls_in(files):
+    def query(spark, sf):
+        return extraction.calls_of(extraction.find_matches(files(spark, sf))).select(*CALL)
+
+    return query
+
+
+def class_members(spark, sf):
+    """Classes of the Python and TypeScript files with methods and properties in their metadata."""
+    files = codetree.python_files(spark, sf).unionByName(codetree.typescript_files(spark, sf))
+    matches = materialize(extraction.find_matches(files), "matches", ["kind"])
+    symbols = extraction.symbols_of(matches)
+    merged = extraction.with_members(symbols, extraction.class_members(matches, symbols))
+    return merged.filter(F.col("type") == "class").select(
+        "name", F.get_json_object("metadata", "$.methods").alias("methods"),
+        F.get_json_object("metadata", "$.properties").alias("properties"),
+        F.get_json_object("metadata", "$.bases").alias("bases"))
+
+
+def imports_exports(spark, sf):
+    found = extraction.imports_exports_of(extraction.find_matches(codetree.all_files(spark, sf)))
+    return found.select(
+        "file_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"))
+
+
+def comments(spark, sf):
+    return extraction.comments_of(extraction.find_matches(codetree.typescript_files(spark, sf)))
+
+
+def nested_symbols(spark, sf):
+    """The structure of every Python file, as text."""
+    symbols = extraction.symbols_of(extraction.find_matches(codetree.python_files(spark, sf)))
+    category = F.explode("structure").alias("category", "details")
+    return extraction.structure_of(symbols).select("file_id", category).select(
+        "file_id", "category",
+        F.array_join(F.transform("details", lambda d: F.concat_ws(":", d["name"], d["line"].cast("string"), d["signature"])), "; ").alias("details"))
+
+
+def symbols_of_pages(spark, sf):
+    found = extraction.symbols_of(extraction.find_matches(page_files(spark, sf)))
+    return found.select("file_id", "name", "type", "line_start", "line_end", "signature")
+
+
+def calls_of_pages(spark, sf):
+    return extraction.calls_of(extraction.find_matches(page_files(spark, sf))).select(*CALL)
+
+
+def generic_matches_documents(spark, sf):
+    """Comments and calls in prose, counted per document and kind."""
+    found = extraction.find_matches(document_files(spark, sf).withColumn("language", F.lit(None).cast("string")))
+    return found.groupBy("file_id", "kind").agg(
+        F.count(F.lit(1)).alias("matches"), F.sum("line").cast("long").alias("line_sum"))
+
+
+def tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, edges) of the code tree; symbols and edges are written once."""
+    files = codetree.all_files(spark, sf)
+    matches = materialize(extraction.find_matches(files), "matches", ["kind"])
+    symbols = materialize(extraction.symbols_of(matches), "symbols")
+    edges = materialize(resolve.call_graph(extraction.calls_of(matches), symbols), "edges")
+    return files, symbols, edges
+
+
+def callers(spark, sf):
+    matches = materialize(extraction.find_matches(codetree.all_files(spark, sf)), "matches", ["kind"])
+    symbols = materialize(extraction.symbols_of(matches), "symbols")
+    made = resolve.callers_of(extraction.calls_of(matches), symbols)
+    names = symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
+    return made.join(names, "caller_symbol_id", "left").select(
+        "file_id", "callee_name", "call_type", "line_number", "caller")
+
+
+def callees(spark, sf):
+    _, symbols, edges = tree(spark, sf)
+    names = symbols.select(F.col("symbol_id").alias("callee_symbol_id"), F.col("name").alias("resolved_name"))
+    return edges.filter("callee_symbol_id IS NOT NULL").join(names, "callee_symbol_id").select(
+        "caller_file_id", "callee_name", "line_number", "call_type", "callee_file_id", "resolved_name")
+
+
+def busiest_customer(spark, sf) -> str:
+    """The customer function named by most orders: the hub of the graph."""
+    row = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(
+        F.col("n").desc(), "o_custkey").first()
+    return f"customer_{row.o_custkey}"
+
+
+def dep_outgoing(spark, sf):
+    files, symbols, edges = tree(spark, sf)
+    name = busiest_customer(spark, sf)
+    root = symbol_ops.first_symbol(symbols, name).first()
+    return graph.outgoing(edges, symbols, files, root.symbol_id).drop("callee_symbol_id")
+
+
+def dep_incoming(spark, sf):
+    files, symbols, edges = tree(spark, sf)
+    name = busiest_customer(spark, sf)
+    root = symbol_ops.first_symbol(symbols, name).first()
+    return graph.incoming(edges, symbols, files, name, root.symbol_id).drop("caller_symbol_id")
+
+
+def _impact(spark, sf):
+    files, symbols, edges = tree(spark, sf)
+    name = busiest_customer(spark, sf)
+    root = symbol_ops.first_symbol(symbols, name).first()
+    affected = impact.affected_files(files, edges, name, root.symbol_id, root.file_id)
+    return root, symbols, edges, affected
+
+
+def impact_files(spark, sf):
+    _, _, _, affected = _impact(spark, sf)
+    return affected.select("path", "reference_count", joined(F.col("lines")).alias("lines"), "is_test", "category")
+
+
+def impact_risk(spark, sf):
+    root, symbols, edges, affected = _impact(spark, sf)
+    callers_count = impact.symbols_affected(edges, symbols, root.name, root.symbol_id).agg(
+        F.count(F.lit(1)).alias("n")).scalar()
+    scored = impact.with_risk(impact.totals(affected), F.lit(root.name), F.lit(root.type))
+    return scored.select(
+        "direct_references", "files_affected", "tests_affected", "implementation", "tests", "configs", "other",
+        "risk_level", F.array_join("risk_factors", "|").alias("risk_factors"),
+        F.array_join("suggestions", "|").alias("suggestions"), callers_count.alias("symbols_affected"))
+
+
+def call_graph_tree(spark, sf):
+    _, symbols, edges = tree(spark, sf)
+    name = busiest_customer(spark, sf).replace("customer_", "Customer") + ".load"
+    start = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min("o_orderkey").alias("k")).first().k
+    pairs = graph.named_edges(edges, symbols)
+    return graph.neighbourhood(pairs, f"ship_{start}", 2).unionByName(graph.neighbourhood(pairs, name, 0))
+
+
+def import_targets(spark, sf):
+    """Files each import of the tree points to, at most five per import."""
+    matches = materialize(extraction.find_matches(codetree.all_files(spark, sf)), "matches", ["kind"])
+    imports = extraction.imports_exports_of(matches).select(F.explode("imports").alias("import")).distinct()
+    return related.import_targets(imports, codetree.all_files(spark, sf))
+
+
+# -- SQL ------------------------------------------------------------------------------------
+
+O = "'src/orders/order_' || o_orderkey || '.py'"
+C = "'src/customers/customer_' || c_custkey || '.ts'"
+S = "'src/suppliers/Supplier' || s_suppkey || '.java'"
+P = "'src/parts/part_' || p_partkey || '_test.go'"
+
+PY_SYMBOLS = f"""
+SELECT {O} AS file_id, 'total' AS name, 'method' AS type, 8 AS line_start, 10 AS line_end, 'def total(self, rate=1) -> float' AS signature FROM orders
+UNION ALL SELECT {O}, 'ship_' || o_orderkey, 'function', 11, 12, 'async def ship_' || o_orderkey || '(x)' FROM orders
+UNION ALL SELECT {O}, 'Order' || o_orderkey, 'class', 4, 10, 'class Order' || o_orderkey || '(Base)' FROM orders"""
+TS_SYMBOLS = f"""
+SELECT {C} AS file_id, 'Customer' || c_custkey || '.load' AS name, 'method' AS type, 5 AS line_start, 7 AS line_end, 'static async load()' AS signature FROM customer
+UNION ALL SELECT {C}, 'Customer' || c_custkey, 'class', 3, 8, 'class Customer' || c_custkey || ' extends Base' FROM customer
+UNION ALL SELECT {C}, 'customer_' || c_custkey, 'function', 9, 11, 'const customer_' || c_custkey || ' = (rate) => ...' FROM customer"""
+JAVA_SYMBOLS = f"""
+SELECT {S} AS file_id, 'quote' AS name, 'function' AS type, 3 AS line_start, 7 AS line_end, 'public int quote(int qty) {{' AS signature FROM supplier
+UNION ALL SELECT {S}, 'Supplier' || s_suppkey, 'class', 2, 6, 'public class Supplier' || s_suppkey FROM supplier"""
+GO_SYMBOLS = f"""
+SELECT {P} AS file_id, 'Part' || p_partkey AS name, 'function' AS type, 3 AS line_start, 5 AS line_end, 'func Part' || p_partkey || '(size int) int' AS signature FROM part
+UNION ALL SELECT {P}, 'Box' || p_partkey, 'class', 6, 8, 'type Box' || p_partkey || ' struct {{' FROM part"""
+
+# file_id, callee_name, call_type, line_number, column_number, caller
+PY_CALLS = f"""
+SELECT {O} AS file_id, 'Base' AS callee_name, 'function' AS call_type, 4 AS line_number, 0 AS column_number, 'x' AS caller FROM orders WHERE false
+UNION ALL SELECT {O}, 'Order' || o_orderkey, 'function', 4, 7, 'Order' || o_orderkey FROM orders
+UNION ALL SELECT {O}, 'Order' || o_orderkey, 'constructor', 4, 7, 'Order' || o_orderkey FROM orders
+UNION ALL SELECT {O}, 'total', 'function', 8, 9, 'total' FROM orders
+UNION ALL SELECT {O}, 'dump', 'function', 9, 19, 'total' FROM orders
+UNION ALL SELECT {O}, 'js.dump', 'method', 9, 16, 'total' FROM orders
+UNION ALL SELECT {O}, 'customer_' || o_custkey, 'function', 9, 24, 'total' FROM orders
+UNION ALL SELECT {O}, 'ship_' || o_orderkey, 'function', 11, 11, 'ship_' || o_orderkey FROM orders
+UNION ALL SELECT {O}, 'Order' || o_orderkey, 'function', 12, 12, 'ship_' || o_orderkey FROM orders
+UNION ALL SELECT {O}, 'Order' || o_orderkey, 'constructor', 12, 12, 'ship_' || o_orderkey FROM orders
+UNION ALL SELECT {O}, 'total', 'function', 12, 12 + length('Order' || o_orderkey) + 4, 'ship_' || o_orderkey FROM orders"""
+TS_CALLS = f"""
+SELECT {C} AS file_id, 'nation_' || c_nationkey AS callee_name, 'function' AS call_type, 6 AS line_number, 11 AS column_number,
+       'Customer' || c_custkey || '.load' AS caller FROM customer
+UNION ALL SELECT {C}, 'Customer' || c_custkey, 'constructor', 10, 9, 'customer_' || c_custkey FROM customer"""
+JAVA_CALLS = f"""
+SELECT {S} AS file_id, 'quote' AS callee_name, 'function' AS call_type, 4 AS line_number, 16 AS column_number, 'quote' AS caller FROM supplier
+UNION ALL SELECT {S}, 'rate_' || s_nationkey, 'function', 5, 16, 'quote' FROM supplier"""
+GO_CALLS = f"""
+SELECT {P} AS file_id, 'Part' || p_partkey AS callee_name, 'function' AS call_type, 3 AS line_number, 6 AS column_number, 'Part' || p_partkey AS caller FROM part
+UNION ALL SELECT {P}, 'check', 'function', 4, 10, 'Part' || p_partkey FROM part"""
+ALL_CALLS = f"calls AS ({PY_CALLS} UNION ALL {TS_CALLS} UNION ALL {JAVA_CALLS} UNION ALL {GO_CALLS})"
+PLAIN_CALLS = "SELECT file_id, callee_name, call_type, line_number, column_number FROM"
+
+# Where a callee is found: the own file first, else the file that defines the name.
+RESOLVED = f"""
+{ALL_CALLS}, defined AS (
+  SELECT file_id, name, regexp_extract(name, '[^.]+$') AS last, CASE WHEN contains(name, '.') THEN 1 ELSE 0 END AS dotted
+  FROM (({PY_SYMBOLS}) UNION ALL ({TS_SYMBOLS}) UNION ALL ({JAVA_SYMBOLS}) UNION ALL ({GO_SYMBOLS}))),
+own AS (SELECT file_id, last, arg_min(name, dotted) AS name FROM defined GROUP BY ALL),
+anywhere AS (SELECT last, min(file_id) AS file_id, count(DISTINCT file_id) AS files FROM own GROUP BY last),
+resolved AS (
+  SELECT c.*, coalesce(o.file_id, a.file_id) AS callee_file_id, coalesce(o.name, ao.name) AS resolved_name
+  FROM calls c
+  LEFT JOIN own o ON o.file_id = c.file_id AND o.last = regexp_extract(c.callee_name, '[^.]+$')
+  LEFT JOIN anywhere a ON a.last = regexp_extract(c.callee_name, '[^.]+$')
+  LEFT JOIN own ao ON ao.file_id = a.file_id AND ao.last = a.last)"""
+HUB = "hub AS (SELECT o_custkey AS k FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+IMPACT = f"""
+{HUB}, affected AS (
+  SELECT {O} AS path, CAST(2 AS BIGINT) AS reference_count, '2,9' AS lines, false AS is_test, 'implementation' AS category
+  FROM orders, hub WHERE o_custkey = k
+  UNION ALL
+  SELECT {O}, CAST(2 AS BIGINT), '2,9', false, 'implementation' FROM orders, hub
+  WHERE o_custkey <> k AND starts_with(CAST(o_custkey AS VARCHAR), CAST(k AS VARCHAR))
+  UNION ALL
+  SELECT {C}, CAST(2 AS BIGINT), '2,9', false, 'implementation' FROM customer, hub
+  WHERE c_custkey <> k AND starts_with(CAST(c_custkey AS VARCHAR), CAST(k AS VARCHAR)))"""
+
+QUERIES = {
+    "extract_python_symbols": (symbols_in(codetree.python_files), PY_SYMBOLS),
+    "extract_typescript_symbols": (symbols_in(codetree.typescript_files), TS_SYMBOLS),
+    "extract_java_symbols": (symbols_in(codetree.java_files), JAVA_SYMBOLS),
+    "extract_go_symbols": (symbols_in(codetree.go_files), GO_SYMBOLS),
+    "extract_python_calls": (calls_in(codetree.python_files), f"{PLAIN_CALLS} ({PY_CALLS})"),
+    "extract_typescript_calls": (calls_in(codetree.typescript_files), f"{PLAIN_CALLS} ({TS_CALLS})"),
+    "extract_java_go_calls": (
+        calls_in(lambda spark, sf: codetree.java_files(spark, sf).unionByName(codetree.go_files(spark, sf))),
+        f"{PLAIN_CALLS} ({JAVA_CALLS} UNION ALL {GO_CALLS})"),
+    "extract_class_members": (class_members, """
+SELECT 'Order' || o_orderkey AS name, '["total"]' AS methods, '["status"]' AS properties, '["Base"]' AS bases FROM orders
+UNION ALL SELECT 'Customer' || c_custkey, '["load"]', '["segment"]', NULL FROM customer"""),
+    "extract_imports_exports": (imports_exports, f"""
+SELECT {O} AS file_id, 'os,json,customers' AS imports, '' AS exports FROM orders
+UNION ALL SELECT {C}, './base', 'Customer' || c_custkey || ',default' FROM customer
+UNION ALL SELECT {S}, 'java.util.List', 'suppliers' FROM supplier"""),
+    "extract_comments": (comments, f"""
+SELECT {C} AS file_id, 2 AS line_number, '// customer_' || c_custkey || '(old) is gone' AS comment FROM customer"""),
+    "nested_symbols_per_file": (nested_symbols, f"""
+SELECT {O} AS file_id, 'methods' AS category, 'total:8:def total(self, rate=1) -> float' AS details FROM orders
+UNION ALL SELECT {O}, 'functions', 'ship_' || o_orderkey || ':11:async def ship_' || o_orderkey || '(x)' FROM orders
+UNION ALL SELECT {O}, 'classes', 'Order' || o_orderkey || ':4:class Order' || o_orderkey || '(Base)' FROM orders"""),
+    "extract_symbols_pages": (symbols_of_pages, r"""
+WITH m AS (
+  SELECT page_id, html, unnest(regexp_extract_all(html, '(?:function|def|fn|func|sub|method|proc)\s+\w+')) AS sig, 'function' AS type FROM pages
+  UNION ALL SELECT page_id, html, unnest(regexp_extract_all(html, '\w+\s*[:=]\s*(?:function|lambda|\([^)]*\)\s*=>)')), 'function2' FROM pages
+  UNION ALL SELECT page_id, html, unnest(regexp_extract_all(html, '(?:class|struct|interface|trait|type|module)\s+\w+')), 'class' FROM pages
+  UNION ALL SELECT page_id, html, unnest(regexp_extract_all(html, '(?:const|let|var|val)\s+\w+')), 'variable' FROM pages)
+SELECT page_id AS file_id, CASE WHEN type = 'function2' THEN regexp_extract(sig, '^\w+') ELSE regexp_extract(sig, '\w+$') END AS name,
+       replace(type, '2', '') AS type, 1 AS line_start, 1 AS line_end,
+       trim(regexp_replace(sig, '\s+', ' ', 'g')) AS signature FROM m"""),
+    "extract_calls_pages": (calls_of_pages, r"""
+WITH pieces AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '\b[a-zA-Z_]\w*\s*\(')) AS m,
+         unnest(regexp_split_to_array(html, '\b[a-zA-Z_]\w*\s*\(')[:-2]) AS gap,
+         generate_subscripts(regexp_extract_all(html, '\b[a-zA-Z_]\w*\s*\('), 1) AS i FROM pages),
+placed AS (
+  SELECT page_id, m, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS start
+  FROM pieces WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT page_id AS file_id, regexp_extract(m, '^\w+') AS callee_name,
+       CASE WHEN starts_with(m, 'new') THEN 'constructor' ELSE 'function' END AS call_type,
+       1 AS line_number, CAST(start + 1 AS BIGINT) AS column_number FROM placed
+WHERE regexp_extract(m, '^\w+') NOT IN ('if','else','for','while','do','switch','case','break','continue','return','throw',
+  'try','catch','finally','class','function','const','let','var','new','this','true','false','null')"""),
+    "extract_generic_documents": (generic_matches_documents, None),
+    "caller_interval_join": (callers, f"""
+WITH {ALL_CALLS} SELECT file_id, callee_name, call_type, line_number, caller FROM calls"""),
+    "callee_resolution_local_global": (callees, f"""
+WITH {RESOLVED}
+SELECT file_id AS caller_file_id, callee_name, line_number, call_type, callee_file_id, resolved_name
+FROM resolved WHERE callee_file_id IS NOT NULL"""),
+    "dep_outgoing": (dep_outgoing, f"""
+WITH {HUB}
+SELECT 'Customer' || k AS name, 'class' AS type, 'src/customers/customer_' || k || '.ts' AS file_path, 3 AS line,
+       'constructor' AS call_type, 10 AS call_line FROM hub"""),
+    "dep_incoming": (dep_incoming, f"""
+WITH {HUB}
+SELECT 'total' AS name, 'method' AS type, {O} AS file_path, 8 AS line, 'function' AS call_type, 9 AS call_line
+FROM orders, hub WHERE o_custkey = k"""),
+    "impact_files": (impact_files, f"WITH {IMPACT} SELECT * FROM affected"),
+    "impact_risk": (impact_risk, f"""
+WITH {IMPACT}, t AS (SELECT CAST(sum(reference_count) AS BIGINT) AS r, count(*) AS f FROM affected),
+scored AS (SELECT r, f, CASE WHEN r > 50 THEN 3 WHEN r > 20 THEN 2 WHEN r > 5 THEN 1 ELSE 0 END
+                 + CASE WHEN f > 10 THEN 2 WHEN f > 5 THEN 1 ELSE 0 END + 2 AS score FROM t),
+levelled AS (SELECT *, CASE WHEN score >= 7 THEN 'CRITICAL' WHEN score >= 5 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM scored)
+SELECT r AS direct_references, f AS files_affected, CAST(0 AS BIGINT) AS tests_affected, f AS implementation,
+  CAST(0 AS BIGINT) AS tests, CAST(0 AS BIGINT) AS configs, CAST(0 AS BIGINT) AS other, risk_level,
+  concat_ws('|', CASE WHEN r > 50 THEN 'High reference count (' || r || ')' WHEN r > 20 THEN 'Moderate reference count (' || r || ')'
+                      WHEN r > 5 THEN 'Some references (' || r || ')' END,
+                 CASE WHEN f > 10 THEN 'Many files affected (' || f || ')' WHEN f > 5 THEN 'Several files affected (' || f || ')' END,
+                 'No test coverage detected') AS risk_factors,
+  concat_ws('|', CASE WHEN score >= 5 THEN 'Consider creating a compatibility layer before making breaking changes|Document the migration path for consumers' END,
+                 'Add tests before modifying this symbol',
+                 CASE WHEN r > 20 THEN 'Consider refactoring in stages to minimize risk|Use deprecation warnings before removal' END) AS suggestions,
+  CAST(1 AS BIGINT) AS symbols_affected FROM levelled"""),
+    "call_graph_tree": (call_graph_tree, f"""
+WITH {ALL_CALLS}, {HUB}, pairs AS (SELECT DISTINCT caller, callee_name AS callee FROM calls),
+start AS (SELECT 'ship_' || min(o_orderkey) AS name FROM orders),
+l0 AS (SELECT p.* FROM pairs p, start WHERE caller = name),
+n1 AS (SELECT DISTINCT callee FROM l0 EXCEPT SELECT name FROM start),
+l1 AS (SELECT p.* FROM pairs p JOIN n1 ON p.caller = n1.callee),
+n2 AS (SELECT DISTINCT callee FROM l1 EXCEPT SELECT name FROM start EXCEPT SELECT callee FROM n1),
+l2 AS (SELECT p.* FROM pairs p JOIN n2 ON p.caller = n2.callee)
+SELECT *, 0 AS distance FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2
+UNION ALL SELECT p.*, 0 FROM pairs p, hub WHERE p.caller = 'Customer' || k || '.load'"""),
+    "import_like_join_top5": (import_targets, f"""
+WITH imports AS (SELECT unnest(['os', 'json', 'customers', './base', 'java.util.List']) AS import),
+files AS (SELECT {O} AS file_id FROM orders UNION ALL SELECT {C} FROM customer UNION ALL SELECT {S} FROM supplier UNION ALL SELECT {P} FROM part)
+SELECT import, file_id, file_id AS relative_path, row_number() OVER (PARTITION BY import ORDER BY file_id) AS rank
+FROM imports JOIN files ON contains(lower(file_id), lower(import))
+QUALIFY rank <= 5"""),
+}

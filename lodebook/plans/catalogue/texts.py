@@ -129,7 +129,8 @@ def like_fallback(spark, sf):
 
 def snippet_first_hit(spark, sf):
     files = document_files(spark, sf)
-    return files.select("file_id", search.snippet(F.col("content"), ["estion"]).alias("snippet")).filter("snippet IS NOT NULL")
+    found = files.filter(search.has_word(F.col("content"), "estion"))
+    return found.select("file_id", search.snippet(F.col("content"), ["estion"]).alias("snippet"))
 
 
 def find_symbol_query(term: str):
