@@ -10,21 +10,25 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodebook.functions import rules as R
 from lodebook.operators.ranges import innermost
 
 FLUSH_ROWS = 20000
+ARROW_TYPES = {
+    "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+}
 MATCH_SCHEMA = (
     "file_id {id}, language string, kind string, rule int, start int, line int, line_end int, "
     "column int, text string, groups array<string>, in_class boolean, decorators array<string>, "
     "error string"
 )
-MATCH_COLUMNS = [part.split()[0] for part in MATCH_SCHEMA.split(", ")]
 
 
 def _block_end(lines: list[str], first: int) -> int:
@@ -120,33 +124,42 @@ def file_matches(file_id, language: str | None, content: str, rules) -> Iterator
                    match.start() - starts[first] + 1, match.group(), groups, in_class, marks, None)
 
 
-def _find_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    compiled = {
-        language: [(i, rule, re.compile(rule.pattern, re.M | re.A)) for i, rule in enumerate(rules)]
-        for language, rules in R.rules_by_language().items()
-    }
-    rows: list[tuple] = []
-    for batch in batches:
-        for file_id, language, content in batch.itertuples(index=False, name=None):
-            found: list[tuple] = []
-            try:
-                found.extend(file_matches(file_id, language, content, compiled.get(language, compiled[""])))
-            except Exception as problem:  # one bad file is reported and the rest goes on
-                found = [(file_id, language, "error", -1, 0, 0, 0, 0, "", [], False, [], repr(problem))]
-            rows.extend(found)
-            if len(rows) >= FLUSH_ROWS:
-                yield pd.DataFrame(rows, columns=MATCH_COLUMNS)
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=MATCH_COLUMNS)
+@lru_cache(maxsize=None)
+def compiled_rules(language: str) -> list[tuple[int, R.Rule, re.Pattern]]:
+    rules = R.rules_by_language()
+    return [(i, rule, re.compile(rule.pattern, re.M | re.A)) for i, rule in enumerate(rules.get(language, rules[""]))]
+
+
+def _match_finder(schema: pa.Schema):
+    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for file_id, language, content in zip(*[column.to_pylist() for column in batch.columns]):
+                try:
+                    found = list(file_matches(file_id, language, content, compiled_rules(language or "")))
+                except Exception as problem:  # one bad file is reported and the rest goes on
+                    found = [(file_id, language, "error", -1, 0, 0, 0, 0, "", [], False, [], repr(problem))]
+                rows.extend(found)
+                if len(rows) >= FLUSH_ROWS:
+                    yield to_batch(rows)
+                    rows = []
+        if rows:
+            yield to_batch(rows)
+
+    return find
 
 
 def find_matches(files: DataFrame) -> DataFrame:
     """One row per rule match. Narrow: no shuffle, files stay where they were read."""
     id_type = files.schema["file_id"].dataType.simpleString()
-    return files.select("file_id", "language", "content").mapInPandas(
-        _find_matches, MATCH_SCHEMA.format(id=id_type)
-    )
+    schema = StructType.fromDDL(MATCH_SCHEMA.format(id=id_type))
+    arrow = pa.schema([
+        pa.field(f.name, ARROW_TYPES.get(f.dataType.simpleString(), pa.string())) for f in schema.fields])
+    return files.select("file_id", "language", "content").mapInArrow(_match_finder(arrow), schema)
 
 
 def _group(n: int) -> Column:

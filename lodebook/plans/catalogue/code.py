@@ -16,16 +16,21 @@ SYMBOL = ["file_id", "name", "type", "line_start", "line_end", "signature"]
 CALL = ["file_id", "callee_name", "call_type", "line_number", "column_number"]
 
 
+def matches_in(files: DataFrame) -> DataFrame:
+    """Rule matches written once, by kind, so that each reader scans its own kinds only."""
+    return materialize(extraction.find_matches(files), "matches", ["kind"])
+
+
 def symbols_in(files):
     def query(spark, sf):
-        return extraction.symbols_of(extraction.find_matches(files(spark, sf))).select(*SYMBOL)
+        return extraction.symbols_of(matches_in(files(spark, sf))).select(*SYMBOL)
 
     return query
 
 
 def calls_in(files):
     def query(spark, sf):
-        return extraction.calls_of(extraction.find_matches(files(spark, sf))).select(*CALL)
+        return extraction.calls_of(matches_in(files(spark, sf))).select(*CALL)
 
     return query
 
@@ -33,7 +38,7 @@ def calls_in(files):
 def class_members(spark, sf):
     """Classes of the Python and TypeScript files with methods and properties in their metadata."""
     files = codetree.python_files(spark, sf).unionByName(codetree.typescript_files(spark, sf))
-    matches = materialize(extraction.find_matches(files), "matches", ["kind"])
+    matches = matches_in(files)
     symbols = extraction.symbols_of(matches)
     merged = extraction.with_members(symbols, extraction.class_members(matches, symbols))
     return merged.filter(F.col("type") == "class").select(
@@ -54,7 +59,7 @@ def comments(spark, sf):
 
 def nested_symbols(spark, sf):
     """The structure of every Python file, as text."""
-    symbols = extraction.symbols_of(extraction.find_matches(codetree.python_files(spark, sf)))
+    symbols = extraction.symbols_of(matches_in(codetree.python_files(spark, sf)))
     category = F.explode("structure").alias("category", "details")
     return extraction.structure_of(symbols).select("file_id", category).select(
         "file_id", "category",
@@ -62,12 +67,12 @@ def nested_symbols(spark, sf):
 
 
 def symbols_of_pages(spark, sf):
-    found = extraction.symbols_of(extraction.find_matches(page_files(spark, sf)))
+    found = extraction.symbols_of(matches_in(page_files(spark, sf)))
     return found.select("file_id", "name", "type", "line_start", "line_end", "signature")
 
 
 def calls_of_pages(spark, sf):
-    return extraction.calls_of(extraction.find_matches(page_files(spark, sf))).select(*CALL)
+    return extraction.calls_of(matches_in(page_files(spark, sf))).select(*CALL)
 
 
 def generic_matches_documents(spark, sf):
@@ -80,14 +85,14 @@ def generic_matches_documents(spark, sf):
 def tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, symbols, edges) of the code tree; symbols and edges are written once."""
     files = codetree.all_files(spark, sf)
-    matches = materialize(extraction.find_matches(files), "matches", ["kind"])
+    matches = matches_in(files)
     symbols = materialize(extraction.symbols_of(matches), "symbols")
     edges = materialize(resolve.call_graph(extraction.calls_of(matches), symbols), "edges")
     return files, symbols, edges
 
 
 def callers(spark, sf):
-    matches = materialize(extraction.find_matches(codetree.all_files(spark, sf)), "matches", ["kind"])
+    matches = matches_in(codetree.all_files(spark, sf))
     symbols = materialize(extraction.symbols_of(matches), "symbols")
     made = resolve.callers_of(extraction.calls_of(matches), symbols)
     names = symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
@@ -157,7 +162,7 @@ def call_graph_tree(spark, sf):
 
 def import_targets(spark, sf):
     """Files each import of the tree points to, at most five per import."""
-    matches = materialize(extraction.find_matches(codetree.all_files(spark, sf)), "matches", ["kind"])
+    matches = matches_in(codetree.all_files(spark, sf))
     imports = extraction.imports_exports_of(matches).select(F.explode("imports").alias("import")).distinct()
     return related.import_targets(imports, codetree.all_files(spark, sf))
 
