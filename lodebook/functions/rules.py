@@ -266,7 +266,7 @@ JAVASCRIPT = [
     Rule("js_function", rf"\b(async\s+)?function\s*(\*?)\s*{_NAME}{_GENERICS}\s*\(([^)]*)\)", "body", True),
     Rule("js_function_value", rf"\b(?:const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?function\s*(\*?)\s*[\w$]*\s*\(([^)]*)\)", "body", True),
     Rule("js_arrow", rf"\b(?:const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?{_GENERICS}(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z_$][\w$]*))\s*(?::[^={{}}\n]+)?=>", "expression", True),
-    Rule("js_class", rf"\b(abstract\s+)?class\s+{_NAME}{_GENERICS}(?:\s+extends\s+([\w$.]+)[^{{]*)?[^{{;()]*(?=\{{)", "body", True),
+    Rule("js_class", rf"(?<!= )\b(abstract\s+)?class\s+(?!extends\b){_NAME}{_GENERICS}(?:\s+extends\s+([\w$.]+)[^{{]*)?[^{{;()]*(?=\{{)", "body", True),
     Rule("js_class_value", rf"\b(?:const|let|var)\s+{_NAME}\s*=\s*class\b(?:\s+(?!extends\b)[\w$]+)?(?:\s+extends\s+([\w$.]+))?[^{{;()]*(?=\{{)", "body", True),
     Rule("js_method", rf"^[ \t]*((?:(?:public|private|protected|readonly|override|abstract|static|async|get|set)\s+)*)\*?\s*#?{_NAME}{_GENERICS}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{}};]+)?(?=\{{)", "body", True),
     Rule("js_interface", rf"\binterface\s+{_NAME}{_GENERICS}(?:\s+extends\s+([^{{]+?))?\s*(?=\{{)", "body", True),

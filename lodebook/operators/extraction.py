@@ -21,6 +21,9 @@ from lodebook.functions import rules as R
 from lodebook.operators.ranges import innermost
 
 FLUSH_ROWS = 20000
+ORDER_TYPE = "decimal(21,0)"
+ID_DIGITS = 21
+OFFSET_SPAN = 10_000_000_000
 ARROW_TYPES = {
     "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
 }
@@ -166,8 +169,18 @@ def _group(n: int) -> Column:
     return F.coalesce(F.get("groups", F.lit(n)), F.lit(""))
 
 
-def _digits(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 10, "0")
+def _order(major: Column, minor: Column) -> Column:
+    """A number that sorts by `major`, then by an offset in the file."""
+    return (major.cast("decimal(11,0)") * F.lit(OFFSET_SPAN).cast("decimal(11,0)") + minor).cast(ORDER_TYPE)
+
+
+def order_of(identifier: Column) -> Column:
+    """The number inside a symbol id: the extraction order within the file."""
+    return F.substring_index(identifier, "#", -1).cast(ORDER_TYPE)
+
+
+def symbol_id_of(file_id: Column, order: Column) -> Column:
+    return F.concat(file_id.cast("string"), F.lit("#"), F.lpad(order.cast("string"), ID_DIGITS, "0"))
 
 
 def _trimmed_list(text: Column, separator: str = ",") -> Column:
@@ -267,12 +280,11 @@ def symbols_of(matches: DataFrame) -> DataFrame:
         "js_type": F.lit("{}"),
         "js_enum": F.to_json(F.struct((g0 != "").alias("const"))),
     })
-    # JavaScript is numbered by position; a class comes after its methods, hence the flag.
+    # JavaScript is numbered by position; a class comes after its methods, hence the odd number.
     js = F.col("kind").startswith("js_")
-    order = F.when(js, F.concat(_digits(F.col("start")), F.lit(".1."), _digits(F.lit(0)))).otherwise(
-        F.concat(F.lpad(F.col("rule").cast("string"), 2, "0"), F.lit("."), _digits(F.col("start"))))
+    order = F.when(js, _order(F.col("start") * 2 + 1, F.lit(0))).otherwise(_order(F.col("rule"), F.col("start")))
     plain = matches.filter(F.col("kind").isin(SYMBOL_KINDS)).select(
-        F.concat_ws("#", F.col("file_id").cast("string"), order).alias("symbol_id"),
+        symbol_id_of(F.col("file_id"), order).alias("symbol_id"),
         "file_id", name.alias("name"), kind_type.alias("type"),
         F.col("line").alias("line_start"), F.col("line_end"), signature.alias("signature"),
         F.lit(None).cast("string").alias("documentation"), metadata.alias("metadata"),
@@ -302,10 +314,7 @@ def _js_methods(matches: DataFrame) -> DataFrame:
         .when(flag("set"), "set").otherwise("method")
     )
     return owned.select(
-        F.concat_ws(
-            "#", F.col("file_id").cast("string"),
-            F.concat(_digits(F.col("class_start")), F.lit(".0."), _digits(F.col("start"))),
-        ).alias("symbol_id"),
+        symbol_id_of(F.col("file_id"), _order(F.col("class_start") * 2, F.col("start"))).alias("symbol_id"),
         "file_id", F.concat_ws(".", "class_name", "method").alias("name"), F.lit("method").alias("type"),
         F.col("line").alias("line_start"), "line_end",
         F.concat(F.when(flag("static"), "static ").otherwise(""), F.when(flag("async"), "async ").otherwise(""),
@@ -348,10 +357,7 @@ def calls_of(matches: DataFrame) -> DataFrame:
     )
     column = F.when(F.col("kind").startswith("js_"), F.col("column") - 1).otherwise(F.col("column"))
     return js_calls.unionByName(other).select(
-        F.concat_ws(
-            "#", F.col("file_id").cast("string"),
-            F.concat(F.lpad(F.col("rule").cast("string"), 2, "0"), F.lit("."), _digits(F.col("start"))),
-        ).alias("call_id"),
+        symbol_id_of(F.col("file_id"), _order(F.col("rule"), F.col("start"))).alias("call_id"),
         "file_id", name.alias("callee_name"), call_type.alias("call_type"),
         F.col("line").alias("line_number"), F.nullif(column, F.lit(0)).alias("column_number"),
     )

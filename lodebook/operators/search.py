@@ -52,9 +52,8 @@ def ranked_scan(table: DataFrame, term: str, key: str = "file_id", columns: tupl
     match = match_of(term)
     if match is None:
         raise ValueError(f"nothing to search for in {term!r}; use like_files")
-    return score_counts(
-        _hit_counts(table, match, columns, [key, *carry]), match, key, list(carry), languages
-    )
+    kept = [key, *carry, *(["language"] if languages and "language" not in carry else [])]
+    return score_counts(_hit_counts(table, match, columns, kept), match, key, list(carry), languages)
 
 
 def score_counts(counted: DataFrame, match: Match, key: str, carry: list[str],
