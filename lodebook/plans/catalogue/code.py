@@ -17,8 +17,8 @@ CALL = ["file_id", "callee_name", "call_type", "line_number", "column_number"]
 
 
 def matches_in(files: DataFrame) -> DataFrame:
-    """Rule matches written once, by kind, so that each reader scans its own kinds only."""
-    return materialize(extraction.find_matches(files), "matches", ["kind"])
+    """Rule matches written once for their several readers."""
+    return materialize(extraction.find_matches(files), "matches")
 
 
 def symbols_in(files):

@@ -126,7 +126,7 @@ class Index:
             state.filter(F.col("state") == "unchanged").select("path"), "path", "left_semi").select("file_id")
 
         fresh = scanned.join(touched, "path", "left_semi").withColumn("file_id", F.md5("path"))
-        extraction.find_matches(fresh).write.partitionBy("kind").parquet(f"{base}/{MATCH_TABLE}")
+        extraction.find_matches(fresh).write.parquet(f"{base}/{MATCH_TABLE}")
         match_schema = extraction.MATCH_SCHEMA.format(id="string")
         matches = self.spark.read.schema(match_schema).parquet(f"{base}/{MATCH_TABLE}")
 
