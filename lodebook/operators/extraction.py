@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from lodebook.functions import rules as R
 from lodebook.operators.ranges import innermost
+from lodebook.session import ship_package
 
 FLUSH_ROWS = 20000
 ORDER_TYPE = "decimal(21,0)"
@@ -158,6 +159,7 @@ def _match_finder(schema: pa.Schema):
 
 def find_matches(files: DataFrame) -> DataFrame:
     """One row per rule match. Narrow: no shuffle, files stay where they were read."""
+    ship_package(files.sparkSession)
     id_type = files.schema["file_id"].dataType.simpleString()
     schema = StructType.fromDDL(MATCH_SCHEMA.format(id=id_type))
     arrow = pa.schema([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,24 @@ def build_session(app: str = "lodebook", master: str | None = None,
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, as `--py-files` would.
+
+    Executors may run in another folder or on another machine than the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="lodebook-"), "lodebook"), "zip", os.path.dirname(package), "lodebook")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only for a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodebook.session import ship_package
 from lodebook.sources.ignore import (
     DEFAULT_PATTERNS, IGNORE_FILES, compile_rules, entry_ignored, ignored,
 )
@@ -112,6 +113,7 @@ def read_tree(spark: SparkSession, root: str, include: list[str] | None = None,
               ignore: list[str] | None = None, max_file_size: int | None = None,
               follow_symlinks: bool = False) -> DataFrame:
     """Files below `root`: path, relative_path, content, hash, size, language, last_modified."""
+    ship_package(spark)
     spark.dataSource.register(FileTree)
     raw = (
         spark.read.format("filetree")

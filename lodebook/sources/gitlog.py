@@ -13,6 +13,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodebook.session import ship_package
+
 COMMITS_PER_TASK = 1000
 UNIT = "\x1f"
 RECORD = "\x1e"
@@ -132,6 +134,7 @@ class GitBlame(DataSource):
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """One row per commit and changed file; `ordinal` is git's own order, newest first."""
+    ship_package(spark)
     spark.dataSource.register(GitLog)
     return spark.read.format("gitlog").load(root)
 
@@ -149,6 +152,7 @@ def changes_of(log: DataFrame) -> DataFrame:
 
 def read_blame(spark: SparkSession, root: str, file: str, line_start: int, line_end: int) -> DataFrame:
     """Who last changed each line of a range of one file (empty when git cannot tell)."""
+    ship_package(spark)
     spark.dataSource.register(GitBlame)
     return (
         spark.read.format("gitblame").option("file", file)
