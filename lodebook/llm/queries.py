@@ -5,11 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodebook.llm import mixing, pii
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
 
 
+def op1_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -18,5 +24,10 @@ def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_likeness(read_table(spark, folder, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op8_token_counts, op9_document_fingerprints)}
-ORACLES: dict[str, str] = {}
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_digests(read_table(spark, folder, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_mixing_sources, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
+ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL}
