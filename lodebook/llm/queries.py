@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodebook.llm import mixing, pii, secret_scan
+from lodebook.llm import mixing, pii, secret_scan, toxicity
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
@@ -20,6 +20,11 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_digests(read_table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return toxicity.score_texts(docs, toxicity.fit_classifier(docs, read_table(spark, folder, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,5 +38,5 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_mixing_sources, op3_secret_scans, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
+    op1_mixing_sources, op3_secret_scans, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
 ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL}
