@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodebook.llm import html_text, mixing, pii, secret_scan, toxicity
+from lodebook.llm import chat, html_text, mixing, pii, secret_scan, toxicity
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
@@ -24,6 +24,11 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(read_table(spark, folder, "pages"))
 
 
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chat.with_awkward_turns(read_table(spark, folder, "conversations"))
+    return chat.conversation_digests(chat.format_conversations(rows))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return toxicity.score_texts(docs, toxicity.fit_classifier(docs, read_table(spark, folder, "labels")))
@@ -42,5 +47,5 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_mixing_sources, op3_secret_scans, op4_html_extraction, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
+    op1_mixing_sources, op3_secret_scans, op4_html_extraction, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
 ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL}
