@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodebook.llm import chat, html_text, mixing, pii, secret_scan, toxicity
+from lodebook.llm import chat, html_text, mixing, ngram_join, pii, secret_scan, toxicity
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
@@ -16,6 +16,10 @@ def op1_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_digests(read_table(spark, folder, "documents"))
 
@@ -47,5 +51,5 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_mixing_sources, op3_secret_scans, op4_html_extraction, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
+    op1_mixing_sources, op2_ngram_jaccard_join, op3_secret_scans, op4_html_extraction, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
 ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL}
