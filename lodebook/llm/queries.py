@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodebook.llm import chat, html_text, mixing, ngram_join, pii, secret_scan, toxicity
+from lodebook.llm import chat, decontaminate, html_text, mixing, ngram_join, pii, secret_scan, toxicity
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
@@ -28,6 +28,10 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(read_table(spark, folder, "pages"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = chat.with_awkward_turns(read_table(spark, folder, "conversations"))
     return chat.conversation_digests(chat.format_conversations(rows))
@@ -51,5 +55,5 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_mixing_sources, op2_ngram_jaccard_join, op3_secret_scans, op4_html_extraction, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
+    op1_mixing_sources, op2_ngram_jaccard_join, op3_secret_scans, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data)}
 ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL}
