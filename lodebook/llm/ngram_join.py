@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodebook.llm import arrays
@@ -131,11 +131,14 @@ def leaf_buckets(classes: DataFrame, threshold: float, leaf: int = LEAF, depth:
         if last or large.isEmpty():
             break
         chance = int(min(1.0, EAGER / (threshold * POOL)) * 1_000_000)
-        token = F.col("t.token")
+
+        def chosen(t: Column) -> Column:
+            draw = F.pmod(F.xxhash64(F.col("bucket"), t["token"], F.lit(5)), F.lit(1_000_000))
+            return (t["run"] == F.col("run")) & (draw < chance)  # noqa: B023
+
         frontier = (large.join(classes.select("rep", "pool"), "rep")
-                    .select("bucket", "run", "rep", F.explode(F.filter("pool", lambda t: t["run"] == F.col("run"))).alias("t"))
-                    .where(F.pmod(F.xxhash64("bucket", token, F.lit(5)), F.lit(1_000_000)) < chance)
-                    .select(F.xxhash64("bucket", token).alias("bucket"), "run", "rep").distinct())
+                    .select("bucket", "run", "rep", F.explode(F.filter("pool", chosen)).alias("t"))
+                    .select(F.xxhash64("bucket", "t.token").alias("bucket"), "run", "rep").distinct())
     return leaves if leaves is not None else spark.createDataFrame([], "bucket long, rep long, blocks int")
 
 
