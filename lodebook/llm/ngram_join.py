@@ -3,10 +3,11 @@
 Texts with equal shingle sets are one class, represented by their smallest id. In each of several runs every
 class is split by sampled shared tokens: a path takes a token of the set when the token's hash for this path
 is small, so that a similar pair is expected to follow more than one path together. Buckets of up to
-`LEAF` classes are compared by brute force; larger ones are split again by further tokens, up to `DEPTH` of them.
-What is still large then (a group of near copies cannot be split by its tokens) is compared in pairs
-of blocks, so that it is spread over tasks and no pair is left out. The number of runs follows from the
-target recall. A pair that meets in several buckets is compared in the first one that both share.
+`LEAF` classes are compared by brute force; larger ones are split again by tokens that few of their members have, so
+a passage in many texts does not hold them together. Members that consist mostly of what many of the bucket have
+(near copies, above all) cannot be split so: they are compared in pairs of blocks, spread over tasks, and no
+pair is left out. The number of runs follows from the target recall. A pair that meets in several buckets is
+compared in the first one that both share.
 
 A 32-value minwise sketch rejects what is far from similar; sizes and sets decide the rest exactly. Texts
 are sent only for classes that have a partner in their sketch, pairs never leave a task: a task gives, for each class,
@@ -34,17 +35,21 @@ from lodebook.session import materialize, ship_package
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 EAGER = 1.6  # expected number of common paths of a pair at the threshold, per token taken
 POOL = 8.0  # tokens of each run that are kept for further splits
-LEAF, DEPTH = 256, 3
+LEAF, BLOCK, DEPTH = 256, 1000, 4
+COMMON = 0.3  # share of a bucket's members from which a token is no good for splitting it
+HEAVY = 0.6  # share of such tokens from which a member is compared with all others like it
+TAKEN = 3.0  # other tokens that a member follows further
 SKETCH = 32
+SMALL = 24  # rows of a group up to which many groups are compared at once
 SKETCH_LEAST = 0.5  # share of equal sketch values below which a pair at the threshold is practically excluded
 _MULTIPLY = arrays.mix(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 _RUN_SEED = arrays.mix(np.arange(901, 1001, dtype=np.uint64))
 
 
-def runs_for(recall: float, eager: float = EAGER, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with the wanted probability, even `depth` tokens deep."""
+def runs_for(recall: float, eager: float = EAGER, splits: int = 3) -> int:
+    """Runs after which a pair at the threshold has met with the wanted probability, even after some splits."""
     survive = 1.0
-    for _ in range(depth):
+    for _ in range(splits):
         survive = 1 - math.exp(-eager * survive)
     return math.ceil(math.log(1 - recall) / math.log(1 - survive))
 
@@ -113,33 +118,49 @@ def profiles(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
-def leaf_buckets(classes: DataFrame, threshold: float, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(bucket, rep, blocks): buckets of at least two classes; blocks is 1, or more for a bucket that stayed large."""
-    spark = classes.sparkSession
-    frontier = (classes.select("rep", F.explode("pool").alias("t")).where("t.first")
+def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """(bucket, rep, blocks): buckets of at least two classes; blocks is 1, or more for a group compared in blocks."""
+    frontier = (classes.select("rep", F.explode(F.filter("pool", lambda t: t["first"])).alias("t"))
                 .select(F.xxhash64("t.run", "t.token").alias("bucket"), F.col("t.run").alias("run"), "rep").distinct())
-    leaves: DataFrame | None = None
+    leaves: list[DataFrame] = []
     for level in range(1, depth + 1):
         sizes = frontier.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "b")
         counted = materialize(frontier.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "run", "rep", "n"),
                               f"paths-{level}")
         last = level == depth
-        done = counted if last else counted.where(F.col("n") <= leaf)
-        done = done.select("bucket", "rep", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        large = counted.where(F.col("n") > leaf)
+        small = F.col("n") <= leaf
+        leaves.append(counted.where(small).select("bucket", "rep", F.lit(1).alias("blocks")))
+        large = counted.where(~small)
+        if last:
+            leaves.append(large.select("bucket", "rep", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
         if last or large.isEmpty():
             break
-        chance = int(min(1.0, EAGER / (threshold * POOL)) * 1_000_000)
-
-        def chosen(t: Column) -> Column:
-            draw = F.pmod(F.xxhash64(F.col("bucket"), t["token"], F.lit(5)), F.lit(1_000_000))
-            return (t["run"] == F.col("run")) & (draw < chance)  # noqa: B023
-
-        frontier = (large.join(classes.select("rep", "pool"), "rep")
-                    .select("bucket", "run", "rep", F.explode(F.filter("pool", chosen)).alias("t"))
-                    .select(F.xxhash64("bucket", "t.token").alias("bucket"), "run", "rep").distinct())
-    return leaves if leaves is not None else spark.createDataFrame([], "bucket long, rep long, blocks int")
+        own = materialize(large.join(classes.select("rep", "pool"), "rep").select(
+            "bucket", "run", "rep", "n", F.transform(F.filter("pool", lambda t: t["run"] == F.col("run")),
+                                                     lambda t: t["token"]).alias("tokens")), f"split-{level}")
+        # Tokens of many members do not split their bucket. At most the pool's size by 1 / COMMON of them are kept for each.
+        common = (own.select("bucket", "n", F.explode("tokens").alias("token")).groupBy("bucket", "token")
+                  .agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= COMMON * F.col("n"))
+                  .groupBy("bucket").agg(F.collect_list("token").alias("common")))
+        rest = (own.join(common, "bucket", "left")
+                .withColumn("rest", F.array_except("tokens", F.coalesce("common", F.array().cast("array<bigint>"))))
+                .withColumn("heavy", F.size("rest") <= (1 - HEAVY) * F.size("tokens")))
+        # Members that have little besides them may be similar by them alone: all such pairs are compared.
+        heavy = rest.where("heavy").select("bucket", "rep")
+        many = heavy.groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n"))
+        leaves.append(heavy.join(many.where("n > 1"), F.col("bucket") == F.col("b"))
+                      .select(F.xxhash64("bucket", F.lit("heavy")).alias("bucket"), "rep", "blocks"))
+
+        def chosen(token: Column) -> Column:
+            draw = F.pmod(F.xxhash64(F.col("bucket"), token, F.lit(5)), F.lit(1_000_000))
+            return draw * F.size("rest") < int(TAKEN * 1_000_000)
+
+        frontier = (rest.select("bucket", "run", "rep", F.explode(F.filter("rest", chosen)).alias("token"))
+                    .select(F.xxhash64("bucket", "token").alias("bucket"), "run", "rep").distinct())
+    found = leaves[0]
+    for more in leaves[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], most_bytes: int = 1 << 25) -> Iterator[list[np.ndarray]]:
@@ -216,6 +237,29 @@ class _Members:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(a_all), np.concatenate(b_all)
 
+    def all_pairs(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for all groups of at most `SMALL` rows at once."""
+        sizes = np.diff(bounds)
+        end = np.repeat(bounds[1:], sizes)
+        rows = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+        a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, SMALL):
+            rows = rows[rows + step < end[rows]]
+            if not len(rows):
+                break
+            a, b = rows, rows + step
+            good = np.minimum(self.size[a], self.size[b]) >= self.threshold * np.maximum(self.size[a], self.size[b])
+            good &= self.rep[a] != self.rep[b]
+            good &= (self.low[a] == self.high[a]) | (self.block[a] != self.block[b])
+            a, b = a[good], b[good]
+            near = (self.sketch[a] == self.sketch[b]).sum(1) >= SKETCH_LEAST * SKETCH
+            a, b = a[near], b[near]
+            first = np.array([self._first_common(x, np.array([y]))[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+            own = first == self.bucket[a]
+            a_all.append(a[own])
+            b_all.append(b[own])
+        return np.concatenate(a_all), np.concatenate(b_all)
+
     def _first_common(self, a: int, others: np.ndarray) -> np.ndarray:
         """The smallest bucket that row a shares with each of the others."""
         own = self.leaves[a, :self.count[a]]
@@ -241,8 +285,10 @@ def candidates(members: DataFrame, threshold: float) -> DataFrame:
             m = _Members(columns, threshold)
             bounds = _bounds(m.bucket, m.low, m.high)
             active = np.zeros(len(m.rep), bool)
+            a, b = m.all_pairs(bounds)
+            active[a] = active[b] = True
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if last - first > 1:
+                if last - first > SMALL:
                     a, b = m.pairs(first, last)
                     active[a] = active[b] = True
             if active.any():
@@ -332,7 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("size", "sketch", "pool"), "doc_id").alias("s"))
         .select("d1", "d2", "rep", "s.size", "s.sketch", "s.pool"), "join-classes")
     nodes = classes.where("size > 0")
-    leaves = leaf_buckets(nodes, threshold)
+    leaves = leaf_buckets(nodes).distinct()
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("bucket", "blocks"))).alias("places"))
     blocks = F.col("p.blocks")
     # Rows that share an id would have two lists; one of them is enough.

@@ -80,7 +80,7 @@ def test_against_brute_force(spark, corpus):
 
 
 def test_small_leaves_and_splits_find_the_same(spark, corpus, monkeypatch):
-    monkeypatch.setattr(ngram_join.leaf_buckets, "__defaults__", (40, 3))
+    monkeypatch.setattr(ngram_join.leaf_buckets, "__defaults__", (40, 64, 4))
     expected = by_brute_force(corpus)
     rows = ngram_join.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string")).collect()
     pairs = sum(e[2] for e in expected.values())
