@@ -86,7 +86,7 @@ def run_query(spark, args, root: str, folder: str) -> str:
     languages = validate.languages(args.languages, ALIASES) if args.languages else None
     days = validate.positive_int(args.recent, "--recent") if args.recent else None
     retriever = Retriever(spark, folder, root)
-    symbols = retriever.find_symbol(term, languages).cache()
+    symbols = retriever.find_symbol(term, languages)
     result = {
         "symbols": symbols,
         "search": retriever.query(term, tokens, include_content=True, include_symbols=True, include_imports=True,

@@ -67,21 +67,12 @@ def co_changed(changes: DataFrame, path: str, base: int = 50, limit: int = 10) -
 
 
 def recent_changes(changes: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """Per file of the last days: commits, and the newest of them. Most changed first.
+    """The commits of each file of the last days as rows: most changed file first, its newest commit first.
 
-    Only counts and the newest commit are kept per file, so a file that is in every commit
-    costs no more than any other; `recent_commit_list` has the commits themselves.
+    `commits` is the number of the file's commits. Counts are combined before they are shuffled and joined back, so
+    a file that is in every commit is no group of its own in any task.
     """
-    newest = F.struct(*[c for c in COMMIT if c in changes.columns])
-    return (
-        changes.filter(within(F.col("date"), now, days))
-        .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("commits"), F.min_by(newest, "ordinal").alias("last_commit"))
-        .orderBy(F.col("commits").desc(), "path")
-    )
-
-
-def recent_commit_list(changes: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """All (path, commit) rows of the last days."""
-    return changes.filter(within(F.col("date"), now, days)).select(
+    recent = changes.filter(within(F.col("date"), now, days)).select(
         "path", "ordinal", *[c for c in COMMIT if c in changes.columns])
+    counts = recent.groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
+    return recent.join(counts, "path").orderBy(F.col("commits").desc(), "path", "ordinal")

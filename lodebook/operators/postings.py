@@ -6,6 +6,7 @@ own words only. A common word is spread over several files of its bucket.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +16,12 @@ from lodebook.functions import bm25, text
 from lodebook.functions.match import Match, match_of
 from lodebook.operators.search import FILE_COLUMNS
 
-TOKENS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 TOKENS_PER_FILE = 50_000_000
 
 
 def layout(total_length: int) -> tuple[int, int]:
-    """(buckets, files per bucket) for a corpus of so many tokens."""
-    buckets = min(MAX_BUCKETS, max(4, -(-total_length // TOKENS_PER_BUCKET)))
+    """(buckets, files per bucket) for a corpus of so many tokens: both grow with it, buckets by the root."""
+    buckets = max(4, math.isqrt(total_length // 500))
     return buckets, max(1, -(-total_length // (buckets * TOKENS_PER_FILE)))
 
 
@@ -65,7 +64,7 @@ def write(postings: DataFrame, path: str, total_length: int, key: str = "file_id
     placed = postings.drop("bucket").withColumn("bucket", bucket_of(F.col("term"), buckets))
     piece = F.pmod(F.xxhash64(key), F.lit(pieces))
     (
-        placed.repartition("bucket", piece)
+        placed.repartition(buckets * pieces, "bucket", piece)
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket").parquet(path)
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodebook.functions import text
+from lodebook.session import materialize
 
 
 def imported_files(files: DataFrame, imports: list[str], per_import: int = 5, key: str = "file_id") -> DataFrame:
@@ -25,26 +26,42 @@ def imported_files(files: DataFrame, imports: list[str], per_import: int = 5, ke
     return hits.withColumn("rank", rank).filter(F.col("rank") <= per_import).orderBy("import_no", "rank")
 
 
+PIECE = 3
+
+
+def _lowered(column: Column) -> Column:
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _pieces(column: Column, length: int) -> Column:
+    """The distinct substrings of a length; none of a shorter text."""
+    starts = F.when(F.length(column) >= length, F.sequence(F.lit(1), F.length(column) - (length - 1)))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(column, i, F.lit(length))))
+
+
 def import_targets(imports: DataFrame, files: DataFrame, per_import: int = 5) -> DataFrame:
     """The same for the imports of all files: `imports` has a distinct `import` column.
 
-    A path holds an import when one of its substrings equals it. Only substrings as long as
-    some import matter, so the join is an equality on text, not a test of all pairs.
+    Every import is looked up by one piece of three letters that a path with it must hold, the one that fewest paths have (or
+    by its longest literal part, if that is shorter; an import of wildcards only is compared with all paths). LIKE
+    decides, and tasks keep the first files of each import before they are shuffled.
     """
-    wanted = imports.select(F.lower("import").alias("needle"), "import").filter(F.length("needle") > 0)
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("needle"))).alias("lengths")).scalar()
-    path = F.lower("relative_path")
-    pieces = (
-        files.select("file_id", "relative_path", path.alias("lowered"), lengths.alias("lengths"))
-        .select("file_id", "relative_path", "lowered", F.explode("lengths").alias("n"))
-        .filter(F.length("lowered") >= F.col("n"))
-        .select("file_id", "relative_path", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("lowered") - F.col("n") + 1),
-            lambda i: F.substr(F.col("lowered"), i, F.col("n"))))).alias("needle"))
-    )
+    wanted = imports.select("import", _lowered(F.col("import")).alias("needle")).filter(F.length("needle") > 0)
+    parts = F.filter(F.split("needle", "[%_]"), lambda p: F.length(p) > 0)
+    longest = F.element_at(F.array_sort(F.transform(parts, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("part")))), 1)["part"]
+    wanted = materialize(wanted.withColumn("part", F.coalesce(F.when(F.size(parts) > 0, longest), F.lit(""))), "imports")
+    paths = files.select("file_id", "relative_path", _lowered(F.col("relative_path")).alias("lowered"))
+    sizes = sorted({min(PIECE, r["n"]) for r in wanted.select(F.length("part").alias("n")).distinct().collect()})
+    size = F.least(F.length("part"), F.lit(PIECE))
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.length("part") - size + 1, F.lit(1))), lambda i: F.substr(F.col("part"), i, size))
+    asked = wanted.select("import", "needle", F.explode(F.array_distinct(keys)).alias("piece"))
+    found = paths.select("file_id", "relative_path", "lowered", F.explode(F.concat(*[
+        _pieces(F.col("lowered"), n) if n else F.array(F.lit("")) for n in sizes or [PIECE]])).alias("piece"))
+    held = found.join(asked.select("piece").distinct(), "piece", "left_semi")
+    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "piece", "left").groupBy("import", "needle").agg(
+        F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    pattern = F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    hits = held.join(rarest, "piece").filter(F.like(F.col("lowered"), pattern))
     rank = F.row_number().over(Window.partitionBy("import").orderBy("file_id"))
-    return (
-        pieces.join(wanted, "needle")
-        .withColumn("rank", rank).filter(F.col("rank") <= per_import)
-        .select("import", "file_id", "relative_path", "rank")
-    )
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= per_import).select("import", "file_id", "relative_path", "rank")

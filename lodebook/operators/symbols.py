@@ -17,40 +17,51 @@ def with_file(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols.join(files.select("file_id", F.col("relative_path").alias("file_path"), "language"), "file_id")
 
 
+def top_symbols(symbols: DataFrame, files: DataFrame, hits: DataFrame, order: list, limit: int,
+                languages: list[str] | None = None) -> DataFrame:
+    """The first `limit` hits (symbol_id, name, score) in an order, with RESULT and their `position`.
+
+    Without a language filter details are read for the ids of these few rows only, as literals.
+    """
+    if languages:
+        located = with_file(symbols.drop("name").join(hits, "symbol_id"), files)
+        hits = located.filter(F.col("language").isin(languages)).select(*hits.columns)
+    kind = symbols.schema["symbol_id"].dataType
+    top = [r.symbol_id for r in hits.orderBy(*order).limit(limit).collect()]
+    position = F.array_position(F.array(*[F.lit(i).cast(kind) for i in top]), F.col("symbol_id")) if top else F.lit(0)
+    chosen = symbols.filter(F.col("symbol_id").isin(top))
+    return with_file(chosen, files).select(*RESULT, position.cast("int").alias("position")).orderBy("position")
+
+
+def scan_hits(symbols: DataFrame, term: str) -> DataFrame:
+    """symbol_id, name and score of the symbols that match, from their names and signatures."""
+    return ranked_scan(symbols, term, key="symbol_id", columns=SYMBOL_COLUMNS, carry=("name",))
+
+
 def find_symbol(symbols: DataFrame, files: DataFrame, name: str, languages: list[str] | None = None,
-                limit: int = 20) -> DataFrame:
-    """The best symbols for a name, `position` giving their order."""
-    exact_name = clean_term(name) if match_of(name) else name
-    exact = F.when(F.col("name") == exact_name, 0).otherwise(1)
-    carry = ("name", "type", "file_id", "line_start", "line_end", "signature")
-    if match_of(name):
-        hits = ranked_scan(symbols, name, key="symbol_id", columns=SYMBOL_COLUMNS, carry=carry)
-        order = [F.col("score"), exact, F.length("name"), F.col("symbol_id")]
-    else:
-        hits = symbols.filter(text.like_ci(F.col("name"), name)).select("symbol_id", *carry)
-        order = [exact, F.length("name"), F.col("symbol_id")]
-    if not languages:
-        # The top rows are known before the paths are needed.
-        return with_file(hits.orderBy(*order).limit(limit), files).orderBy(*order)
-    located = with_file(hits, files).filter(F.col("language").isin(languages))
-    return located.orderBy(*order).limit(limit)
+                limit: int = 20, hits: DataFrame | None = None) -> DataFrame:
+    """The best symbols for a name: by relevance, then exact name, then short names.
+
+    `hits` may come from an inverted index; otherwise the symbols are scanned.
+    """
+    match = match_of(name)
+    exact = F.when(F.col("name") == (clean_term(name) if match else name), 0).otherwise(1)
+    order = [exact, F.length("name"), F.col("symbol_id")]
+    if match:
+        found = scan_hits(symbols, name) if hits is None else hits
+        return top_symbols(symbols, files, found, [F.col("score"), *order], limit, languages)
+    found = symbols.filter(text.like_ci(F.col("name"), name)).select("symbol_id", "name")
+    return top_symbols(symbols, files, found, order, limit, languages)
 
 
 def search_symbols(symbols: DataFrame, files: DataFrame, term: str, languages: list[str] | None = None,
-                   limit: int = 15) -> DataFrame:
-    """Symbols for the broad search: by relevance, or by name where only LIKE applies."""
-    carry = ("name", "type", "file_id", "line_start", "line_end", "signature")
+                   limit: int = 15, like_limit: int = 100, hits: DataFrame | None = None) -> DataFrame:
+    """Symbols for the broad search: the first `limit` by relevance, or `like_limit` by name where only LIKE applies."""
     if match_of(term):
-        hits = ranked_scan(symbols, term, key="symbol_id", columns=SYMBOL_COLUMNS, carry=carry)
-        order = [F.col("score"), F.col("symbol_id")]
-    else:
-        hits = like_symbols(symbols, term).select("symbol_id", *carry)
-        order = [F.col("name"), F.col("symbol_id")]
-        limit = 100
-    if not languages:
-        return with_file(hits.orderBy(*order).limit(limit), files).orderBy(*order)
-    located = with_file(hits, files).filter(F.col("language").isin(languages))
-    return located.orderBy(*order).limit(limit)
+        found = scan_hits(symbols, term) if hits is None else hits
+        return top_symbols(symbols, files, found, [F.col("score"), F.col("symbol_id")], limit, languages)
+    found = like_symbols(symbols, term).select("symbol_id", "name")
+    return top_symbols(symbols, files, found, [F.col("name"), F.col("symbol_id")], like_limit, languages)
 
 
 def like_symbols(symbols: DataFrame, term: str) -> DataFrame:

@@ -52,11 +52,20 @@ def candidate_files(files: DataFrame, symbols: DataFrame, name: str, languages:
 
 
 def find_usages(files: DataFrame, symbols: DataFrame, name: str, max_tokens: int = 4000,
-                languages: list[str] | None = None) -> DataFrame:
-    """Candidate files (at most 20) with their usage lines, packed under a token budget."""
-    chosen = candidate_files(files, symbols, name, languages)
-    found = usage_lines(files, name).drop("relative_path").join(chosen, "file_id")
-    shown = found.withColumn("tokens", text.estimate_tokens(F.to_json(F.struct(
-        "file_id", "relative_path", "language", F.struct(F.col("lines").alias("usageLines")).alias("metadata")))))
+                languages: list[str] | None = None, limit: int = 20, include_content: bool = False) -> DataFrame:
+    """Candidate files (at most `limit`) with their usage lines, packed under a token budget.
+
+    Rows have the file's path, language, tokens and imports (where known), preview or content and lines; what the budget
+    is charged is the row as JSON. Texts are read again for the few chosen ids only.
+    """
+    chosen = {r.file_id: r.is_test for r in candidate_files(files, symbols, name, languages, limit).collect()}
+    wanted = files.filter(F.col("file_id").isin(list(chosen)))
+    body = F.col("content") if include_content else text.preview(F.col("content"))
+    known = [c for c in ("path", "tokens", "imports") if c in files.columns]
+    rows = wanted.select("file_id", "relative_path", "language", *known, body.alias("content" if include_content else "preview"))
+    found = rows.join(usage_lines(wanted, name).drop("relative_path"), "file_id")
+    tests = [i for i, is_test in chosen.items() if is_test]
+    shown = found.withColumn("result_tokens", text.estimate_tokens(F.to_json(F.struct(*found.columns)))).withColumn(
+        "is_test", F.col("file_id").isin(tests).cast("int"))
     order = [F.col("is_test"), F.col("relative_path"), F.col("file_id")]
-    return pack(shown, max_tokens, order).orderBy(*order)
+    return pack(shown, max_tokens, order, tokens="result_tokens").orderBy(*order)

@@ -10,7 +10,7 @@ from lodebook.operators import symbols as symbol_ops
 from lodebook.plans.catalogue.texts import joined
 from lodebook.session import materialize
 from lodebook.sources import codetree
-from lodebook.sources.tables import document_files, page_files
+from lodebook.sources.tables import document_files, page_files, read_table
 
 SYMBOL = ["file_id", "name", "type", "line_start", "line_end", "signature"]
 CALL = ["file_id", "callee_name", "call_type", "line_number", "column_number"]
@@ -161,10 +161,14 @@ def call_graph_tree(spark, sf):
 
 
 def import_targets(spark, sf):
-    """Files each import of the tree points to, at most five per import."""
+    """Files each import of the tree points to, at most five per import; so for imports with wildcards and capitals."""
     matches = matches_in(codetree.all_files(spark, sf))
-    imports = extraction.imports_exports_of(matches).select(F.explode("imports").alias("import")).distinct()
-    return related.import_targets(imports, codetree.all_files(spark, sf))
+    imports = extraction.imports_exports_of(matches).select(F.explode("imports").alias("import"))
+    number = F.col("n_nationkey").cast("string")
+    more = read_table(spark, sf, "nation").select(F.explode(F.array(
+        F.concat(F.lit("ORDER_"), number, F.lit("_")), F.concat(F.lit("part_%"), number, F.lit("_te")),
+        F.concat(F.lit("s/"), number), F.lit("_"), number)).alias("import"))
+    return related.import_targets(imports.unionByName(more).distinct(), codetree.all_files(spark, sf))
 
 
 # -- SQL ------------------------------------------------------------------------------------
@@ -327,9 +331,10 @@ l2 AS (SELECT p.* FROM pairs p JOIN n2 ON p.caller = n2.callee)
 SELECT *, 0 AS distance FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2
 UNION ALL SELECT p.*, 0 FROM pairs p, hub WHERE p.caller = 'Customer' || k || '.load'"""),
     "import_like_join_top5": (import_targets, f"""
-WITH imports AS (SELECT unnest(['os', 'json', 'customers', './base', 'java.util.List']) AS import),
+WITH imports AS (SELECT unnest(['os', 'json', 'customers', './base', 'java.util.List', '_']) AS import
+  UNION SELECT unnest(['ORDER_' || n_nationkey || '_', 'part_%' || n_nationkey || '_te', 's/' || n_nationkey, n_nationkey || '']) FROM nation),
 files AS (SELECT {O} AS file_id FROM orders UNION ALL SELECT {C} FROM customer UNION ALL SELECT {S} FROM supplier UNION ALL SELECT {P} FROM part)
 SELECT import, file_id, file_id AS relative_path, row_number() OVER (PARTITION BY import ORDER BY file_id) AS rank
-FROM imports JOIN files ON contains(lower(file_id), lower(import))
+FROM imports JOIN files ON file_id ILIKE '%' || import || '%'
 QUALIFY rank <= 5"""),
 }

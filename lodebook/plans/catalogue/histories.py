@@ -46,11 +46,7 @@ def change_frequency(spark, sf):
 
 def recent_changes(spark, sf):
     found = history.recent_changes(_changes(spark, sf), _newest(spark, sf), 30)
-    return found.select("path", "commits", F.col("last_commit.hash").alias("last_hash"), F.col("last_commit.author").alias("last_author"))
-
-
-def recent_commit_list(spark, sf):
-    return history.recent_commit_list(_changes(spark, sf), _newest(spark, sf), 30).select("path", "hash", "author")
+    return found.select("path", "commits", "hash", "author")
 
 
 def authors(spark, sf):
@@ -169,11 +165,8 @@ SELECT count(*) FILTER (o_orderdate > now - INTERVAL 7 DAY) AS last_7_days,
        count(*) FILTER (o_orderdate > now - INTERVAL 90 DAY) AS last_90_days FROM orders, newest"""),
     "recent_changes": (recent_changes, f"""
 WITH {CHANGES}
-SELECT path, count(*) AS commits, arg_max(hash, epoch(date) * 100000 + hash) AS last_hash,
-       arg_max(author, epoch(date) * 100000 + hash) AS last_author
-FROM changes, newest WHERE date > now - INTERVAL 30 DAY GROUP BY path"""),
-    "recent_commit_list": (recent_commit_list, f"""
-WITH {CHANGES} SELECT path, hash, author FROM changes, newest WHERE date > now - INTERVAL 30 DAY"""),
+SELECT path, count(*) OVER (PARTITION BY path) AS commits, hash, author
+FROM changes, newest WHERE date > now - INTERVAL 30 DAY"""),
     "unique_authors": (authors, "SELECT o_custkey AS author, count(*) AS commits FROM orders GROUP BY 1"),
     "first_last_seen": (first_last_seen, f"""
 WITH {CHANGES}

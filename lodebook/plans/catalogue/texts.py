@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodebook.functions import text
-from lodebook.functions.match import match_of
+from lodebook.functions import paths, text
 from lodebook.operators import impact, packing, postings, search, stats, symbols, usages
 from lodebook.plans.catalogue.sqltext import DOCUMENTS, bm25, fold, tokens
+from lodebook.session import new_scratch_path
 from lodebook.sources import filetree, languages
 from lodebook.sources.ignore import ignored
-from lodebook.sources.tables import document_files, page_files, part_symbols, read_table, spread
+from lodebook.sources.tables import document_files, page_files, part_symbols, read_table
 
 FIELDS = ["t1", "t2", "t3"]
 KEEP = "file_id, relative_path, language, size"
@@ -107,6 +107,13 @@ def file_search(term: str, **options):
     return query
 
 
+def sorted_by_modified(spark, sf):
+    """The newest matching documents; the day of change follows from the id."""
+    modified = F.timestamp_seconds((F.col("file_id") * 7 % 1000) * 86400)
+    found = search.search_files(document_files(spark, sf).withColumn("last_modified", modified), "tion", sort_by="modified")
+    return found.select("file_id", "relative_path", F.round("score", 6).alias("score"))
+
+
 def search_sql(phrases: list[list[str]], match: str, order: str = "score", extra: str = "") -> str:
     return f"""
 WITH {DOCUMENTS}, {bm25("tok", FIELDS, KEEP, phrases, match)}
@@ -114,12 +121,12 @@ SELECT {KEEP}, round(score, 6) AS score FROM scored {extra} ORDER BY {order}, fi
 
 
 def postings_top10(spark, sf):
-    """The same search from an inverted index that is built first."""
+    """The same search from an inverted index that is built, written in buckets and read back first."""
     files = document_files(spark, sf)
-    corpus = files.agg(F.struct(
-        F.count(F.lit(1)).alias("total"), F.sum(postings.document_length()).alias("length")).alias("corpus")).scalar()
-    hits = postings.ranked(
-        postings.build(files), "the tion OR of_the", corpus.getField("total"), corpus.getField("length"), bucketed=False)
+    corpus = files.agg(F.count(F.lit(1)).alias("total"), F.sum(postings.document_length()).alias("length")).first()
+    path = new_scratch_path(spark, "postings")
+    postings.write(postings.build(files), path, corpus.length)
+    hits = postings.ranked(spark.read.parquet(path), "the tion OR of_the", corpus.total, corpus.length)
     return hits.orderBy("score", "file_id").limit(10).withColumn("score", F.round("score", 6))
 
 
@@ -133,19 +140,45 @@ def snippet_first_hit(spark, sf):
     return found.select("file_id", search.snippet(F.col("content"), ["estion"]).alias("snippet"))
 
 
-def find_symbol_query(term: str):
-    def query(spark, sf):
-        parts = part_symbols(spark, sf)
-        exact = F.when(F.col("name") == term, 0).otherwise(1)
-        if match_of(term):
-            hits = search.ranked_scan(parts, term, key="symbol_id", columns=search.SYMBOL_COLUMNS, carry=("name", "type"))
-            hits = hits.withColumn("score", F.round("score", 6))
-            order = [F.col("score"), exact, F.length("name"), F.col("symbol_id")]
-            return hits.orderBy(*order).limit(20)
-        hits = parts.filter(text.like_ci(F.col("name"), term)).select("symbol_id", "name", "type")
-        return hits.orderBy(exact, F.length("name"), "symbol_id").limit(20)
+def nation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as the files that the parts stand in."""
+    return read_table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("relative_path"), F.col("n_regionkey").cast("string").alias("language"))
 
-    return query
+
+def placed_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    lines = read_table(spark, sf, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_size").alias("line_start"))
+    return part_symbols(spark, sf).join(lines, "symbol_id").select(
+        "*", (F.col("symbol_id") % 25).alias("file_id"), (F.col("line_start") + 5).alias("line_end"))
+
+
+FOUND = ["symbol_id", "name", "type", "file_path", "line_start", "line_end", "signature", "position"]
+
+
+def find_symbol_query(term: str, **options):
+    return lambda spark, sf: symbols.find_symbol(placed_symbols(spark, sf), nation_files(spark, sf), term, **options).select(*FOUND)
+
+
+def search_symbols_query(term: str, **options):
+    return lambda spark, sf: symbols.search_symbols(placed_symbols(spark, sf), nation_files(spark, sf), term, **options).select(*FOUND)
+
+
+def ranked_parts(spark: SparkSession, sf: str, term: str) -> DataFrame:
+    exact = F.when(F.col("name") == term, 0).otherwise(1)
+    hits = symbols.scan_hits(part_symbols(spark, sf), term).withColumn("score", F.round("score", 6))
+    return hits.orderBy("score", exact, F.length("name"), "symbol_id").limit(20)
+
+
+PLACED = """
+placed AS (SELECT p_partkey AS symbol_id, n_name AS file_path, CAST(n_regionkey AS VARCHAR) AS language, p_brand AS signature,
+                  p_size AS line_start, p_size + 5 AS line_end FROM part JOIN nation ON n_nationkey = p_partkey % 25)"""
+
+
+def found_sql(hits: str, order: str, limit: int) -> str:
+    """The result rows of hits (symbol_id, name, type and what the order needs)."""
+    return f"""
+SELECT symbol_id, name, type, file_path, line_start, line_end, signature, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position
+FROM ({hits}) JOIN placed USING (symbol_id) QUALIFY position <= {limit}"""
 
 
 PARTS = f"""
@@ -154,11 +187,6 @@ tok AS (
          {tokens("p_name")} AS t1, {tokens("p_brand")} AS t2 FROM part)"""
 
 
-def search_symbols_like(spark, sf):
-    found = symbols.like_symbols(part_symbols(spark, sf), "#12")
-    return found.select("symbol_id", "name", "type", "signature").orderBy("name", "symbol_id").limit(100)
-
-
 # -- packing ----------------------------------------------------------------------------------
 
 
@@ -175,7 +203,7 @@ def pack_token_budget(spark, sf):
 
 def pack_two_stage(spark, sf):
     files = ranked_with_tokens(spark, sf, "tion").withColumnRenamed("file_id", "item_id")
-    parts = find_symbol_query("small widget")(spark, sf).select(
+    parts = ranked_parts(spark, sf, "small widget").select(
         F.col("symbol_id").alias("item_id"), "score", F.length("name").cast("long").alias("tokens"))
     return packing.pack_two_stage(
         files, parts, 2500, [F.col("score"), F.col("item_id")], [F.col("score"), F.col("item_id")])
@@ -201,12 +229,9 @@ def usage_files(spark, sf):
 
 
 def usages_packed(spark, sf):
-    files = document_files(spark, sf)
-    chosen = usages.candidate_files(files, first_words(spark, sf), "The")
-    found = usages.usage_lines(files, "The").drop("relative_path").join(chosen, "file_id")
-    counted = found.select("file_id", "relative_path", "is_test", joined(F.col("lines")).alias("lines")).withColumn(
-        "tokens", text.estimate_tokens(F.concat("relative_path", "lines")))
-    return packing.pack(counted, 120, [F.col("is_test"), F.col("relative_path"), F.col("file_id")])
+    found = usages.find_usages(document_files(spark, sf).drop("size"), first_words(spark, sf), "The", max_tokens=2500)
+    return found.select("file_id", "relative_path", "language", "preview", joined(F.col("lines")).alias("lines"), "is_test",
+                        "result_tokens", "running_tokens")
 
 
 def preview_first10(spark, sf):
@@ -251,7 +276,24 @@ MENTIONS = f"""
          string_agg(n, ',' ORDER BY n) AS lines FROM lines WHERE contains(line, 'tion') GROUP BY doc_id)"""
 WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}\\p{Co}]+')"
 
+def path_categories(spark, sf):
+    """Parts as file names, some of them tests and configurations."""
+    path = F.col("relative_path")
+    return part_paths(spark, sf).select(
+        "p_partkey", paths.is_test(path).alias("is_test"), paths.loosely_test(path).alias("loosely_test"), paths.category(path).alias("category"))
+
+
 QUERIES = {
+    "path_categories": (path_categories, f"""
+WITH {PART_PATHS}
+SELECT p_partkey, contains(relative_path, '.test.') AS is_test, regexp_matches(relative_path, '(?i)test|spec') AS loosely_test,
+  CASE WHEN contains(relative_path, '.test.') THEN 'tests' WHEN relative_path LIKE '%config%' OR relative_path LIKE '%.json' THEN 'configs'
+       WHEN relative_path LIKE '%.ts' THEN 'implementation' ELSE 'other' END AS category FROM paths"""),
+    "fts_sort_modified": (sorted_by_modified, f"""
+WITH {DOCUMENTS}, {bm25("tok", FIELDS, KEEP, [["tion"]], "f0 > 0")},
+seen AS (SELECT file_id, epoch_ms(0) + INTERVAL 1 DAY * (file_id * 7 % 1000) AS last_modified FROM tok)
+SELECT s.file_id, relative_path, round(score, 6) AS score FROM scored s JOIN seen USING (file_id)
+ORDER BY last_modified DESC, s.file_id LIMIT 10"""),
     "stats_totals": (stats_totals, """
 SELECT count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_size,
        CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS total_tokens,
@@ -347,15 +389,20 @@ SELECT doc_id AS file_id,
        lambda i: CASE WHEN i = pos THEN '<mark>' || words[i] || '</mark>' ELSE words[i] END), ' ')
   || CASE WHEN a + 32 <= len(words) THEN '...' ELSE '' END AS snippet FROM q"""),
     "find_symbol_ranked": (find_symbol_query("small widget"), f"""
-WITH {PARTS}, {bm25("tok", ["t1", "t2"], "symbol_id, name, type", [["small"], ["widget"]], "f0 > 0 AND f1 > 0")}
-SELECT symbol_id, name, type, round(score, 6) AS score FROM scored
-ORDER BY round(scored.score, 6), CASE WHEN name = 'small widget' THEN 0 ELSE 1 END, length(name), symbol_id LIMIT 20"""),
-    "find_symbol_like": (find_symbol_query("% _"), """
-SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type FROM part WHERE p_name ILIKE '%% _%'
-ORDER BY length(p_name), p_partkey LIMIT 20"""),
-    "search_symbols_like": (search_symbols_like, """
-SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type, p_brand AS signature FROM part
-WHERE p_name ILIKE '%#12%' OR p_brand ILIKE '%#12%' ORDER BY p_name, p_partkey LIMIT 100"""),
+WITH {PARTS}, {PLACED}, {bm25("tok", ["t1", "t2"], "symbol_id, name, type", [["small"], ["widget"]], "f0 > 0 AND f1 > 0")}
+""" + found_sql("SELECT * FROM scored", "score, CASE WHEN name = 'small widget' THEN 0 ELSE 1 END, length(name), symbol_id", 20)),
+    "find_symbol_like": (find_symbol_query("% _"), f"WITH {PLACED}" + found_sql(
+        "SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type FROM part WHERE p_name ILIKE '%% _%'", "length(name), symbol_id", 20)),
+    "find_symbol_language": (find_symbol_query("small widget", languages=["2", "3"]), f"""
+WITH {PARTS}, {PLACED}, {bm25("tok", ["t1", "t2"], "symbol_id, name, type", [["small"], ["widget"]], "f0 > 0 AND f1 > 0")}
+""" + found_sql("SELECT s.* FROM scored s JOIN placed USING (symbol_id) WHERE language IN ('2', '3')",
+                "score, CASE WHEN name = 'small widget' THEN 0 ELSE 1 END, length(name), symbol_id", 20)),
+    "search_symbols_top15": (search_symbols_query("red OR widget"), f"""
+WITH {PARTS}, {PLACED}, {bm25("tok", ["t1", "t2"], "symbol_id, name, type", [["red"], ["widget"]], "f0 > 0 OR f1 > 0")}
+""" + found_sql("SELECT * FROM scored", "score, symbol_id", 15)),
+    "search_symbols_like": (search_symbols_query("#"), f"WITH {PLACED}" + found_sql(
+        "SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type FROM part WHERE p_name ILIKE '%#%' OR p_brand ILIKE '%#%'",
+        "name, symbol_id", 100)),
     "pack_token_budget": (pack_token_budget, f"""
 WITH {DOCUMENTS}, {bm25("tok", FIELDS, KEEP, [["tion"]], "f0 > 0")},
 top AS (SELECT file_id, relative_path, round(score, 6) AS score, CAST(ceil(size / 4.0) AS BIGINT) AS tokens
@@ -388,9 +435,12 @@ WITH {LINES}, {CANDIDATES},
 c AS (SELECT * FROM candidates ORDER BY is_test, relative_path, file_id LIMIT 20),
 u AS (SELECT c.file_id, c.relative_path, c.is_test, string_agg(n, ',' ORDER BY n) AS lines
       FROM c JOIN lines ON lines.doc_id = c.file_id WHERE {USAGE.replace("NAME", "The")} GROUP BY ALL),
-t AS (SELECT *, CAST(ceil(length(relative_path || lines) / 4.0) AS BIGINT) AS tokens FROM u),
-r AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY is_test, relative_path, file_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM t)
-SELECT * FROM r WHERE running_tokens <= 120"""),
+d AS (SELECT u.*, lang AS language, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS preview
+      FROM u JOIN documents ON doc_id = file_id),
+t AS (SELECT *, CAST(ceil(length('{{"file_id":' || file_id || ',"relative_path":' || to_json(relative_path) || ',"language":'
+        || to_json(language) || ',"preview":' || to_json(preview) || ',"lines":[' || lines || ']}}') / 4.0) AS BIGINT) AS result_tokens FROM d),
+r AS (SELECT *, CAST(sum(result_tokens) OVER (ORDER BY is_test, relative_path, file_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM t)
+SELECT * FROM r WHERE running_tokens <= 2500"""),
     "preview_first10_lines": (preview_first10, """
 SELECT doc_id AS file_id, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS preview FROM documents"""),
     "impact_unindexed": (unindexed_files, f"""

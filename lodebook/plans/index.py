@@ -19,6 +19,7 @@ from lodebook.operators import extraction, postings, resolve
 from lodebook.operators.search import SYMBOL_COLUMNS
 
 MATCH_TABLE = "matches"
+BYTES_PER_FILE = 256 * 1024 * 1024
 
 
 @dataclass
@@ -33,12 +34,17 @@ class BuildReport:
 def compare(scanned: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
     """path and state (new, changed, unchanged, deleted) from the path and hash columns.
 
-    Only the two narrow columns are shuffled.
+    Only the narrow columns are shuffled. A known file with an `error` has failed before and counts as
+    changed; a scanned one with an `error` could not be read: its old version stays, or it is `unreadable`.
     """
-    left = scanned.select("path", F.col("hash").alias("new_hash"))
-    right = known.select("path", F.col("hash").alias("old_hash"))
+    def error_of(table: DataFrame):
+        return F.col("error") if "error" in table.columns else F.lit(None).cast("string")
+
+    left = scanned.select("path", F.col("hash").alias("new_hash"), error_of(scanned).isNotNull().alias("unreadable"))
+    right = known.select("path", F.when(error_of(known).isNull(), F.col("hash")).otherwise("").alias("old_hash"))
     state = (
-        F.when(F.col("old_hash").isNull(), "new")
+        F.when(F.col("unreadable"), F.when(F.col("old_hash").isNull(), "unreadable").otherwise("unchanged"))
+        .when(F.col("old_hash").isNull(), "new")
         .when(F.col("new_hash").isNull(), "deleted")
         .when((F.col("old_hash") != F.col("new_hash")) | F.lit(force), "changed")
         .otherwise("unchanged")
@@ -125,7 +131,8 @@ class Index:
         kept_ids = self.table("files", old).select("path", "file_id").join(
             state.filter(F.col("state") == "unchanged").select("path"), "path", "left_semi").select("file_id")
 
-        fresh = scanned.join(touched, "path", "left_semi").withColumn("file_id", F.md5("path"))
+        unreadable = scanned.filter("error IS NOT NULL").count() if "error" in scanned.columns else 0
+        fresh = scanned.drop("error").join(touched, "path", "left_semi").withColumn("file_id", F.md5("path"))
         extraction.find_matches(fresh).write.parquet(f"{base}/{MATCH_TABLE}")
         match_schema = extraction.MATCH_SCHEMA.format(id="string")
         matches = self.spark.read.schema(match_schema).parquet(f"{base}/{MATCH_TABLE}")
@@ -164,9 +171,10 @@ class Index:
             postings.document_length().alias("index_tokens"),
             F.coalesce("imports", none).alias("imports"), F.coalesce("exports", none).alias("exports"),
             "structure", "error")
-        # Sorted by id, so that fetching a few files by id skips nearly all of the table.
+        # In ranges of ids, sorted, so that fetching a few files by id skips nearly all of the table.
         files = with_kept("files", new_files)
-        files = files.repartition("file_id").sortWithinPartitions("file_id")
+        total = scanned.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        files = files.repartitionByRange(max(1, -(-int(total) // BYTES_PER_FILE)), "file_id").sortWithinPartitions("file_id")
         files = save("files", files, schema.FILES)
 
         self._save_postings(base, files, symbols, touched, with_kept)
@@ -175,7 +183,7 @@ class Index:
             F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("error")).first()
         report = BuildReport(
             files_indexed=done[0] - done[2], symbols_extracted=new_symbols.count(), total_tokens=done[1],
-            errors=done[2], time_ms=int((time.time() - started) * 1000))
+            errors=done[2] + unreadable, time_ms=int((time.time() - started) * 1000))
         fs, _ = self._fs()
         fs.delete(self._path(f"{version}/plain_symbols"), True)
         fs.delete(self._path(f"{version}/{MATCH_TABLE}"), True)

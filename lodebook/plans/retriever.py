@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lodebook import cache
 from lodebook.functions import text
-from lodebook.functions.match import clean_term, match_of
+from lodebook.functions.match import match_of
 from lodebook.operators import graph, history, impact, packing, postings, related, search, stats, usages
 from lodebook.operators import symbols as symbol_ops
 from lodebook.plans.index import Index
+from lodebook.session import materialize
 from lodebook.sources import gitlog
 
 
@@ -108,7 +109,6 @@ class Retriever:
     def _packed(self, files: DataFrame, symbols: DataFrame, max_tokens: int) -> SearchResult:
         symbols = symbols.withColumn(
             "result_tokens", text.estimate_tokens(F.to_json(F.struct(*symbol_ops.RESULT))))
-        files, symbols = files.cache(), symbols.cache()
         plan = packing.pack_two_stage(
             files.select(F.col("file_id").alias("item_id"), "position", "result_tokens"),
             symbols.select(F.col("symbol_id").alias("item_id"), "position", "result_tokens"),
@@ -147,35 +147,14 @@ class Retriever:
             self.index.table("symbol_postings", self.version), term, *self._corpus("symbols"),
             key="symbol_id", carry=("name",))
 
-    def _symbol_results(self, hits: DataFrame, order: list, limit: int, languages) -> DataFrame:
-        """The top symbols with their details. Without a language filter, details are read
-        for the ids of the top rows only."""
-        if languages:
-            located = symbol_ops.with_file(self.symbols.drop("name").join(hits, "symbol_id"), self.files)
-            hits = located.filter(F.col("language").isin(languages)).select(*hits.columns)
-        top = [r.symbol_id for r in hits.orderBy(*order).limit(limit).collect()]
-        position = F.array_position(F.array(*[F.lit(i) for i in top]).cast("array<string>"), F.col("symbol_id"))
-        chosen = self.symbols.filter(F.col("symbol_id").isin(top))
-        return symbol_ops.with_file(chosen, self.files).select(
-            *symbol_ops.RESULT, position.cast("int").alias("position")).orderBy("position")
-
     def _ranked_symbols(self, term: str, languages, limit: int) -> DataFrame:
-        if match_of(term):
-            return self._symbol_results(
-                self._symbol_hits(term), [F.col("score"), F.col("symbol_id")], limit, languages)
-        hits = symbol_ops.like_symbols(self.symbols, term).select("symbol_id", "name")
-        return self._symbol_results(hits, [F.col("name"), F.col("symbol_id")], 100, languages)
+        hits = self._symbol_hits(term) if match_of(term) else None
+        return symbol_ops.search_symbols(self.symbols, self.files, term, languages, limit, hits=hits)
 
     def find_symbol(self, name: str, languages=None) -> DataFrame:
         """The best symbols for a name: by relevance, then exact name, then short names."""
-        exact = F.when(F.col("name") == (clean_term(name) if match_of(name) else name), 0).otherwise(1)
-        order = [exact, F.length("name"), F.col("symbol_id")]
-        if match_of(name):
-            found = self._symbol_results(self._symbol_hits(name), [F.col("score"), *order], 20, languages)
-        else:
-            hits = self.symbols.filter(text.like_ci(F.col("name"), name)).select("symbol_id", "name")
-            found = self._symbol_results(hits, order, 20, languages)
-        return found.drop("position")
+        hits = self._symbol_hits(name) if match_of(name) else None
+        return symbol_ops.find_symbol(self.symbols, self.files, name, languages, hits=hits).drop("position")
 
     def find_usages(self, name: str, languages=None, max_tokens: int = 4000) -> DataFrame:
         return usages.find_usages(self.files, self.symbols, name, max_tokens, languages)
@@ -266,7 +245,7 @@ class Retriever:
         if row is None or row.relative_path is None:
             return None
         path = row.relative_path
-        changes = gitlog.changes_of(gitlog.read_log(self.spark, self.project_root)).cache()
+        changes = materialize(gitlog.changes_of(gitlog.read_log(self.spark, self.project_root)), "git-log")
         own = history.commits_for(changes, path)
         origin = None
         if blame and root is not None:
@@ -277,7 +256,7 @@ class Retriever:
             history.change_frequency(own, F.current_timestamp()), history.co_changed(changes, path))
 
     def recent_changes(self, days: int = 7) -> DataFrame:
-        """Files changed in the last days; empty outside a repository."""
+        """The commits of each file changed in the last days; empty outside a repository."""
         log = gitlog.read_log(self.spark, self.project_root or "")
         return history.recent_changes(gitlog.changes_of(log), F.current_timestamp(), days)
 

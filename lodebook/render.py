@@ -61,6 +61,14 @@ def _more(values: list, count: int) -> str:
     return ", ".join(str(v) for v in values[:count]) + ("..." if len(values) > count else "")
 
 
+def recent_files(recent: DataFrame | None, count: int) -> list:
+    """The newest commit of each of the most changed files."""
+    if recent is None:
+        return []
+    newest = recent.groupBy("path", "commits").agg(F.min_by(F.struct("message", "author"), "ordinal").alias("c"))
+    return rows(newest.select("path", "commits", "c.*").orderBy(F.desc("commits"), "path"), count)
+
+
 def as_markdown(term: str, result: dict, include_tests: bool = False, blame: bool = False, days: int | None = None) -> str:
     out = [f"# Context for: {term}", ""]
     symbols = rows(result["symbols"], 6)
@@ -75,11 +83,11 @@ def as_markdown(term: str, result: dict, include_tests: bool = False, blame: boo
     out += _section("### Found in Files", [line for f in files[:5] for line in _file_lines(term, f)])
     out += _graph_lines(result.get("graph")) + _impact_lines(result.get("impact"))
     out += _history_lines(result.get("history"), blame)
-    recent = rows(result.get("recent"), 10)
+    recent = recent_files(result.get("recent"), 10)
     out += _section(f"### 🔄 Recent Changes (last {days or 7} days)", [
         line for r in recent for line in (
             f"- **{r.path}** ({r.commits} commits)",
-            f'  Last: "{r.last_commit.message}" by {r.last_commit.author}')])
+            f'  Last: "{r.message}" by {r.author}')])
     out += _section("### Text References", [
         line for u in rows(result.get("usages"), 10) for line in (
             f"- **{u.relative_path}**", f"  Lines: {_more(u.lines, 3)}")])

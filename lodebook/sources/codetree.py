@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodebook.sources.tables import read_table, spread
+from lodebook.sources.tables import read_table
 
 PYTHON_FILE = """\
 import os, json as js
@@ -59,6 +59,18 @@ type Box%1$d struct {
 }"""
 
 
+KEYS = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+}
+
+
+def keys_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The few narrow columns that contents are made from, dealt out before the contents exist."""
+    columns = KEYS[table]
+    return read_table(spark, folder, table).select(*columns).repartition(spark.sparkContext.defaultParallelism, columns[0])
+
+
 def _file(table: DataFrame, path: Column, content: Column, language: str) -> DataFrame:
     return table.select(
         path.alias("file_id"), path.alias("path"), path.alias("relative_path"), content.alias("content"),
@@ -66,29 +78,29 @@ def _file(table: DataFrame, path: Column, content: Column, language: str) -> Dat
 
 
 def python_files(spark: SparkSession, folder: str) -> DataFrame:
-    orders = read_table(spark, folder, "orders")
+    orders = keys_of(spark, folder, "orders")
     path = F.format_string("src/orders/order_%d.py", "o_orderkey")
-    return spread(_file(
-        orders, path, F.format_string(PYTHON_FILE, "o_custkey", "o_orderkey", "o_orderstatus"), "python"))
+    return _file(
+        orders, path, F.format_string(PYTHON_FILE, "o_custkey", "o_orderkey", "o_orderstatus"), "python")
 
 
 def typescript_files(spark: SparkSession, folder: str) -> DataFrame:
-    customers = read_table(spark, folder, "customer")
+    customers = keys_of(spark, folder, "customer")
     path = F.format_string("src/customers/customer_%d.ts", "c_custkey")
-    return spread(_file(
-        customers, path, F.format_string(TYPESCRIPT_FILE, "c_custkey", "c_nationkey", "c_mktsegment"), "typescript"))
+    return _file(
+        customers, path, F.format_string(TYPESCRIPT_FILE, "c_custkey", "c_nationkey", "c_mktsegment"), "typescript")
 
 
 def java_files(spark: SparkSession, folder: str) -> DataFrame:
-    suppliers = read_table(spark, folder, "supplier")
+    suppliers = keys_of(spark, folder, "supplier")
     path = F.format_string("src/suppliers/Supplier%d.java", "s_suppkey")
-    return spread(_file(suppliers, path, F.format_string(JAVA_FILE, "s_suppkey", "s_nationkey"), "java"))
+    return _file(suppliers, path, F.format_string(JAVA_FILE, "s_suppkey", "s_nationkey"), "java")
 
 
 def go_files(spark: SparkSession, folder: str) -> DataFrame:
-    parts = read_table(spark, folder, "part")
+    parts = keys_of(spark, folder, "part")
     path = F.format_string("src/parts/part_%d_test.go", "p_partkey")
-    return spread(_file(parts, path, F.format_string(GO_FILE, "p_partkey", "p_size"), "go"))
+    return _file(parts, path, F.format_string(GO_FILE, "p_partkey", "p_size"), "go")
 
 
 def all_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ from lodebook.sources.languages import detect_language, included
 MAX_FILE_SIZE = 1024 * 1024
 PARTITION_BYTES = 64 * 1024 * 1024
 PARTITION_FILES = 5000
-SCAN_SCHEMA = "path string, relative_path string, size long, last_modified timestamp, bytes binary"
+SCAN_SCHEMA = "path string, relative_path string, size long, last_modified timestamp, bytes binary, error string"
 
 
 class FileChunk(InputPartition):
@@ -73,16 +73,19 @@ class FileTreeReader(DataSourceReader):
         return chunks + [FileChunk(names)]
 
     def read(self, partition):
+        if partition.names and not os.path.isdir(self.root):
+            raise FileNotFoundError(f"this worker does not see the root {self.root}")
         for name in partition.names:
             path = os.path.join(self.root, name)
             try:
                 info = os.stat(path)
                 with open(path, "rb") as handle:
                     content = handle.read()
-            except OSError:
+            except OSError as problem:
+                yield path, name, None, None, None, f"{type(problem).__name__}: {problem.strerror}"
                 continue
             modified = datetime.datetime.fromtimestamp(info.st_mtime, datetime.timezone.utc)
-            yield path, name, info.st_size, modified, content
+            yield path, name, info.st_size, modified, content, None
 
 
 class FileTree(DataSource):
@@ -112,7 +115,10 @@ def ignore_patterns(root: str, patterns: list[str] | None) -> list[str]:
 def read_tree(spark: SparkSession, root: str, include: list[str] | None = None,
               ignore: list[str] | None = None, max_file_size: int | None = None,
               follow_symlinks: bool = False) -> DataFrame:
-    """Files below `root`: path, relative_path, content, hash, size, language, last_modified."""
+    """Files below `root`: path, relative_path, content, hash, size, language, last_modified, error.
+
+    A file that cannot be read has an `error` and no content; a root that a worker does not see stops the read.
+    """
     ship_package(spark)
     spark.dataSource.register(FileTree)
     raw = (
@@ -125,7 +131,7 @@ def read_tree(spark: SparkSession, root: str, include: list[str] | None = None,
     return with_derived(raw.filter(included(F.col("relative_path"), include or [])).select(
         # decode() would stop at invalid bytes; a validated cast replaces them instead.
         "path", "relative_path", F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"),
-        "size", "last_modified",
+        "size", "last_modified", "error",
     ))
 
 
@@ -150,5 +156,5 @@ def with_derived(files: DataFrame) -> DataFrame:
         F.sha2("content", 256).alias("hash"),
         F.col("size").cast("long").alias("size"),
         detect_language(F.col("path")).alias("language"),
-        "last_modified",
+        "last_modified", *[c for c in ("error",) if c in files.columns],
     )

@@ -29,19 +29,30 @@ BLAME_SCHEMA = (
 CHANGE_TYPES = {"A": "added", "D": "deleted", "R": "renamed"}
 
 
-def run_git(root: str, *args: str) -> str:
-    """Output of a git command; empty outside a repository or without commits."""
-    if not os.path.exists(os.path.join(root, ".git")):
+def has_repository(root: str) -> bool:
+    return os.path.exists(os.path.join(root, ".git"))
+
+
+def run_git(root: str, *args: str, required: bool = False) -> str:
+    """Output of a git command; empty outside a repository or without commits.
+
+    With `required` (in tasks, where the driver has seen the repository) both are errors.
+    """
+    if not has_repository(root):
+        if required:
+            raise FileNotFoundError(f"this worker does not see the repository {root}")
         return ""
     done = subprocess.run(["git", *args], cwd=root, capture_output=True, check=False)
-    if done.returncode not in (0, 128):
+    if done.returncode not in (0, 128) or (required and done.returncode):
         raise RuntimeError(done.stderr.decode("utf-8", "replace"))
     return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
 
 
 class CommitRange(InputPartition):
-    def __init__(self, skip: int):
-        self.skip = skip
+    """Up to COMMITS_PER_TASK commits in the order of the log; none stands for no history."""
+
+    def __init__(self, skip: int, ids: list[str] | None):
+        self.skip, self.ids = skip, ids
 
 
 class GitLogReader(DataSourceReader):
@@ -49,13 +60,17 @@ class GitLogReader(DataSourceReader):
         self.root = options["path"]
 
     def partitions(self):
-        total = int(run_git(self.root, "rev-list", "--count", "HEAD") or 0)
-        return [CommitRange(skip) for skip in range(0, max(total, 1), COMMITS_PER_TASK)]
+        # The ids are listed once, in the order of the log, so no task walks what stands before its range.
+        ids = run_git(self.root, "log", "--pretty=tformat:%H").split()
+        return [CommitRange(skip, ids[skip:skip + COMMITS_PER_TASK]) for skip in range(0, len(ids), COMMITS_PER_TASK)] or [
+            CommitRange(0, None)]
 
     def read(self, partition):
+        if not partition.ids:
+            return
         log = run_git(
-            self.root, "log", f"--skip={partition.skip}", f"--max-count={COMMITS_PER_TASK}", "-M",
-            "--root", "--raw", "--numstat", "-z", f"--pretty=tformat:{HEAD_FORMAT}",
+            self.root, "log", "--no-walk=unsorted", "-M", "--root", "--raw", "--numstat", "-z",
+            f"--pretty=tformat:{HEAD_FORMAT}", *partition.ids, required=True,
         )
         for offset, record in enumerate(log.split(RECORD)[1:]):
             fields = [f.lstrip("\n") for f in record.split("\0")]
@@ -99,6 +114,8 @@ class GitBlameReader(DataSourceReader):
         self.options = options
 
     def read(self, partition):
+        if self.options.get("required") == "true" and not has_repository(self.options["path"]):
+            raise FileNotFoundError(f"this worker does not see the repository {self.options['path']}")
         first = int(self.options["linestart"])
         out = run_git(
             self.options["path"], "blame", "-L", f"{first},{self.options['lineend']}",
@@ -155,7 +172,7 @@ def read_blame(spark: SparkSession, root: str, file: str, line_start: int, line_
     ship_package(spark)
     spark.dataSource.register(GitBlame)
     return (
-        spark.read.format("gitblame").option("file", file)
+        spark.read.format("gitblame").option("file", file).option("required", str(has_repository(root)).lower())
         .option("linestart", str(line_start)).option("lineend", str(line_end)).load(root)
     )
 

@@ -10,25 +10,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores on a table that is too small to be split into as many scan tasks.
-
-    A table with at least as many scan partitions as cores is returned as it is, so the
-    shuffle only ever moves less than one scan partition per core.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
-
-
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents")).select(
+    return read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("file_id"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relative_path"),
         F.col("text").alias("content"), F.col("lang").alias("language"), F.col("n_chars").alias("size"))
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "pages")).select(
+    return read_table(spark, folder, "pages").select(
         F.col("page_id").alias("file_id"), F.col("url").alias("relative_path"), F.col("html").alias("content"),
         F.lit("html").alias("language"), F.length("html").cast("long").alias("size"))
 

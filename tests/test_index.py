@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodebook import cache, cli, validate
 from lodebook.operators import graph, impact, packing, related
+from lodebook.operators.ranges import first_range, lines_in_ranges
 from lodebook.plans.index import Index, compare, merge_metadata
 from lodebook.plans.retriever import Retriever
 from lodebook.sources.filetree import read_tree
@@ -234,3 +235,35 @@ def test_stream_of_versions(spark, tmp_path):
     arrive(("a.py", "def a(): pass"), ("b.py", "def b(): pass"))
     arrive(("a.py", "def a2(): pass"))
     assert {r.name for r in index.table("symbols").collect()} == {"a2", "b"}
+
+
+def test_failed_and_unreadable_files(spark):
+    known = spark.createDataFrame([("a", "1", None), ("b", "2", "broken"), ("c", "3", None)], "path string, hash string, error string")
+    scanned = spark.createDataFrame(
+        [("a", None, "denied"), ("b", "2", None), ("c", "3", None), ("d", None, "denied")], "path string, hash string, error string")
+    states = {r.path: r.state for r in compare(scanned, known).collect()}
+    assert states == {"a": "unchanged", "b": "changed", "c": "unchanged", "d": "unreadable"}
+
+
+def test_unreadable_file_keeps_its_old_rows(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    for name in ("a.py", "b.py"):
+        (tmp_path / "p" / name).write_text(f"def {name[0]}():\n    pass\n")
+    index = Index(spark, str(tmp_path / "ix"))
+    index.build(read_tree(spark, str(tmp_path / "p")))
+    again = read_tree(spark, str(tmp_path / "p"))
+    lost = again.withColumn("error", F.when(F.col("relative_path") == "a.py", "denied")).withColumn(
+        "hash", F.when(F.col("relative_path") != "a.py", F.col("hash")))
+    assert index.build(lost).errors == 1
+    assert sorted(r.relative_path for r in index.table("files").collect()) == ["a.py", "b.py"]
+    assert {r.name for r in index.table("symbols").collect()} == {"a", "b"}
+
+
+def test_one_line_file_makes_no_pairs(spark):
+    """A line with very many calls and symbols is one point and one range."""
+    points = spark.createDataFrame([("f", 1, k) for k in range(3000)], "file_id string, line int, call int")
+    ranges = spark.createDataFrame([("f", 1, 1, k, k) for k in range(3000)], "file_id string, range_start int, range_end int, no int, first int")
+    found = first_range(points, ranges, "no", "first")
+    assert found.count() == 3000 and found.select("first").distinct().collect()[0][0] == 0
+    assert lines_in_ranges(points.select("file_id", "line").distinct(), ranges.groupBy("file_id", "range_start", "range_end").agg(
+        F.min("no").alias("no"))).count() == 1

@@ -105,8 +105,8 @@ def test_git_log(spark, repo):
     now = F.lit(datetime.datetime(2024, 1, 12, 10)).cast("timestamp")
     assert tuple(history.change_frequency(own, now).first()) == (1, 3, 3)
     recent = history.recent_changes(changes, now, 10).collect()
-    assert [(r.path, r.commits, r.last_commit.message) for r in recent] == [
-        ("a.py", 2, "third"), ("b.py", 1, "third"), ("c.py", 1, "rename"), ("d|e.py", 1, "second")]
+    assert [(r.path, r.commits, r.message) for r in recent] == [
+        ("a.py", 2, "third"), ("a.py", 2, "second"), ("b.py", 1, "third"), ("c.py", 1, "rename"), ("d|e.py", 1, "second")]
 
 
 def test_git_blame(spark, repo, tmp_path):
@@ -115,3 +115,25 @@ def test_git_blame(spark, repo, tmp_path):
         (1, "ann", "ann@x", "first | with bar", "one"), (2, "ann", "ann@x", "third", "TWO")]
     assert gitlog.last_commit_for_line(spark, repo, "a.py", 2).first().message == "third"
     assert gitlog.read_log(spark, str(tmp_path)).count() == 0
+
+
+def test_unreadable_files_are_reported_and_missing_roots_stop(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "good.py").write_text("x = 1\n")
+    reader = filetree.FileTreeReader({"path": str(root)})
+    rows = list(reader.read(filetree.FileChunk(["good.py", "gone.py"])))
+    assert [(r[1], r[4], r[5] is None) for r in rows] == [("good.py", b"x = 1\n", True), ("gone.py", None, False)]
+    reader.root = str(tmp_path / "elsewhere")
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(filetree.FileChunk(["good.py"])))
+
+
+def test_missing_repository_in_a_task_stops(repo, tmp_path):
+    reader = gitlog.GitLogReader({"path": repo})
+    parts = reader.partitions()
+    assert len(list(reader.read(parts[0]))) > 0
+    reader.root = str(tmp_path / "elsewhere")
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(parts[0]))
+    assert list(reader.read(reader.partitions()[0])) == []
