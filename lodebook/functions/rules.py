@@ -264,8 +264,8 @@ _NAME = r"([A-Za-z_$][\w$]*)"
 _GENERICS = r"(?:\s*<[^()]*?>)?"
 JAVASCRIPT = [
     Rule("js_function", rf"\b(async\s+)?function\s*(\*?)\s*{_NAME}{_GENERICS}\s*\(([^)]*)\)", "body", True),
-    Rule("js_function_value", rf"\b(?:const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?function\s*(\*?)\s*[\w$]*\s*\(([^)]*)\)", "body", True),
-    Rule("js_arrow", rf"\b(?:const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?{_GENERICS}(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z_$][\w$]*))\s*(?::[^={{}}\n]+)?=>", "expression", True),
+    Rule("js_function_value", rf"(?:\b(?:const|let|var)\s+|,\s*){_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?function\s*(\*?)\s*[\w$]*\s*\(([^)]*)\)", "body", True),
+    Rule("js_arrow", rf"(?:\b(?:const|let|var)\s+|,\s*){_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?{_GENERICS}(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z_$][\w$]*))\s*(?::[^={{}}\n]+)?=>", "expression", True),
     Rule("js_class", rf"(?<!= )\b(abstract\s+)?class\s+(?!extends\b){_NAME}{_GENERICS}(?:\s+extends\s+([\w$.]+)[^{{]*)?[^{{;()]*(?=\{{)", "body", True),
     Rule("js_class_value", rf"\b(?:const|let|var)\s+{_NAME}\s*=\s*class\b(?:\s+(?!extends\b)[\w$]+)?(?:\s+extends\s+([\w$.]+))?[^{{;()]*(?=\{{)", "body", True),
     Rule("js_method", rf"^[ \t]*((?:(?:public|private|protected|readonly|override|abstract|static|async|get|set)\s+)*)\*?\s*#?{_NAME}{_GENERICS}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{}};]+)?(?=\{{)", "body", True),
@@ -282,7 +282,11 @@ JAVASCRIPT = [
     Rule("js_call_member", rf"(?:(?<![\w$.)\]?]){_NAME}|(?<=[\w$)\]}}]))\s*\.\s*{_NAME}\s*\(", "line", True),
     Rule("js_call_new", rf"(?<![\w$.])new\s+{_NAME}(?![\w$.])", "line", True),
 ]
-JS_MASK = r"//[^\n]*|/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
+# What follows the words of a Java or C# function; without it their patterns need not be tried.
+TAILS = {
+    ("java", REGEX_LANGUAGES["java"]["function"][0]): r"\([^)]*\)(?:\s+throws\s+[\w,\s]+)?\s*\{",
+    ("csharp", REGEX_LANGUAGES["csharp"]["function"][0]): r"\([^)]*\)",
+}
 
 
 def _from_table(table: dict[str, list[str]]) -> list[Rule]:

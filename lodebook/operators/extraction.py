@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,32 +35,113 @@ MATCH_SCHEMA = (
 )
 
 
-def _block_end(lines: list[str], first: int) -> int:
-    """Last line of a block: matching brace if the first line opens one, else the dedent."""
-    if "{" in lines[first]:
-        depth, opened = 0, False
-        for number in range(first, len(lines)):
-            for brace in re.findall(r"[{}]", lines[number]):
+class FileFacts:
+    """What several matches of a file need to know about its lines, found once and only if asked for."""
+
+    def __init__(self, content: str):
+        self.lines = content.split("\n")
+        self.starts = [0]
+        for line in self.lines:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+
+    def line_of(self, at: int) -> int:
+        return bisect.bisect_right(self.starts, at) - 1
+
+    @cached_property
+    def indents(self) -> list[int]:
+        return [len(line) - len(line.lstrip()) for line in self.lines]
+
+    @cached_property
+    def _braces(self) -> tuple[list[int], list[int], dict[int, list[int]]]:
+        """Events in order: the line of each brace and the depth after it; the closing ones by depth."""
+        at, depths, closing, depth = [], [], {}, 0
+        for number, line in enumerate(self.lines):
+            for brace in re.findall(r"[{}]", line):
                 depth += 1 if brace == "{" else -1
-                opened = opened or brace == "{"
-                if brace == "}" and opened and depth == 0:
-                    return number + 1
-        return len(lines)
-    base = len(lines[first]) - len(lines[first].lstrip())
-    for number in range(first + 2, len(lines)):
-        line = lines[number].lstrip()
-        if line and len(lines[number]) - len(line) <= base:
-            return number
-    return min(first + 11, len(lines))
-
-
-def _indent_end(lines: list[str], first: int, base: int) -> int:
-    """Last line before the next code line that is indented no deeper than `base`."""
-    for number in range(first + 1, len(lines)):
-        line = lines[number].lstrip()
-        if line and not line.startswith("#") and len(lines[number]) - len(line) <= base:
-            return number
-    return len(lines)
+                if brace == "}":
+                    closing.setdefault(depth, []).append(len(at))
+                at.append(number)
+                depths.append(depth)
+        return at, depths, closing
+
+    def block_end(self, first: int) -> int:
+        """Last line of a block: matching brace if the first line opens one, else the dedent."""
+        if "{" in self.lines[first]:
+            at, depths, closing = self._braces
+            event = bisect.bisect_left(at, first)
+            base = depths[event - 1] if event else 0
+            while depths[event] < (depths[event - 1] if event else 0):
+                event += 1  # closing braces before the first opening one
+            same = closing.get(base, [])
+            place = bisect.bisect_left(same, event)
+            return at[same[place]] + 1 if place < len(same) else len(self.lines)
+        base = self.indents[first]
+        for number in range(first + 2, min(first + 11, len(self.lines))):
+            if self.indents[number] < len(self.lines[number]) and self.indents[number] <= base:
+                return number
+        return self._next_code(first + 11, base) or min(first + 11, len(self.lines))
+
+    def _next_code(self, first: int, base: int) -> int | None:
+        """The first line from `first` on that is not blank and indented no deeper than `base`."""
+        best = None
+        for indent, numbers in self._by_indent.items():
+            if indent <= base:
+                place = bisect.bisect_left(numbers, first)
+                if place < len(numbers) and (best is None or numbers[place] < best):
+                    best = numbers[place]
+        return best
+
+    @cached_property
+    def _by_indent(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for number, indent in enumerate(self.indents):
+            if indent < len(self.lines[number]):
+                found.setdefault(indent, []).append(number)
+        return found
+
+    @cached_property
+    def _next_shallow(self) -> list[int]:
+        """For each code line the next code line that is indented no deeper (comment lines aside)."""
+        after, stack = [len(self.lines)] * len(self.lines), []
+        for number in range(len(self.lines) - 1, -1, -1):
+            line = self.lines[number].lstrip()
+            if not line or line.startswith("#"):
+                continue
+            while stack and self.indents[stack[-1]] > self.indents[number]:
+                stack.pop()
+            after[number] = stack[-1] if stack else len(self.lines)
+            stack.append(number)
+        return after
+
+    def indent_end(self, first: int) -> int:
+        """Last line before the next code line that is indented no deeper than the first."""
+        return self._next_shallow[first]
+
+    @cached_property
+    def _class_above(self) -> list[int | None]:
+        """Indent of the nearest class line above each line, with no top-level line between."""
+        found, indent = [], None
+        for number, line in enumerate(self.lines):
+            found.append(indent)
+            if re.match(r"\s*class\s+\w+", line):
+                indent = self.indents[number]
+            elif re.match(r"[^\s@]", line):
+                indent = None
+        return found
+
+    def inside_class(self, first: int) -> bool:
+        indent = self._class_above[first]
+        return indent is not None and self.indents[first] > indent
+
+    def decorators(self, first: int) -> list[str]:
+        found: list[str] = []
+        for number in range(first - 1, -1, -1):
+            line = self.lines[number].strip()
+            if line.startswith("@"):
+                found.insert(0, line)
+            elif line:
+                break
+        return found
 
 
 def _statement_end(text: str, at: int, braces_only: bool) -> int:
@@ -79,53 +160,141 @@ def _statement_end(text: str, at: int, braces_only: bool) -> int:
     return len(text)
 
 
-def _inside_class(lines: list[str], first: int) -> bool:
-    """Whether the nearest class line above, with no top-level line between, is less indented."""
-    own = len(lines[first]) - len(lines[first].lstrip())
-    for line in reversed(lines[:first + 1]):
-        if re.match(r"\s*class\s+\w+", line):
-            return own > len(line) - len(line.lstrip())
-        if re.match(r"[^\s@]", line):
-            return False
-    return False
+_JS_TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|[`{}/]", re.S)
+_JS_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.S)
+_JS_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_REGEX = re.compile(r"(?:[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else))\s*\Z|\A\s*\Z")
 
 
-def _decorators(lines: list[str], first: int) -> list[str]:
-    found: list[str] = []
-    for line in map(str.strip, reversed(lines[:first])):
-        if line.startswith("@"):
-            found.insert(0, line)
-        elif line:
+def mask_js(text: str) -> str:
+    """The text with the inside of strings, comments and regular expressions blanked; `${...}` in templates stays."""
+    out, at, keep = [], 0, 0
+    templates: list[int] = []  # depth of braces at which each open template goes on
+    depth = 0
+
+    def blank(start: int, end: int) -> None:
+        nonlocal keep
+        out.append(text[keep:start])
+        out.append(re.sub(r"[^\n]", " ", text[start:end]))
+        keep = end
+
+    while True:
+        mark = _JS_TOKEN.search(text, at)
+        if mark is None:
             break
+        token, at = mark.group(), mark.end()
+        if token == "`" or (token == "}" and templates and templates[-1] == depth):
+            if token == "}":
+                templates.pop()
+            end = _JS_TEMPLATE.match(text, at).end()
+            if text.startswith("${", end):
+                blank(mark.start(), end + 2)
+                templates.append(depth)
+                at = end + 2
+            else:
+                at = min(end + 1, len(text))
+                blank(mark.start(), at)
+        elif token == "{":
+            depth += 1
+        elif token == "}":
+            depth -= 1
+        elif token == "/":
+            literal = _JS_REGEX.match(text, mark.start())
+            if literal and _BEFORE_REGEX.search(text[max(0, mark.start() - 20):mark.start()]):
+                at = literal.end()
+                blank(mark.start(), at)
+        else:
+            blank(mark.start(), at)
+    out.append(text[keep:])
+    return "".join(out)
+
+
+def declarator_commas(masked: str) -> set[int]:
+    """Offsets of the commas between the declarators of const, let and var statements."""
+    found: set[int] = set()
+    frames = [False]
+    for mark in re.finditer(r"[()\[\]{};,]|\b(?:const|let|var)\b|(?<![,=+\-*/&|?:(\s])[ \t]*\n(?!\s*[,.=+\-*/&|?:)])", masked):
+        token = mark.group()
+        if token in "([{":
+            frames.append(False)
+        elif token in ")]}":
+            if len(frames) > 1:
+                frames.pop()
+        elif token == ",":
+            if frames[-1]:
+                found.add(mark.start())
+        elif token == ";" or token.endswith("\n"):
+            frames[-1] = False
+        else:
+            frames[-1] = True
     return found
 
 
+def _is_shorthand_method(masked: str, match: re.Match) -> bool:
+    """Is `name(...)` a method of an object literal? It follows `{` or `,` and a body follows it."""
+    before = re.sub(r"(\b(?:async|get|set)|\*)\s*\Z", "", masked[max(0, match.start() - 200):match.start()].rstrip()).rstrip()
+    if not before.endswith(("{", ",")):
+        return False
+    depth, at = 0, match.end() - 1
+    for mark in re.compile(r"[()]").finditer(masked, at):
+        depth += 1 if mark.group() == "(" else -1
+        if depth == 0:
+            return re.compile(r"\s*\{").match(masked, mark.end()) is not None
+    return False
+
+
+def anchored(regex: re.Pattern, tail: re.Pattern, content: str) -> Iterator[re.Match]:
+    """Matches of a pattern that begins with words and blanks up to a parenthesis.
+
+    Such a match lies in a run of words and blanks that ends at a parenthesis with the right things behind it; only
+    there is the pattern tried, so text without such runs costs one pass.
+    """
+    end = 0
+    for run in re.finditer(r"(?<![\w\s])[\w\s]++(?=\()", content, re.A):
+        if tail.match(content, run.end()):
+            at = max(run.start(), end)
+            match = regex.search(content, at)
+            while match and match.start() < run.end():
+                end = match.end()
+                yield match
+                match = None
+
+
 def file_matches(file_id, language: str | None, content: str, rules) -> Iterator[tuple]:
     """All rule matches of one file. `rules` holds (index, rule, compiled pattern)."""
-    lines = content.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    masked = content
+    facts = FileFacts(content)
+    masked, commas = content, None
     if any(rule.masked for _, rule, _ in rules):
-        masked = re.sub(R.JS_MASK, lambda m: re.sub(r"[^\n]", " ", m.group()), content)
+        masked = mask_js(content)
     for index, rule, regex in rules:
-        for match in regex.finditer(masked if rule.masked else content):
-            first = bisect.bisect_right(starts, match.start()) - 1
+        tail = R.TAILS.get((language, rule.pattern))
+        found = anchored(regex, re.compile(tail, re.A), content) if tail else regex.finditer(masked if rule.masked else content)
+        for match in found:
+            begin = match.start()
+            if masked[begin:begin + 1] == "," and rule.masked:
+                if commas is None:
+                    commas = declarator_commas(masked)
+                if begin not in commas:
+                    continue
+                begin = match.start(1)
+            if rule.kind == "js_call" and _is_shorthand_method(masked, match):
+                continue
+            first = facts.line_of(begin)
             groups = [g or "" for g in match.groups()]
             last, in_class, marks = first + 1, False, []
             if rule.ends == "block":
-                last = _block_end(lines, first)
+                last = facts.block_end(first)
             elif rule.ends == "indent":
-                last = _indent_end(lines, first, len(groups[0]))
-                in_class = len(groups[0]) > 0 and _inside_class(lines, first)
-                marks = _decorators(lines, first)
+                last = facts.indent_end(first)
+                in_class = len(groups[0]) > 0 and facts.inside_class(first)
+                marks = facts.decorators(first)
             elif rule.ends in ("body", "expression"):
                 # Leading indentation is no part of the construct.
                 end = _statement_end(masked, match.end(), rule.ends == "body")
-                last = bisect.bisect_right(starts, end)
-            yield (file_id, language, rule.kind, index, match.start(), first + 1, last,
-                   match.start() - starts[first] + 1, match.group(), groups, in_class, marks, None)
+                last = bisect.bisect_right(facts.starts, end)
+            yield (file_id, language, rule.kind, index, begin, first + 1, last,
+                   begin - facts.starts[first] + 1, content[begin:match.end()] if rule.masked else match.group(),
+                   groups, in_class, marks, None)
 
 
 @lru_cache(maxsize=None)
@@ -134,17 +303,21 @@ def compiled_rules(language: str) -> list[tuple[int, R.Rule, re.Pattern]]:
     return [(i, rule, re.compile(rule.pattern, re.M | re.A)) for i, rule in enumerate(rules.get(language, rules[""]))]
 
 
-def _match_finder(schema: pa.Schema):
+def _match_finder(schema: pa.Schema, kinds: frozenset[str] | None):
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
+    def wanted(language: str) -> list:
+        rules = compiled_rules(language)
+        return rules if kinds is None else [r for r in rules if r[1].kind in kinds]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for file_id, language, content in zip(*[column.to_pylist() for column in batch.columns]):
                 try:
-                    found = list(file_matches(file_id, language, content, compiled_rules(language or "")))
+                    found = list(file_matches(file_id, language, content, wanted(language or "")))
                 except Exception as problem:  # one bad file is reported and the rest goes on
                     found = [(file_id, language, "error", -1, 0, 0, 0, 0, "", [], False, [], repr(problem))]
                 rows.extend(found)
@@ -157,14 +330,17 @@ def _match_finder(schema: pa.Schema):
     return find
 
 
-def find_matches(files: DataFrame) -> DataFrame:
-    """One row per rule match. Narrow: no shuffle, files stay where they were read."""
+def find_matches(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per rule match. Narrow: no shuffle, files stay where they were read.
+
+    With `kinds` only the rules of these kinds are run; rules keep their numbers.
+    """
     ship_package(files.sparkSession)
     id_type = files.schema["file_id"].dataType.simpleString()
     schema = StructType.fromDDL(MATCH_SCHEMA.format(id=id_type))
     arrow = pa.schema([
         pa.field(f.name, ARROW_TYPES.get(f.dataType.simpleString(), pa.string())) for f in schema.fields])
-    return files.select("file_id", "language", "content").mapInArrow(_match_finder(arrow), schema)
+    return files.select("file_id", "language", "content").mapInArrow(_match_finder(arrow, None if kinds is None else frozenset(kinds)), schema)
 
 
 def _group(n: int) -> Column:
@@ -212,6 +388,11 @@ SYMBOL_KINDS = (
     "js_class js_class_value js_interface js_type js_enum"
 ).split()
 
+# What symbols_of, calls_of, imports_exports_of and comments_of read.
+SYMBOL_RULES = (*SYMBOL_KINDS, "js_method")
+CALL_RULES = ("js_method js_call js_call_member js_call_new call_function call_method call_new "
+              "py_call_function py_call_method py_call_new").split()
+
 
 def _pick(kind_values: dict[str, Column]) -> Column:
     result = None

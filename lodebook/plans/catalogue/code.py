@@ -16,21 +16,21 @@ SYMBOL = ["file_id", "name", "type", "line_start", "line_end", "signature"]
 CALL = ["file_id", "callee_name", "call_type", "line_number", "column_number"]
 
 
-def matches_in(files: DataFrame) -> DataFrame:
+def matches_in(files: DataFrame, kinds=None) -> DataFrame:
     """Rule matches written once for their several readers."""
-    return materialize(extraction.find_matches(files), "matches")
+    return materialize(extraction.find_matches(files, kinds), "matches")
 
 
 def symbols_in(files):
     def query(spark, sf):
-        return extraction.symbols_of(matches_in(files(spark, sf))).select(*SYMBOL)
+        return extraction.symbols_of(matches_in(files(spark, sf), extraction.SYMBOL_RULES)).select(*SYMBOL)
 
     return query
 
 
 def calls_in(files):
     def query(spark, sf):
-        return extraction.calls_of(matches_in(files(spark, sf))).select(*CALL)
+        return extraction.calls_of(matches_in(files(spark, sf), extraction.CALL_RULES)).select(*CALL)
 
     return query
 

@@ -1,5 +1,7 @@
 import re
 
+import time
+
 import pytest
 
 from lodebook.functions import rules as R
@@ -183,3 +185,50 @@ def test_resolution(spark):
     edges = {r.call_id: (r.caller_symbol_id, r.callee_symbol_id, r.callee_file_id) for r in resolve.call_graph(calls, symbols).collect()}
     assert edges == {
         "1": ("a#000000000000000000001", "b#000000000000000000001", "b"), "2": ("a#000000000000000000002", "a#000000000000000000002", "a"), "3": (None, None, None), "4": ("c#000000000000000000001", "c#000000000000000000001", "c"), "5": ("a#000000000000000000001", "b#000000000000000000002", "b")}
+
+
+def found(language, text, *kinds):
+    rows = X.file_matches("f", language, text, X.compiled_rules(language))
+    return [(r[2], [g for g in r[9] if g]) for r in rows if r[2] in kinds]
+
+
+@pytest.mark.parametrize("text, calls", [
+    ("`x ${helper(1)} y ${`a ${b(2)} c(3)`} z`; g()", ["helper", "b", "g"]),
+    ("s.replace(/'/g, esc(s)).trim(); f('x(')", ["esc", "f"]),
+    ("let q = a / b; h(c / d); k(/[/(]x(y)/)", ["h", "k"]),
+    ("const o = { go() { return 1 }, async stop(a) { x() }, *it() {} }", ["x"]),
+    ("if (x) { go() }", ["go"]),
+    ("'a\\'b(1)'; /* c(1) */ d() // e()", ["d"]),
+])
+def test_javascript_calls(text, calls):
+    assert [g[0] for _, g in found("javascript", text, "js_call")] == calls
+
+
+def test_javascript_declarators():
+    text = "const a = 1, c = () => run(2),\n  d = function () {}\nfoo(1, e => 2); f(x, y = () => 1)"
+    assert sorted((k, g[0]) for k, g in found("javascript", text, "js_arrow", "js_function_value")) == [
+        ("js_arrow", "c"), ("js_function_value", "d")]
+
+
+@pytest.mark.parametrize("language", ["java", "csharp", "python", "javascript"])
+def test_long_prose_takes_linear_time(language):
+    started = time.time()
+    assert found(language, "plain words without any mark " * 36000, "function") == []
+    assert time.time() - started < 20
+
+
+def test_many_blocks_in_one_file():
+    body = "".join(f"void f{k}() {{\n  if (a) {{ g(); }}\n}}\n" for k in range(4000))
+    started = time.time()
+    rows = [r for r in X.file_matches("f", "java", "class A {\n" + body, X.compiled_rules("java")) if r[2] == "function"]
+    assert len(rows) >= 4000 and time.time() - started < 20
+    # The blank before a name belongs to the match, so its first line is the one before.
+    text = "class A {\n  int f() {\n    x();\n  }\n}\n"
+    facts = X.FileFacts(text)
+    assert [facts.block_end(k) for k in (0, 1)] == [5, 4]
+
+
+def test_file_facts_of_python():
+    text = "class A:\n    @dec\n    def f(self):\n        x = 1\n\n    # c\n    def g(self): pass\n\ndef h():\n    pass\n"
+    rows = [r for r in X.file_matches("f", "python", text, X.compiled_rules("python")) if r[2] in ("py_def", "py_class")]
+    assert [(r[5], r[6], r[10], r[11]) for r in rows] == [(3, 6, True, ["@dec"]), (7, 8, True, []), (9, 11, False, []), (1, 8, False, [])]
