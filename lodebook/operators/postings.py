@@ -7,16 +7,21 @@ own words only. A common word is spread over several files of its bucket.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodebook.functions import bm25, text
 from lodebook.functions.match import Match, match_of
 from lodebook.operators.search import FILE_COLUMNS
+from lodebook.session import ship_package
 
 TOKENS_PER_FILE = 50_000_000
+GROUP_ROWS = 500
 
 
 def layout(total_length: int) -> tuple[int, int]:
@@ -39,23 +44,38 @@ def document_length(columns: tuple = FILE_COLUMNS) -> Column:
 
 
 def build(table: DataFrame, key: str = "file_id", columns: tuple = FILE_COLUMNS, carry: tuple = ()) -> DataFrame:
-    """term, key, carry, field, positions, doc_length.
-
-    A document's tokens never leave their task before they are grouped: the partial
-    aggregation sees all of them, so the shuffle carries one row per distinct term.
-    """
-    lengths = table.select(key, *carry, F.array(*_field_tokens(columns)).alias("fields")).withColumn(
-        "doc_length",
-        F.aggregate("fields", F.lit(0), lambda total, words: total + F.size(words)).cast("long"))
-    words = (
-        lengths.select(key, *carry, "doc_length", F.posexplode("fields").alias("field", "words"))
-        .select(key, *carry, "doc_length", "field", F.posexplode("words").alias("position", "term"))
-    )
-    return (
-        words.groupBy(key, *carry, "doc_length", "field", "term")
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        .select("term", key, *carry, "field", "positions", "doc_length")
-    )
+    """term, key, carry, field, positions, doc_length. Narrow: a document's words are grouped where it is read."""
+    ship_package(table.sparkSession)
+    source = table.select(key, *carry, F.array(*_field_tokens(columns)).alias("fields"))
+    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    names = ["term", key, *carry, "field", "positions", "doc_length"]
+    width = len(columns)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(start, GROUP_ROWS)
+                lists = part.column(part.num_columns - 1).flatten()
+                sizes = np.diff(lists.offsets.to_numpy())
+                words = lists.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                position = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                code = owner * np.int64(len(words.dictionary)) + words.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                code = code[order]
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                term, place = code[first] % len(words.dictionary), code[first] // len(words.dictionary)
+                row = pa.array(place // width)
+                lengths = sizes.reshape(-1, width).sum(1)
+                positions = pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [words.dictionary.take(pa.array(term)), *(part.column(i).take(row) for i in range(1 + len(carry))),
+                     pa.array((place % width).astype(np.int32)), positions, pa.array(lengths[place // width].astype(np.int64))], names)
+
+    return source.mapInArrow(group, f"term string, {kept}, field int, positions array<int>, doc_length long")
 
 
 def write(postings: DataFrame, path: str, total_length: int, key: str = "file_id") -> None:
