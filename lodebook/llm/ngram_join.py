@@ -135,6 +135,10 @@ def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth
             leaves.append(large.select("bucket", "rep", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
         if last or large.isEmpty():
             break
+        if level == 1:
+            # Tokens of one passage make buckets of nearly the same members: in each run a member goes on from one of them.
+            large = large.groupBy("run", "rep").agg(F.min_by(F.struct("bucket", "n"), F.xxhash64("bucket", F.lit(9))).alias("b")).select(
+                "b.bucket", "run", "rep", "b.n")
         own = materialize(large.join(classes.select("rep", "pool"), "rep").select(
             "bucket", "run", "rep", "n", F.transform(F.filter("pool", lambda t: t["run"] == F.col("run")),
                                                      lambda t: t["token"]).alias("tokens")), f"split-{level}")
