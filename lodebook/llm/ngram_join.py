@@ -146,9 +146,11 @@ def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth
         common = (own.select("bucket", "n", F.explode("tokens").alias("token")).groupBy("bucket", "token")
                   .agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= COMMON * F.col("n"))
                   .groupBy("bucket").agg(F.collect_list("token").alias("common")))
-        rest = (own.join(common, "bucket", "left")
-                .withColumn("rest", F.array_except("tokens", F.coalesce("common", F.array().cast("array<bigint>"))))
-                .withColumn("heavy", F.size("rest") <= (1 - HEAVY) * F.size("tokens")))
+        # Written, so that this join ends its stage and a bucket of very many members can be split.
+        rest = materialize(
+            own.join(common, "bucket", "left")
+            .withColumn("rest", F.array_except("tokens", F.coalesce("common", F.array().cast("array<bigint>"))))
+            .select("bucket", "run", "rep", "rest", (F.size("rest") <= (1 - HEAVY) * F.size("tokens")).alias("heavy")), f"rest-{level}")
         # Members that have little besides them may be similar by them alone: all such pairs are compared.
         heavy = rest.where("heavy").select("bucket", "rep")
         many = heavy.groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n"))
