@@ -52,10 +52,25 @@ class ResultCache:
         rows = entry(result, F.to_json(F.struct(*result.columns)))
         rows.unionByName(marker).write.mode("overwrite").parquet(self._path(key))
 
+    def purge(self) -> int:
+        """Delete the folders of entries that have run out; how many there were."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/cache")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root) or not fs.listStatus(root):
+            return 0
+        entries = self.spark.read.schema(schema.CACHE).parquet(f"{self.folder}/cache/*")
+        name = F.element_at(F.split(F.input_file_name(), "/"), -2)
+        ends = entries.select(name.alias("name"), "expires_at").groupBy("name").agg(F.max("expires_at").alias("expires_at"))
+        gone = [r.name for r in ends.filter(F.col("expires_at") <= F.current_timestamp()).collect()]
+        for folder in gone:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/cache/{folder}"), True)
+        return len(gone)
+
     def through(self, key: str, result: DataFrame, minutes: int) -> DataFrame:
         """The cached rows, or the result after storing it."""
         stored = self.get(key)
         if stored is None:
+            self.purge()
             self.put(key, result, minutes)
             stored = self.get(key)
         return stored.select(F.from_json("result", result.schema).alias("r")).select("r.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodebook.functions import rules as R
 from lodebook.operators import extraction, graph, impact, related, resolve
 from lodebook.operators import symbols as symbol_ops
 from lodebook.plans.catalogue.texts import joined
@@ -78,8 +79,16 @@ def calls_of_pages(spark, sf):
 def generic_matches_documents(spark, sf):
     """Comments and calls in prose, counted per document and kind."""
     found = extraction.find_matches(document_files(spark, sf).withColumn("language", F.lit(None).cast("string")))
-    return found.groupBy("file_id", "kind").agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("line").cast("long").alias("line_sum"))
+    return found.groupBy("file_id", "kind").agg(F.count(F.lit(1)).alias("matches"))
+
+
+def generic_sql() -> str:
+    """The fallback patterns, each counted over whole texts."""
+    patterns = [(kind, p) for kind, group in R.GENERIC.items() for p in group] + list(R.CALLS.items())
+    counted = " UNION ALL ".join(
+        f"SELECT doc_id AS file_id, '{kind}' AS kind, len(regexp_extract_all(text, '(?m)" + pattern.replace("'", "''") + "')) AS n FROM documents"
+        for kind, pattern in patterns)
+    return f"SELECT file_id, kind, CAST(sum(n) AS BIGINT) AS matches FROM ({counted}) WHERE n > 0 GROUP BY 1, 2"
 
 
 def tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -289,7 +298,7 @@ SELECT page_id AS file_id, regexp_extract(m, '^\w+') AS callee_name,
        1 AS line_number, CAST(start + 1 AS BIGINT) AS column_number FROM placed
 WHERE regexp_extract(m, '^\w+') NOT IN ('if','else','for','while','do','switch','case','break','continue','return','throw',
   'try','catch','finally','class','function','const','let','var','new','this','true','false','null')"""),
-    "extract_generic_documents": (generic_matches_documents, None),
+    "extract_generic_documents": (generic_matches_documents, generic_sql()),
     "caller_interval_join": (callers, f"""
 WITH {ALL_CALLS} SELECT file_id, callee_name, call_type, line_number, caller FROM calls"""),
     "callee_resolution_local_global": (callees, f"""

@@ -147,6 +147,7 @@ def test_cache(spark, tmp_path):
     assert cache.ResultCache(spark, str(tmp_path), "v2").get("q") is None
     store.put("old", rows, -1)
     assert store.get("old") is None
+    assert store.purge() == 1 and store.purge() == 0
     assert store.through("none", rows.limit(0), 5).count() == 0 and store.get("none") is not None
     entries = spark.sql("SELECT 'k' AS query_key, timestamp'2024-01-01 00:00:00' AS expires_at")
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
