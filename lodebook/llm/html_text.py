@@ -30,25 +30,45 @@ from lodebook.llm import arrays
 from lodebook.session import ship_package
 
 #: Fixed values of HTML.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = set("""address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption
-figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noscript ol
-option optgroup p pre section select summary table tbody td textarea tfoot th thead title tr ul button""".split())
-SILENT = set("script style head title noscript template svg math iframe object canvas audio video select textarea button".split())
-ASIDE = set("nav header footer aside form menu dialog fieldset".split())
-ENDS_P = BLOCK - set("body html button caption legend optgroup option tbody td tfoot th thead tr title iframe canvas noscript select textarea".split())
+VOID = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+}
+BLOCK = {
+    "address", "article", "aside", "blockquote", "body", "canvas", "caption", "center", "dd", "details", "dialog",
+    "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3",
+    "h4", "h5", "h6", "header", "hgroup", "hr", "html", "iframe", "legend", "li", "main", "menu", "nav", "noscript",
+    "ol", "option", "optgroup", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "textarea",
+    "tfoot", "th", "thead", "title", "tr", "ul", "button",
+}
+SILENT = {
+    "script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio",
+    "video", "select", "textarea", "button",
+}
+ASIDE = {
+    "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset",
+}
+ENDS_P = BLOCK - {
+    "body", "html", "button", "caption", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr",
+    "title", "iframe", "canvas", "noscript", "select", "textarea",
+}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot"},
           "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"},
          "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: Names that tell an element's purpose, matched against the words of its class, id and role.
-PURPOSE = re.compile(
-    r"^(ads?|adverts?|advertisements?|adbox|adslot|advertising|sponsor(ed|s)?|promo(tion|tions|s)?|banner|sidebar|side|aside|"
-    r"rail|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|header|masthead|topbar|footer|bottombar|"
-    r"cookies?|consent|gdpr|notices?|alerts?|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"search|searchbox|form|comments?|commentlist|replies|reply|respond|disqus|discussion|responses|social|share|sharing|"
-    r"related|recommended|recommendations|trending|popular|complementary|contentinfo|dialog|hidden|skip|copyright|legal)$")
+PURPOSE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "adbox", "adslot", "advertising", "sponsor",
+    "sponsored", "sponsors", "promo", "promos", "promotion", "promotions", "banner", "sidebar", "side", "aside",
+    "rail", "widget", "widgets", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs",
+    "pagination", "pager", "toc", "header", "masthead", "topbar", "footer", "bottombar", "cookie", "cookies",
+    "consent", "gdpr", "notice", "notices", "alert", "alerts", "disclaimer", "popup", "modal", "overlay",
+    "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchbox", "form", "comment",
+    "comments", "commentlist", "replies", "reply", "respond", "disqus", "discussion", "responses", "social", "share",
+    "sharing", "related", "recommended", "recommendations", "trending", "popular", "complementary", "contentinfo",
+    "dialog", "hidden", "skip", "copyright", "legal",
+}
+ABOUT = {"has", "with", "no", "without"}
 NAMED = {"article", "main"}
 REGIONS = {"section", "div", "td", "center", "body", "html", ""}
 KEPT_TAGS = {"html", "body", "article", "main"}
@@ -67,7 +87,8 @@ def purpose(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return tag not in KEPT_TAGS
         if name in ("class", "id", "role") and value and tag not in KEPT_TAGS:
             words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value) if w]
-            if any(PURPOSE.match(w) for w in words):
+            # "has-sidebar" speaks of something else than the element itself.
+            if any(w in PURPOSE and not (k and words[k - 1] in ABOUT) for k, w in enumerate(words)):
                 return True
     return False
 
@@ -146,7 +167,8 @@ class BlockReader(HTMLParser):
         self.names.append(tag)
         self.parents.append(inside.number if inside else 0)
         self.standing[tag] = self.standing.get(tag, 0) + 1
-        self.open.append(Element(len(self.names) - 1, tag, bool(inside and inside.aside) or purpose(tag, attrs),
+        # The main element is never part of something around it that serves another purpose.
+        self.open.append(Element(len(self.names) - 1, tag, bool(inside and inside.aside and tag != "main") or purpose(tag, attrs),
                                  bool(inside and inside.silent) or tag in SILENT))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -40,6 +40,12 @@ def test_what_is_no_article(other, wrap):
     assert main_text(inside) == main_text(page)
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="withSidebar no-comments">', "</div>"), ('<div id="sidebar-layout"><main>', "</main></div>")])
+def test_names_that_speak_of_something_else(start, end):
+    assert main_text(f"<body>{start}<p>{FILLER}</p><p>Short.</p>{end}</body>") == FILLER.strip() + "\n\nShort."
+
+
 def test_broken_and_odd_pages(spark):
     assert main_text("") == "" and main_text("<p></p><br>") == ""
     assert main_text("plain  &lt;text&gt;\n only") == "plain <text> only"
