@@ -217,24 +217,29 @@ CALLS = {
     "call_new": r"new\s+(\w+)\s*\(",
 }
 # Words that are no calls.
-CALL_KEYWORDS = """
-if else for while do switch case break continue return throw try catch finally class function
-const let var new this true false null
-""".split()
-PYTHON_KEYWORDS = """
-False None True and as assert async await break class continue def del elif else except
-finally for from global if import in is lambda nonlocal not or pass raise return try while with yield
-print len range str int float list dict set tuple bool type isinstance issubclass
-super property staticmethod classmethod
-""".split()
-JS_KEYWORDS = """
-if else for while do switch case break continue return throw try catch finally typeof instanceof
-new this super class extends export import default function const let var async await yield delete
-void null undefined true false in of with
-""".split()
+CALL_KEYWORDS = [
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch",
+    "finally", "class", "function", "const", "let", "var", "new", "this", "true", "false", "null",
+]
+PYTHON_KEYWORDS = [
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del",
+    "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal",
+    "not", "or", "pass", "raise", "return", "try", "while", "with", "yield", "print", "len", "range", "str", "int",
+    "float", "list", "dict", "set", "tuple", "bool", "type", "isinstance", "issubclass", "super", "property",
+    "staticmethod", "classmethod",
+]
+JS_KEYWORDS = [
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch",
+    "finally", "typeof", "instanceof", "new", "this", "super", "class", "extends", "export", "import", "default",
+    "function", "const", "let", "var", "async", "await", "yield", "delete", "void", "null", "undefined", "true",
+    "false", "in", "of", "with",
+]
 
 # Words that start a line but name no property.
-NO_PROPERTIES = "def class if else for while try except finally with return case default break continue".split()
+NO_PROPERTIES = [
+    "def", "class", "if", "else", "for", "while", "try", "except", "finally", "with", "return", "case", "default",
+    "break", "continue",
+]
 
 # Category of a symbol type in the structure of a file.
 CATEGORIES = {

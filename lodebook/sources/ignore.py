@@ -12,19 +12,16 @@ INDEX_FOLDER = ".lodebook"
 IGNORE_FILES = (".gitignore", ".lodebookignore")
 
 # Patterns ignored unless the caller gives a list.
-DEFAULT_PATTERNS = """
-node_modules node_modules/** **/node_modules **/node_modules/**
-.git/** .svn/** .hg/** .lodebook/**
-dist dist/** **/dist **/dist/** build build/** **/build **/build/** out/** target/**
-*.pyc __pycache__/** .pytest_cache/**
-.venv .venv/** venv venv/** env env/** .env .env/**
-**/.venv **/.venv/** **/venv **/venv/** **/env **/env/**
-vendor/** Pods/** .gradle/** .idea/** .vscode/** .vs/**
-*.class *.jar *.war *.ear *.dll *.exe *.so *.dylib *.a *.o *.obj *.pdb *.idb *.suo
-*.log *.tmp *.temp *.swp *.swo *.DS_Store Thumbs.db desktop.ini
-*.lock package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock Gemfile.lock poetry.lock composer.lock
-*.min.js *.min.css *.map
-""".split()
+DEFAULT_PATTERNS = [
+    "node_modules", "node_modules/**", "**/node_modules", "**/node_modules/**", ".git/**", ".svn/**", ".hg/**",
+    ".lodebook/**", "dist", "dist/**", "**/dist", "**/dist/**", "build", "build/**", "**/build", "**/build/**",
+    "out/**", "target/**", "*.pyc", "__pycache__/**", ".pytest_cache/**", ".venv", ".venv/**", "venv", "venv/**",
+    "env", "env/**", ".env", ".env/**", "**/.venv", "**/.venv/**", "**/venv", "**/venv/**", "**/env", "**/env/**",
+    "vendor/**", "Pods/**", ".gradle/**", ".idea/**", ".vscode/**", ".vs/**", "*.class", "*.jar", "*.war", "*.ear",
+    "*.dll", "*.exe", "*.so", "*.dylib", "*.a", "*.o", "*.obj", "*.pdb", "*.idb", "*.suo", "*.log", "*.tmp", "*.temp",
+    "*.swp", "*.swo", "*.DS_Store", "Thumbs.db", "desktop.ini", "*.lock", "package-lock.json", "yarn.lock",
+    "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock", "*.min.js", "*.min.css", "*.map",
+]
 
 
 class IgnoreRule(NamedTuple):

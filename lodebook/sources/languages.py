@@ -8,62 +8,95 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Extension -> language.
-EXTENSIONS = {
-    "typescript": ".ts .tsx",
-    "javascript": ".js .jsx .mjs .cjs",
-    "python": ".py .pyx .pyi",
-    "java": ".java",
-    "kotlin": ".kt .kts",
-    "scala": ".scala .sc",
-    "go": ".go",
-    "rust": ".rs",
-    "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .hpp .hxx",
-    "csharp": ".cs",
-    "fsharp": ".fs .fsx .fsi",
-    "ruby": ".rb",
-    "php": ".php",
-    "swift": ".swift",
-    "objective-c": ".m",
-    "objective-cpp": ".mm",
-    "dart": ".dart",
-    "lua": ".lua",
-    "r": ".r",
-    "julia": ".jl",
-    "clojure": ".clj .cljs .cljc",
-    "elixir": ".ex .exs",
-    "erlang": ".erl .hrl",
-    "haskell": ".hs .lhs",
-    "ocaml": ".ml .mli",
-    "elm": ".elm",
-    "purescript": ".purs",
-    "nim": ".nim .nims",
-    "zig": ".zig",
-    "vlang": ".v",
-    "systemverilog": ".sv .svh",
-    "vhdl": ".vhd .vhdl",
-    "sql": ".sql",
-    "shell": ".sh .bash .zsh .fish",
-    "powershell": ".ps1 .psm1",
-    "batch": ".bat .cmd",
-    "yaml": ".yaml .yml",
-    "toml": ".toml",
-    "json": ".json",
-    "xml": ".xml",
-    "html": ".html .htm",
-    "css": ".css",
-    "scss": ".scss",
-    "sass": ".sass",
-    "less": ".less",
-    "vue": ".vue",
-    "svelte": ".svelte",
-    "markdown": ".md .mdx",
-    "restructuredtext": ".rst",
-    "latex": ".tex",
-    "dockerfile": ".dockerfile",
-    "protobuf": ".proto",
-    "graphql": ".graphql .gql",
-    "solidity": ".sol",
+LANGUAGE_OF = {
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".py": "python",
+    ".pyx": "python",
+    ".pyi": "python",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".scala": "scala",
+    ".sc": "scala",
+    ".go": "go",
+    ".rs": "rust",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hxx": "cpp",
+    ".cs": "csharp",
+    ".fs": "fsharp",
+    ".fsx": "fsharp",
+    ".fsi": "fsharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".m": "objective-c",
+    ".mm": "objective-cpp",
+    ".dart": "dart",
+    ".lua": "lua",
+    ".r": "r",
+    ".jl": "julia",
+    ".clj": "clojure",
+    ".cljs": "clojure",
+    ".cljc": "clojure",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".erl": "erlang",
+    ".hrl": "erlang",
+    ".hs": "haskell",
+    ".lhs": "haskell",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".elm": "elm",
+    ".purs": "purescript",
+    ".nim": "nim",
+    ".nims": "nim",
+    ".zig": "zig",
+    ".v": "vlang",
+    ".sv": "systemverilog",
+    ".svh": "systemverilog",
+    ".vhd": "vhdl",
+    ".vhdl": "vhdl",
+    ".sql": "sql",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".fish": "shell",
+    ".ps1": "powershell",
+    ".psm1": "powershell",
+    ".bat": "batch",
+    ".cmd": "batch",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".json": "json",
+    ".xml": "xml",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".sass": "sass",
+    ".less": "less",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".rst": "restructuredtext",
+    ".tex": "latex",
+    ".dockerfile": "dockerfile",
+    ".proto": "protobuf",
+    ".graphql": "graphql",
+    ".gql": "graphql",
+    ".sol": "solidity",
 }
 # Whole file names -> language (a name may go on after "dockerfile.").
 SPECIAL_NAMES = {
@@ -78,7 +111,7 @@ SPECIAL_NAMES = {
 ALIASES = {"ts": "typescript", "js": "javascript", "py": "python", "rs": "rust", "rb": "ruby",
            "kt": "kotlin", "cs": "csharp", "md": "markdown", "yml": "yaml", "sh": "shell"}
 
-LANGUAGE_OF = {ext: name for name, exts in EXTENSIONS.items() for ext in exts.split()}
+LANGUAGES = list(dict.fromkeys(LANGUAGE_OF.values()))
 
 
 def base_name(path: Column) -> Column:
@@ -116,7 +149,7 @@ def included(relative_path: Column, patterns: list[str]) -> Column:
 
 
 def supported_languages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in EXTENSIONS], "language string").orderBy("language")
+    return spark.createDataFrame([(n,) for n in LANGUAGES], "language string").orderBy("language")
 
 
 def supported_extensions(spark: SparkSession) -> DataFrame:
