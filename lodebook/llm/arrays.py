@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
+SPAN_BYTES = (1 << 20) + 1
 BLOCK_ROWS = 4000  # a block's row number fits in the 12 bits that `shingle_sets` uses for it
 _BASE = 0x9E3779B97F4A7C15
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -76,7 +77,19 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int,
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each segment that does not depend on where it stands."""
+    """A hash of the bytes of each segment that does not depend on where it stands; segments are in order."""
+    if len(data) <= SPAN_BYTES:
+        return _hashes(data, starts, ends)
+    found, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):  # a long text in spans, so that the powers stay few
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + SPAN_BYTES, "right")))
+        found[first:last] = _hashes(data[low:ends[last - 1]], starts[first:last] - low, ends[first:last] - low)
+        first = last
+    return found
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
