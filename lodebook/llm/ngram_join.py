@@ -139,9 +139,10 @@ def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth
             # Tokens of one passage make buckets of nearly the same members: in each run a member goes on from one of them.
             large = large.groupBy("run", "rep").agg(F.min_by(F.struct("bucket", "n"), F.xxhash64("bucket", F.lit(9))).alias("b")).select(
                 "b.bucket", "run", "rep", "b.n")
-        own = materialize(large.join(classes.select("rep", "pool"), "rep").select(
+        # Not written: its exchange by rep is used again, and the tokens are counted in the tasks of that join.
+        own = large.join(classes.select("rep", "pool"), "rep").select(
             "bucket", "run", "rep", "n", F.transform(F.filter("pool", lambda t: t["run"] == F.col("run")),
-                                                     lambda t: t["token"]).alias("tokens")), f"split-{level}")
+                                                     lambda t: t["token"]).alias("tokens"))
         # Tokens of many members do not split their bucket. At most the pool's size by 1 / COMMON of them are kept for each.
         common = (own.select("bucket", "n", F.explode("tokens").alias("token")).groupBy("bucket", "token")
                   .agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= COMMON * F.col("n"))
