@@ -36,6 +36,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 EAGER = 1.6  # expected number of common paths of a pair at the threshold, per token taken
 POOL = 8.0  # tokens of each run that are kept for further splits
 LEAF, BLOCK, DEPTH = 256, 1000, 4
+PORTION = 1000  # members of a large bucket that are counted together
 COMMON = 0.3  # share of a bucket's members from which a token is no good for splitting it
 HEAVY = 0.6  # share of such tokens from which a member is compared with all others like it
 TAKEN = 3.0  # other tokens that a member follows further
@@ -118,6 +119,42 @@ def profiles(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
+def common_tokens(own: DataFrame) -> DataFrame:
+    """(bucket, common): the tokens that at least COMMON of the members of a bucket (bucket, rep, n, tokens) have.
+
+    A bucket is dealt by hash into portions of about PORTION members. Each task counts all tokens of its portions and gives
+    those that reach two thirds of the share there; what falls short in a portion cannot reach it in the bucket, but for
+    chances beyond six standard deviations. So few rows leave the tasks however many members share a passage.
+    """
+    portions = F.ceil(F.col("n") / PORTION)
+    dealt = _dealt(own.select("bucket", F.pmod(F.xxhash64("rep", F.lit(11)), portions).cast("int").alias("low"),
+                              F.lit(0).alias("high"), "rep", "n", "tokens"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, low, high, n, tokens in _groups(batches, ["bucket", "low", "high", "n", "tokens"]):
+            bucket, low, high, n = (c.to_numpy() for c in (bucket, low, high, n))
+            bounds = _bounds(bucket, low, high)
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            owner = np.repeat(group, np.diff(tokens.offsets.to_numpy()))
+            values = tokens.flatten().to_numpy()
+            order = np.lexsort((values, owner))
+            owner, values = owner[order], values[order]
+            if not len(owner):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])]))
+            counts = np.diff(np.append(first, len(owner)))
+            good = counts >= COMMON * 2 / 3 * np.diff(bounds)[owner[first]]
+            at = bounds[:-1][owner[first][good]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[at]), pa.array(values[first][good]), pa.array(counts[good].astype(np.int64)), pa.array(n[at])],
+                ["bucket", "token", "c", "n"])
+
+    counted = dealt.mapInArrow(count, "bucket long, token long, c long, n long").groupBy("bucket", "token").agg(
+        F.sum("c").alias("c"), F.first("n").alias("n"))
+    return (counted.where(F.col("c") >= COMMON * F.col("n")).groupBy("bucket")
+            .agg(F.collect_list("token").alias("common")))
+
+
 def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """(bucket, rep, blocks): buckets of at least two classes; blocks is 1, or more for a group compared in blocks."""
     frontier = (classes.select("rep", F.explode(F.filter("pool", lambda t: t["first"])).alias("t"))
@@ -139,14 +176,11 @@ def leaf_buckets(classes: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth
             # Tokens of one passage make buckets of nearly the same members: in each run a member goes on from one of them.
             large = large.groupBy("run", "rep").agg(F.min_by(F.struct("bucket", "n"), F.xxhash64("bucket", F.lit(9))).alias("b")).select(
                 "b.bucket", "run", "rep", "b.n")
-        # Not written: its exchange by rep is used again, and the tokens are counted in the tasks of that join.
         own = large.join(classes.select("rep", "pool"), "rep").select(
             "bucket", "run", "rep", "n", F.transform(F.filter("pool", lambda t: t["run"] == F.col("run")),
                                                      lambda t: t["token"]).alias("tokens"))
-        # Tokens of many members do not split their bucket. At most the pool's size by 1 / COMMON of them are kept for each.
-        common = (own.select("bucket", "n", F.explode("tokens").alias("token")).groupBy("bucket", "token")
-                  .agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= COMMON * F.col("n"))
-                  .groupBy("bucket").agg(F.collect_list("token").alias("common")))
+        # Tokens of many members do not split their bucket.
+        common = common_tokens(own)
         # Written, so that this join ends its stage and a bucket of very many members can be split.
         rest = materialize(
             own.join(common, "bucket", "left")
