@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare word n-grams seed, Smith-Waterman alignment decides.
 
-All word trigrams of the test items are counted over all documents (by how many hold them). Of every four
-trigrams in a row of an item, the two that fewest documents hold are its seeds, so every part of an item is
-covered and what everybody writes is not. A document with two seeds of an item at nearly the same offset (or
-one, of an item with fewer than four trigrams) is aligned with the item around them, word by word, by
-Smith-Waterman: equal words count 2, other pairs and gaps -1. The score is the alignment's share of the score of a whole
+All word trigrams of the test items are counted over all documents (by how many hold them). Trigrams that no
+document holds can't be found and are left aside. Of the others in every stretch of four of an item, the two that fewest
+documents hold are its seeds, and all that at most `RARE` documents hold, so every part of an item is
+covered, in edited copies too, and what everybody writes is not. A document with two seeds of an item at nearly the
+same offset (or one, if at most `RARE` documents hold it or the item has fewer than four seeds) is aligned with the item
+around them, word by word, by Smith-Waterman: equal words count 2, other pairs and gaps -1. The score is the alignment's share of the score of a whole
 copy, so that edited, paraphrased and partial copies are found too.
 
 Items come in blocks of at most `BLOCK_WORDS` words, which bounds what a task holds; each block is held against all
@@ -30,6 +31,7 @@ BLOCK_WORDS = 500_000
 THRESHOLD = 0.4  # unrelated texts reach a quarter
 MATCH, OTHER, GAP = 2, -1, -1
 WINDOW, KEPT = 4, 2
+RARE = 100  # documents; what a seed that counts alone can cost in alignments
 
 
 @dataclass
@@ -42,6 +44,7 @@ class Items:
     item: np.ndarray  # of each occurrence of an n-gram
     place: np.ndarray
     gram: np.ndarray  # index into grams
+    alone: np.ndarray | None = None  # of seeds: is one of it enough for an alignment
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Items:
@@ -59,15 +62,16 @@ class Items:
                    np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int64), index)
 
     def seeds(self, counts: np.ndarray) -> Items:
-        """Only the occurrences that are among the rarest of their stretch of the item."""
+        """Of the occurrences that any document holds, the rare ones and the rarest of their stretch of the item."""
         df = counts[self.gram]
         stretch = self.place // WINDOW
         order = np.lexsort((self.place, df, stretch, self.item))
+        order = order[df[order] > 0]
         key = self.item[order] * (1 << 32) + stretch[order]
         first = np.searchsorted(key, key)
-        keep = order[np.arange(len(order)) - first < KEPT]
+        keep = order[(np.arange(len(order)) - first < KEPT) | (df[order] <= RARE)]
         grams, index = np.unique(self.grams[self.gram[keep]], return_inverse=True)
-        return Items(self.ids, self.words, grams, self.item[keep], self.place[keep], index)
+        return Items(self.ids, self.words, grams, self.item[keep], self.place[keep], index, df[keep] <= RARE)
 
 
 def _text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +193,8 @@ def matches(texts: pa.Array, items: Items, lookup: Lookup, threshold: float) ->
         jobs: dict[int, list[tuple[int, int, int]]] = {}
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             k, r = int(item[a]), int(row[a])
-            if len(np.unique(occurrence[a:b])) < (2 if per_item[k] >= 2 * KEPT else 1):
+            own = occurrence[a:b]
+            if per_item[k] >= 2 * KEPT and not items.alone[own].any() and len(np.unique(own)) < 2:
                 continue
             low = max(int(first_word[r]), int(offset[a]) - int(slack[k]))
             high = min(int(first_word[r + 1]), int(offset[b - 1]) + int(lengths[k] + slack[k]))

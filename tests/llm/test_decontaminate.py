@@ -68,6 +68,23 @@ def test_finds_planted_copies_and_nothing_else(spark, case):
     assert all((d, i) in got for d, i in planted.items() if d % 4 == 0)
 
 
+def test_finds_items_whose_only_copy_is_edited(spark):
+    rng = random.Random(5)
+    items, docs, close = [], [], set()
+    for k in range(300):
+        item = [f"w{rng.randrange(10 ** 6)}" for _ in range((15, 20, 38)[k % 3])]
+        edited = [w if rng.random() > (0.2, 0.25, 0.3)[k // 3 % 3] else f"x{rng.randrange(10 ** 6)}" for w in item]
+        around = [f"y{rng.randrange(10 ** 6)}" for _ in range(60)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(around[:30] + edited + around[30:])))
+        if smith_waterman(item, edited) >= 0.4 * 2 * len(item):
+            close.add((k, k))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert len(close) > 250 and got <= close and len(got) >= 0.98 * len(close)
+    assert decontaminate.drop_leaks(docs, items).count() == 300 - len(got)
+
+
 def test_item_blocks_find_the_same(spark, case):
     items, docs, _ = case
     docs, items = (spark.createDataFrame(r, s) for r, s in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
