@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from lodebook.llm import secret_scan
@@ -52,6 +53,24 @@ def test_learned_format_finds_what_no_pattern_knows(spark):
     assert all("assign" in found[k] for k in range(300))
 
 
+def test_letter_only_and_short_credentials_are_found(spark):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    words = "please configure service account before starting update process whenever another machine answers".split()
+    rows = [(k, f"{rng.choice(words)} {rng.choice(words)} token = {letters((6, 16, 24)[k % 3])} {rng.choice(words)}") for k in range(600)]
+    hidden = [letters((6, 16, 24)[k % 3]) for k in range(90)]
+    rows += [(1000 + k, f"{rng.choice(words)} {v} {rng.choice(words)}") for k, v in enumerate(hidden)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    formats = secret_scan.learn_formats(docs.where("doc_id < 1000"))
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.find_secrets(docs, formats).collect()}
+    for k, v in enumerate(hidden):
+        start = rows[600 + k][1].index(v)
+        assert found[1000 + k] == [("format", start, start + len(v))]
+    assert all([s[0] for s in found[k]] == ["assign"] for k in range(600))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, formats).collect()}
+    assert not any(v in clean[1000 + k] for k, v in enumerate(hidden))
+
+
 def test_automaton_merges_and_separates():
     hexes = infer(hashlib.md5(str(k).encode()).hexdigest() for k in range(500))
     tree_states = len({hashlib.md5(str(k).encode()).hexdigest()[:n] for k in range(500) for n in range(33)})
