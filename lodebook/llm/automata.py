@@ -77,16 +77,16 @@ def _differ(f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
     return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
 
-def infer(texts: Iterable[str], alpha: float = 0.05, max_length: int = 64) -> Automaton:
+def infer(texts: Iterable[str], alpha: float = 0.05, most_states: int = 250_000) -> Automaton:
     """Build the prefix tree of the shapes and merge compatible states, nearest to the root first.
 
-    Shapes longer than `max_length` are learned from their first characters; the state reached there has no end,
-    so scoring goes on in it.
+    Shapes are learned whole, shorter ones first; one that could bring the tree over `most_states` is left out, unless
+    it is the only one.
     """
     tree = _Tree()
-    for text in texts:
-        symbols = shape(text)
-        tree.add(symbols[:max_length] if len(symbols) > max_length else symbols + END)
+    for text in sorted(texts, key=len):
+        if len(tree.next) == 1 or len(tree.next) + len(text) < most_states:
+            tree.add(shape(text) + END)
     into = list(range(len(tree.next)))
 
     def find(s: int) -> int:

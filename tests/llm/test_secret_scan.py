@@ -79,6 +79,14 @@ def test_automaton_merges_and_separates():
     assert infer([]).likelihood("abc") < 0
 
 
+def test_automaton_learns_whole_shapes():
+    long = [f"{'ABCDEFGHIJ' * 10}.{k:030d}" for k in range(300)]
+    learned = infer(long)
+    assert any("." in step for step in learned.steps) and any("$" in step for step in learned.steps)
+    assert learned.likelihood(long[0]) > learned.likelihood(long[0].replace(".", "")) > learned.likelihood("internationalisation" * 6)
+    assert infer(long, most_states=200).likelihood(long[0]) < 0
+
+
 def test_redaction(awkward, nothing, spark):
     docs = spark.createDataFrame([(1, "é token=abcdef123 b", "k"), (2, "nothing here", "k"), (3, None, "k")], "doc_id long, text string, more string")
     formats = secret_scan.learn_formats(docs)
