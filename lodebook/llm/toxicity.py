@@ -51,6 +51,19 @@ def word_features(word: str) -> list[str]:
     return [word + "$", *[word[:k] + "+" for k in STEMS if len(word) > k]]
 
 
+SWAP_TYPE = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("new", pa.list_(pa.int32()))]))
+
+
+def swapped(words: set[str]) -> Iterator[tuple[set[str], set[str]]]:
+    """Features that vanish and appear for each swap of an identity term among the words of a text for another."""
+    for term in sorted(words & SWAPS.keys()):
+        rest = {f for w in words - {term} for f in word_features(w)}
+        own = set(word_features(term)) - rest
+        for other in SWAPS[term]:
+            new = set(word_features(other)) - rest
+            yield own - new, new - own
+
+
 @dataclass
 class Classifier:
     bias: float
@@ -72,25 +85,30 @@ class Classifier:
         return 1 / (1 + math.exp(-x))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, swaps: list[tuple[np.ndarray, np.ndarray]],
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, swaps: list[tuple[tuple[int, ...], tuple[int, ...], float]],
          ridge: float, lasso: float, fairness: float, steps: int) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient on the mean log loss; rows and cols are the places of ones."""
+    """Accelerated proximal gradient on the mean log loss; rows and cols are the places of ones.
+
+    swaps are the features that vanish and appear in sentences, with the share of the sentences; the shares sum to 1.
+    """
     n = len(y)
     per_row = np.bincount(rows, minlength=n)
-    rate = 1.0 / (0.25 * max(1.0, float(np.percentile(per_row, 99)) * 0.25) + ridge + fairness)
+    reach = sum(share * (len(a) + len(c)) for a, c, share in swaps)  # bounds the curvature of the penalty
+    rate = 1.0 / (0.25 * max(1.0, float(np.percentile(per_row, 99)) * 0.25) + ridge + fairness * reach)
     w, b = np.zeros(width), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     seen_w, seen_b, t = w.copy(), b, 1.0
-    s_row = np.concatenate([np.full(len(a) + len(c), k) for k, (a, c) in enumerate(swaps)]) if swaps else None
     if swaps:
-        s_col = np.concatenate([np.concatenate(p) for p in swaps])
-        s_sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(c))]) for a, c in swaps])
+        s_row = np.repeat(np.arange(len(swaps)), [len(a) + len(c) for a, c, _ in swaps])
+        s_col = np.array([f for a, c, _ in swaps for f in (*a, *c)], np.int64)
+        s_sign = np.array([x for a, c, _ in swaps for x in [1.0] * len(a) + [-1.0] * len(c)])
+        s_share = np.array([share for _, _, share in swaps])
     for _ in range(steps):
         z = np.clip(np.bincount(rows, weights=seen_w[cols], minlength=n) + seen_b, -50, 50)
         error = (1 / (1 + np.exp(-z)) - y) / n
         grad = np.bincount(cols, weights=error[rows], minlength=width) + ridge * seen_w
         if swaps:
             change = np.bincount(s_row, weights=s_sign * seen_w[s_col], minlength=len(swaps))
-            grad += fairness / len(swaps) * np.bincount(s_col, weights=s_sign * change[s_row], minlength=width)
+            grad += fairness * np.bincount(s_col, weights=s_sign * (s_share * change)[s_row], minlength=width)
         new_w = seen_w - rate * grad
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * lasso, 0)
         new_b = seen_b - rate * error.sum()
@@ -150,20 +168,32 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fea
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, changes = [], []
             for text in batch.column(0).to_pylist():
-                found = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+                words = set(_WORD.findall((text or "").lower()))
+                found = {f for w in words for f in word_features(w)}
                 rows.append(sorted(index[f] for f in found if f in index))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["places", "toxic"])
+                changes.append([{"gone": sorted(index[f] for f in gone if f in index), "new": sorted(index[f] for f in new if f in index)}
+                                for gone, new in swapped(words)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.list_(pa.int32())), batch.column(1), pa.array(changes, SWAP_TYPE)], ["places", "toxic", "swaps"])
 
-    data = taught.mapInArrow(places, "places array<int>, toxic int").toArrow()
+    data = taught.mapInArrow(places, "places array<int>, toxic int, swaps array<struct<gone:array<int>,new:array<int>>>").toArrow()
     lists = data.column("places").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     rows, cols = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64)
     y = (data.column("toxic").to_numpy() > 0).astype(float)
-    # What swapping a term for another of its kind changes in any sentence: the features of the two words.
-    own = {a: np.array([index[f] for f in word_features(a) if f in index]) for a in SWAPS}
-    swaps = [(own[a], own[b]) for a, others in SWAPS.items() for b in others if a < b]
+    # Equal changes of many sentences are one row of the penalty, with their share.
+    shares: dict[tuple, float] = {}
+    sentences = 0
+    for chunk in data.column("swaps").chunks:
+        for changes in chunk:
+            own = changes.as_py()
+            sentences += bool(own)
+            for change in own:
+                key = tuple(change["gone"]), tuple(change["new"])
+                shares[key] = shares.get(key, 0.0) + 1 / len(own)
+    swaps = [(*key, shares[key] / sentences) for key in sorted(shares)]
     bias, weights = _fit(rows, cols, y, len(names), swaps, ridge, lasso, fairness, steps)
     return Classifier(float(bias), {f: float(weights[k]) for f, k in index.items() if weights[k]})
 

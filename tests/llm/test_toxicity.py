@@ -56,6 +56,18 @@ def test_swaps_reduce_bias(spark):
     assert fair.score("a vile nasty road") > 0.3 > fair.score(neutral)
 
 
+def test_swaps_of_sentences_reduce_bias_by_default(spark):
+    rows = sentences(random.Random(1), 900)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    fair, biased = toxicity.fit_classifier(docs, labels), toxicity.fit_classifier(docs, labels, fairness=0.0)
+    neutral, swapped = "the muslim house by the river", "the hindu house by the river"
+    gap = lambda m: abs(m.logit(neutral) - m.logit(swapped))
+    print("GAPS", gap(fair), gap(biased), fair.score(neutral), biased.score(neutral))
+    assert gap(fair) < 0.2 * gap(biased)
+    assert fair.score("a vile nasty road") > 0.3 > fair.score(neutral)
+
+
 def test_awkward_rows(spark, awkward, nothing, no_labels):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (9, 0), (None, 1), (8, None)], "doc_id long, toxic int")
     model = toxicity.fit_classifier(awkward, labels)
