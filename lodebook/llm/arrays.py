@@ -169,3 +169,46 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     bounds = np.searchsorted(keys, np.arange(count + 1, dtype=np.uint64) << np.uint64(52))
     return keys & np.uint64((1 << 52) - 1), bounds
+
+
+def _unaligned(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one value; bytes past the end are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """For each seed a hash of the bytes of each segment.
+
+    Eight bytes at a time are mixed with their place in the segment before they are added, so that no arithmetic
+    relation between places remains; two seeds give 128 bits.
+    """
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in seeds]
+    count = np.maximum((ends - starts + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    single = len(count) == count.sum()
+    owner = slice(None) if single else np.repeat(np.arange(len(count)), count)
+    step = np.zeros(len(count), np.int64) if single else np.arange(int(count.sum())) - first[owner]
+    at = starts[owner] + (step << 3)
+    left = np.clip(ends[owner] - at, 0, 8).astype(np.uint64)
+    value = _unaligned(data)[at]
+    value &= np.where(left < 8, (np.uint64(1) << ((left & np.uint64(7)) << np.uint64(3))) - np.uint64(1), ~np.uint64(0))
+    found = []
+    for seed in seeds:
+        own = np.uint64(seed * _BASE % (1 << 64))
+        keys = mix((np.arange(int(count.max()), dtype=np.uint64) + np.uint64(1)) * _ODD[2] + own)
+        total = mix(value ^ keys[step])
+        if not single:
+            total = np.add.reduceat(total, first)
+        found.append(mix(total + (ends - starts).astype(np.uint64) * _ODD[3] + own))
+    return found
+
+
+def joined_hashes(hashes: np.ndarray, first: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """A hash of the n segments from each first one on and of `more`, one value for each first one."""
+    total = more * _ODD[4]
+    for k in range(n):
+        total += mix(hashes[first + k] + np.uint64((2 * k + 1) * _BASE % (1 << 64)))
+    return mix(total)
