@@ -7,7 +7,7 @@ frequent has longer phrases that nobody counted; those are counted by a further
 The result does not depend on the sample.
 
 The proposed phrases reach the tasks as bits of their hashes, at most `MOST_BITS` for each length. A bit that two phrases
-share only has more phrases counted, never fewer, and counts are kept by the phrase's own text.
+share only has more phrases counted, never fewer. Frequent phrases are counted by their own text.
 
 Texts are read as bytes in windows of `WINDOW` bytes, each with the last words of the one before, so that neither a long
 text nor one without punctuation needs more memory. Null texts are empty, a null language is `und`; other columns are
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodebook.llm import arrays
 from lodebook.session import materialize, ship_package
 
-WINDOW = 1 << 23
+WINDOW = 1 << 22
 OUT_ROWS = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITS_PER_PHRASE = 32
@@ -62,7 +62,9 @@ class Words:
         self.data = data[kept]
         self.places = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.data[self.places + self.sizes] = 0x20
-        self.hashes = arrays.wide_hashes(self.data, self.places, self.places + self.sizes, SEEDS)
+
+    def add_hashes(self, seeds: tuple[int, ...]) -> None:
+        self.hashes = arrays.wide_hashes(self.data, self.places, self.places + self.sizes, seeds)
 
     def phrases(self, length: int, carried: int) -> np.ndarray:
         """First words of the phrases of this length whose last word is not one of the carried ones."""
@@ -89,6 +91,16 @@ def _closed(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), empty, end)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about a window's size, so that copies of a batch stay small."""
+    _, offsets = arrays.buffers(texts)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + WINDOW, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def windows(data: np.ndarray, overlap: int, size: int = WINDOW) -> Iterator[tuple[int, Words, int]]:
     """(first byte, words, how many of them the window before had already); data ends with the end of a piece."""
     low, high, carried = 0, 0, 0
@@ -111,92 +123,119 @@ def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-class Filter:
-    """Which phrases a pass counts: both parts among `now`, and not both among `before`."""
+Bits = dict[int, np.ndarray]
+
+
+def _both(bits: Bits, length: int, parts: tuple) -> np.ndarray:
+    return has_bit(bits[length - 1], parts[0]) & has_bit(bits[length - 1], parts[1])
+
+
+def everything(length: int, keys: np.ndarray, parts: tuple) -> np.ndarray:
+    return np.ones(len(keys), bool)
+
+
+def proposed_and_border(proposed: Bits):
+    """All words, and the longer phrases whose two parts are proposed."""
+    def chosen(length: int, keys: np.ndarray, parts: tuple) -> np.ndarray:
+        return everything(length, keys, parts) if length == 1 else _both(proposed, length, parts)
+
+    return chosen
 
-    def __init__(self, now: dict[int, np.ndarray], before: dict[int, np.ndarray]):
-        self.now, self.before = now, before
 
-    def chosen(self, keys: np.ndarray, first: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-        """keys: of the parts with length - 1 words; place: where the parts that begin with a word are in keys."""
-        left, right = keys[place[first]], keys[place[first + 1]]
-        bits = self.now[length - 1]
-        good = has_bit(bits, left) & has_bit(bits, right)
-        if self.before:
-            bits = self.before[length - 1]
-            good &= ~(has_bit(bits, left) & has_bit(bits, right))
-        return good
+def frequent_and_expansion(frequent: Bits, now: Bits, before: Bits, again: bool):
+    """Phrases that may be frequent, and those whose parts became proposed; `again`: the latter only."""
+    def chosen(length: int, keys: np.ndarray, parts: tuple) -> np.ndarray:
+        seen = has_bit(frequent[length], keys)
+        if length == 1:
+            return seen & (not again)
+        new = _both(now, length, parts) & ~_both(before, length, parts)
+        return new & ~seen if again else new | seen
 
+    return chosen
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place and the count of each pair of values."""
+
+def _distinct(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One place and the count of each value, or pair of values."""
     order = np.argsort(a)
-    x, y = a[order], b[order]
     new = np.ones(len(a), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    x = a[order]
+    new[1:] = x[1:] != x[:-1]
+    if b is not None:
+        y = b[order]
+        new[1:] |= y[1:] != y[:-1]
     at = np.flatnonzero(new)
     return order[at], np.diff(np.append(at, len(a)))
 
 
-def _count(longest: int, wanted: Filter | None, words_too: bool, as_text: bool):
-    """The task: for each window the distinct phrases with their counts, as texts or as hashes."""
+def _count(longest: int, chosen, as_text: bool, totals: bool = False):
+    """The task: for each window the distinct chosen phrases with their counts, as texts or as hashes.
+
+    totals: also the number of all words, as a phrase of no words.
+    """
+    def phrases_of(words: Words, lang: np.ndarray, marks: list[np.ndarray], carried: int) -> Iterator[tuple]:
+        keys, place = None, None
+        for length in range(1, longest + 1):
+            first = words.phrases(length, 0)
+            parts = (keys[place[first]], keys[place[first + 1]]) if length > 1 else ()
+            keys = arrays.joined_hashes(words.hashes[0], first, length, marks[0][lang[first]])
+            good = (first + length > carried) & chosen(length, keys, parts)
+            place = np.zeros(len(words.starts), np.int64)
+            place[first] = np.arange(len(first))
+            first, own = first[good], keys[good]
+            other = arrays.joined_hashes(words.hashes[1], first, length, marks[1][lang[first]]) if as_text else None
+            at, counts = _distinct(own, other)
+            yield length, first[at], own[at], counts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = SEEDS if as_text else SEEDS[:1]
         for batch in batches:
-            langs = pc.fill_null(arrays.column(batch, "lang"), "und").dictionary_encode()
+            langs = arrays.column(batch, "lang").dictionary_encode()
             codes, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary
             spread, offsets = arrays.buffers(names)
-            marks = arrays.wide_hashes(spread, offsets[:-1], offsets[1:], SEEDS)
-            data, offsets = arrays.buffers(_closed(arrays.column(batch, "text")))
-            data = LOWER[data]
-            for low, words, carried in windows(data, longest - 1):
-                if not len(words.starts):
-                    continue
-                lang = codes[np.searchsorted(offsets, low + words.starts, "right") - 1]
-                part = None
-                for length in range(1, longest + 1):
-                    first = words.phrases(length, 0)
-                    keys = arrays.joined_hashes(words.hashes[0], first, length, marks[0][lang[first]])
-                    chosen = first + length > carried
-                    if length > 1 and wanted:
-                        chosen &= wanted.chosen(part[0], first, part[1], length)
-                    place = np.full(len(words.starts), -1)
-                    place[first] = np.arange(len(first))
-                    part = (keys, place)
-                    if length == 1 and not words_too:
-                        continue
-                    first, keys = first[chosen], keys[chosen]
-                    second = arrays.joined_hashes(words.hashes[1], first, length, marks[1][lang[first]])
-                    at, counts = _distinct(keys, second)
-                    for k in range(0, len(at), OUT_ROWS):
-                        some = at[k:k + OUT_ROWS]
-                        shown = words.texts(first[some], length) if as_text else pa.array(keys[some].view(np.int64))
-                        own = [names.take(pa.array(lang[first[some]]))] if as_text else []
+            marks = arrays.wide_hashes(spread, offsets[:-1], offsets[1:], seeds)
+            texts = arrays.column(batch, "text")
+            for begin, end in _slices(texts):
+                data, offsets = arrays.buffers(_closed(texts[begin:end]))
+                data = LOWER[data]
+                for low, words, carried in windows(data, longest - 1):
+                    words.add_hashes(seeds)
+                    lang = codes[begin + np.searchsorted(offsets, low + words.starts, "right") - 1]
+                    for length, first, keys, counts in phrases_of(words, lang, marks, carried):
+                        for k in range(0, len(first), OUT_ROWS):
+                            some = slice(k, k + OUT_ROWS)
+                            size = pa.array(np.full(len(first[some]), length, np.int32))
+                            if as_text:
+                                yield pa.RecordBatch.from_arrays(
+                                    [names.take(pa.array(lang[first[some]])), size, words.texts(first[some], length),
+                                     pa.array(counts[some])], ["lang", "words", "phrase", "f"])
+                            else:
+                                yield pa.RecordBatch.from_arrays(
+                                    [size, pa.array(keys[some].view(np.int64)), pa.array(counts[some])], ["words", "key", "f"])
+                    if totals:
+                        total = np.bincount(lang[carried:], minlength=len(names))
+                        seen = np.flatnonzero(total)
                         yield pa.RecordBatch.from_arrays(
-                            [*own, pa.array(np.full(len(some), length, np.int32)), shown, pa.array(counts[k:k + OUT_ROWS])],
-                            [*(["lang"] if as_text else []), "words", "phrase", "f"])
-                if as_text and words_too:
-                    total = np.bincount(lang[carried:], minlength=len(names))
-                    seen = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(seen)), pa.array(np.zeros(len(seen), np.int32)),
-                         pa.array([""] * len(seen), pa.string()), pa.array(total[seen])], ["lang", "words", "phrase", "f"])
+                            [names.take(pa.array(seen)), pa.array(np.zeros(len(seen), np.int32)),
+                             pa.array([""] * len(seen), pa.string()), pa.array(total[seen])], ["lang", "words", "phrase", "f"])
 
     return run
 
 
-def _passes(texts: DataFrame, longest: int, wanted: Filter | None, words_too: bool) -> DataFrame:
+def _by_text(texts: DataFrame, longest: int, chosen, totals: bool) -> DataFrame:
     """lang, words, phrase, f by one pass over the texts; words = 0 has the number of words of a language."""
-    found = texts.mapInArrow(_count(longest, wanted, words_too, True), "lang string, words int, phrase string, f long")
+    found = texts.mapInArrow(_count(longest, chosen, True, totals), "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _proposed_keys(texts: DataFrame, longest: int, least: int, share: float) -> DataFrame:
-    """words, key: hashes of the phrases of up to longest - 1 words that a sample of the texts proposes."""
+def _by_key(texts: DataFrame, longest: int, chosen) -> DataFrame:
+    """words, key, f: the same by the phrases' hashes; two phrases with one hash count as one."""
+    found = texts.mapInArrow(_count(longest, chosen, False), "words int, key long, f long")
+    return found.groupBy("words", "key").agg(F.sum("f").alias("f"))
+
+
+def _sample(texts: DataFrame, share: float) -> DataFrame:
     part = 1 << 20
-    sample = texts.where(F.pmod(F.xxhash64("text", "lang", F.lit(7)), F.lit(part)) < F.lit(int(share * part)))
-    enough = max(1, int(least * share * SLACK))
-    found = sample.mapInArrow(_count(longest - 1, None, True, False), "words int, phrase long, f long")
-    return found.groupBy("words", F.col("phrase").alias("key")).agg(F.sum("f").alias("f")).where(F.col("f") >= enough).select("words", "key")
+    return texts.where(F.pmod(F.xxhash64("text", "lang", F.lit(7)), F.lit(part)) < F.lit(int(share * part)))
 
 
 def _new_keys(counts: DataFrame, longest: int, least: int, before: dict[int, np.ndarray]) -> DataFrame:
@@ -208,6 +247,7 @@ def _new_keys(counts: DataFrame, longest: int, least: int, before: dict[int, np.
             marks = arrays.wide_hashes(spread, offsets[:-1], offsets[1:], SEEDS[:1])[0]
             data, offsets = arrays.buffers(_closed(phrase))
             words = Words(data)
+            words.add_hashes(SEEDS[:1])
             size = arrays.column(batch, "words").to_numpy()
             first = np.searchsorted(words.starts, offsets[:-1])
             for length in range(1, longest):
@@ -221,7 +261,15 @@ def _new_keys(counts: DataFrame, longest: int, least: int, before: dict[int, np.
     return frequent.select("lang", "words", "phrase").mapInArrow(run, "words int, key long")
 
 
-def _bitmaps(keys: DataFrame, longest: int, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+def _sizes(keys: DataFrame, longest: int) -> dict[int, int]:
+    """Bits for the keys of each number of words."""
+    found = {n: LEAST_BITS for n in range(1, longest + 1)}
+    for r in keys.groupBy("words").count().collect():
+        found[r.words] = min(MOST_BITS, max(LEAST_BITS, 1 << (r["count"] * BITS_PER_PHRASE).bit_length()))
+    return found
+
+
+def _bitmaps(keys: DataFrame, sizes: dict[int, int]) -> Bits:
     """The bits of the keys for each number of words; every task sets bits, only whole bitmaps reach the driver."""
     width = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("words"))
     placed = keys.withColumn("bit", F.col("key").bitwiseAND(width.cast("long") - 1))
@@ -229,7 +277,7 @@ def _bitmaps(keys: DataFrame, longest: int, sizes: dict[int, int]) -> dict[int,
     at = F.col("bit") + 1
     parts = placed.groupBy("words", F.bitmap_bucket_number(at).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    found = {n: np.zeros(sizes[n] // 8, np.uint8) for n in range(1, longest)}
+    found = {n: np.zeros(size // 8, np.uint8) for n, size in sizes.items()}
     for r in parts:
         found[r.words][(r.bucket - 1) * 4096:r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return found
@@ -239,31 +287,34 @@ def count_phrases(docs: DataFrame, longest: int = 3, least: int = 10, sample: fl
                   text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """lang, words, phrase, f: exactly every phrase of up to `longest` words that occurs at least `least` times.
 
-    Rows with words = 0 have the number of all words of a language. The sample decides how much is counted in which pass,
-    never the result; passes run until no phrase is left that could have a frequent longer one.
+    Rows with words = 0 have the number of all words of a language. The sample decides what is counted in which pass,
+    never the result. The pass over the proposed phrases and their border counts hashes, which are small and at worst make
+    a phrase look more frequent; the next one counts the texts of those that passed, with the first expansion. Passes run
+    until no phrase is left that could have a frequent longer one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    enough = (F.col("f") >= least) | (F.col("words") == 0)
-    if longest == 1:
-        return materialize(_passes(texts, 1, None, True).where(enough), "phrases")
-    proposed = materialize(_proposed_keys(texts, longest, least, sample), "proposed")
-    sizes = {n: LEAST_BITS for n in range(1, longest)}
-    for r in proposed.groupBy("words").count().collect():
-        sizes[r.words] = min(MOST_BITS, max(LEAST_BITS, 1 << (r["count"] * BITS_PER_PHRASE).bit_length()))
-    bits = _bitmaps(proposed, longest, sizes)
-    counts = materialize(_passes(texts, longest, Filter(bits, {}), True).where(enough), "phrases")
-    fresh = counts
+    enough = max(1, int(least * sample * SLACK))
+    proposed = materialize(_by_key(_sample(texts, sample), longest - 1, everything).where(F.col("f") >= enough), "proposed")
+    sizes = _sizes(proposed, longest - 1)
+    before = _bitmaps(proposed, sizes)
+    first = materialize(_by_key(texts, longest, proposed_and_border(before)).where(F.col("f") >= least), "keys")
+    frequent = _bitmaps(first, _sizes(first, longest))
+    more = _bitmaps(first.where(F.col("words") < longest), sizes)
+    now = {n: before[n] | more[n] for n in before}
+    counted, again = None, False
     while True:
-        failed = materialize(_new_keys(fresh, longest, least, bits), "failed")
+        chosen = frequent_and_expansion(frequent, now, before, again)
+        fresh = materialize(_by_text(texts, longest, chosen, not again).where(
+            (F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+        counted = counted.unionByName(fresh) if again else fresh
+        failed = materialize(_new_keys(fresh, longest, least, now), "failed")
         if failed.isEmpty():
-            return counts
-        more = _bitmaps(failed, longest, sizes)
-        wider = {n: bits[n] | more[n] for n in bits}
-        fresh = materialize(_passes(texts, longest, Filter(wider, bits), False).where(enough), "phrases")
-        counts, bits = counts.unionByName(fresh), wider
+            return counted
+        more = _bitmaps(failed, sizes)
+        before, now, again = now, {n: now[n] | more[n] for n in now}, True
 
 
 def _cuts(counts: DataFrame, longest: int, least: int) -> DataFrame:
