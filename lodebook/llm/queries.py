@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodebook.llm import chat, decontaminate, html_text, mixing, ngram_join, phrases, pii, secret_scan, toxicity
+from lodebook.llm import chat, decontaminate, html_text, licenses, mixing, ngram_join, phrases, pii, secret_scan, toxicity, whitening
 from lodebook.llm.fingerprints import neighbour_likeness
 from lodebook.llm.token_counts import token_counts
 from lodebook.sources.tables import read_table
@@ -58,7 +58,15 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(read_table(spark, folder, "documents"))
 
 
+def op12_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(read_table(spark, folder, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_mixing_sources, op2_ngram_jaccard_join, op3_secret_scans, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_token_counts, op9_document_fingerprints, op10_personal_data,
-    op11_phrase_collocations)}
-ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL, "op11_phrase_collocations": phrases.SQL}
+    op11_phrase_collocations, op12_license_scans, op13_embedding_whitening)}
+ORACLES = {"op1_mixing_sources": mixing.SQL, "op10_personal_data": pii.SQL, "op11_phrase_collocations": phrases.SQL, "op12_license_scans": licenses.SQL}
