@@ -36,6 +36,9 @@ class Match:
                     found.extend(block)
         return found
 
+    def words(self) -> list[str]:
+        return sorted({word for phrase in self.phrases for word in phrase})
+
     @property
     def scored(self) -> list[int]:
         """Positions in `phrases` of those that count for the score."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodebook.session import cut_lineage
+from lodebook.session import cut_lineage, materialize
 
 
 def outgoing(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_id) -> DataFrame:
@@ -67,6 +67,33 @@ def named_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return slim.join(callers, "caller_symbol_id").select("caller", "callee").distinct()
 
 
+def walk(pairs_of, name: str, depth: int, most: int = 1000) -> DataFrame:
+    """caller, callee, distance as `neighbourhood`, from stored adjacency.
+
+    `pairs_of` gives the distinct (caller, callee) rows of a list of names, or all rows for None. A frontier of up to
+    `most` names is read by their literals, so that only their part of the table is opened; a larger one is joined.
+    Each level is written once and is part of the result; all pairs never are.
+    """
+    frontier: list[str] | DataFrame = [name]
+    found, seen = None, None
+    for distance in range(depth + 1):
+        if isinstance(frontier, list):
+            rows = pairs_of(frontier)
+        else:
+            rows = pairs_of(None).join(frontier, "caller", "left_semi")
+        level = materialize(rows.select("caller", "callee", F.lit(distance).alias("distance")), "level")
+        found = level if found is None else found.unionByName(level)
+        if distance == depth:
+            break
+        now = level.sparkSession.createDataFrame([(n,) for n in frontier], "caller string") if isinstance(frontier, list) else frontier
+        seen = now if seen is None else seen.unionByName(now)
+        following = materialize(
+            level.select(F.col("callee").alias("caller")).distinct().join(seen, "caller", "left_anti"), "frontier")
+        few = following.limit(most + 1).collect()
+        frontier = [r.caller for r in few] if len(few) <= most else following
+    return found
+
+
 def neighbourhood(pairs: DataFrame, name: str, depth: int) -> DataFrame:
     """caller, callee, distance for all callers at most `depth` calls away from the name.
 

@@ -21,14 +21,16 @@ def edge_references(edges: DataFrame, name: str, symbol_id) -> DataFrame:
     )
 
 
-def affected_files(files: DataFrame, edges: DataFrame, name: str, symbol_id, own_file_id) -> DataFrame:
+def affected_files(files: DataFrame, edges: DataFrame, name: str, symbol_id, own_file_id,
+                   texts: DataFrame | None = None) -> DataFrame:
     """file_id, path, reference_count, lines, is_test, category: one row per affected file.
 
     Calls count as often as they occur. Where the text of another file mentions the name
-    as well, its distinct lines count instead.
+    as well, its distinct lines count instead. `texts` may have fewer files, as long as all that hold the name are there.
     """
+    texts = files if texts is None else texts
     by_edge = edge_references(edges, name, symbol_id).join(files.select("file_id", "relative_path"), "file_id")
-    by_text = mention_lines(files.filter(F.col("file_id") != own_file_id), name)
+    by_text = mention_lines(texts.filter(F.col("file_id") != own_file_id), name)
     merged = by_edge.withColumnRenamed("relative_path", "edge_path").join(by_text, "file_id", "full")
     lines = (
         F.when(F.col("edge_lines").isNull(), F.col("lines"))

@@ -105,7 +105,7 @@ def hits(postings: DataFrame, match: Match, key: str = "file_id", carry: tuple =
          total_length: int | None = None) -> DataFrame:
     """key, carry, doc_length and the hits `f0`, `f1`, ... of each phrase, for documents with
     any word. With `total_length` the postings are read from a bucketed table."""
-    words = sorted({word for phrase in match.phrases for word in phrase})
+    words = match.words()
     wanted = postings.filter(F.col("term").isin(words))
     if total_length is not None:
         wanted = wanted.filter(F.col("bucket").isin(_buckets(postings, words, layout(total_length)[0])))

@@ -1,13 +1,12 @@
-"""An index on disk: versioned parquet tables below one folder.
+"""An index on disk: log-structured tables below one folder (see `segments`).
 
-Every build writes a new version folder and marks it complete last, so readers see
-either the old index or the new one. A build re-extracts only what changed.
+A build extracts what is new or changed and writes that as one segment. Calls in files that did not change are resolved
+again only where a definition that came or went changes what their name stands for.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ from lodebook import schema
 from lodebook.functions import text
 from lodebook.operators import extraction, postings, resolve
 from lodebook.operators.search import SYMBOL_COLUMNS
+from lodebook.plans.segments import KEYS, SegmentStore
 
-MATCH_TABLE = "matches"
 BYTES_PER_FILE = 256 * 1024 * 1024
 
 
@@ -65,142 +64,203 @@ def merge_metadata(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.folder = folder.rstrip("/")
+        self.store = SegmentStore(spark, folder)
+        self.folder = self.store.folder
 
     # -- versions -----------------------------------------------------------------
 
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
     def versions(self) -> list[str]:
         """Complete versions, oldest first."""
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("v") and fs.exists(self._path(f"{n}/COMPLETE")))
+        return self.store.versions()
 
     def version(self) -> str | None:
-        versions = self.versions()
-        return versions[-1] if versions else None
+        return self.store.version()
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
-        version = version or self.version()
-        columns = schema.TABLES[name]
-        if version is None:
-            return self.spark.createDataFrame([], columns)
-        return self.spark.read.schema(columns).parquet(f"{self.folder}/{version}/{name}")
+        return self.store.live(name, version or self.version()).drop("segment")
+
+    def corpus(self, kind: str, version: str | None = None) -> tuple[int, int]:
+        """Number of documents (files or symbols) and of their tokens."""
+        total, length = self.store.manifest(version or self.version())["corpus"][kind]
+        return total, length
+
+    def postings(self, kind: str, words: list[str], version: str | None = None) -> DataFrame:
+        """The postings of a few words in files or symbols."""
+        return self.store.postings("postings" if kind == "files" else "symbol_postings", version or self.version(), words)
+
+    def files_with(self, term: str, version: str | None = None, wildcards: bool = False) -> DataFrame:
+        """Files whose text may hold a term, without reading the others; whether it does is for the caller to see."""
+        return self.store.files_with(version or self.version(), term, wildcards)
+
+    def lookup(self, name: str, keys: list[str], version: str | None = None) -> DataFrame:
+        """Rows of a table with one of a few keys (symbols by file, definitions by name, edges by the last part of the
+        callee, callers by their name); only the buckets of these keys are opened."""
+        return self.store.lookup(name, version or self.version(), keys)
 
     def clear(self) -> None:
-        """Delete all versions and the cache."""
-        fs, root = self._fs()
-        if fs.exists(root):
-            for status in fs.listStatus(root):
-                name = status.getPath().getName()
-                if name.startswith("v") or name == "cache":
-                    fs.delete(status.getPath(), True)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete all but the newest complete versions."""
-        fs, _ = self._fs()
-        for name in self.versions()[:-keep]:
-            fs.delete(self._path(name), True)
+        self.store.clear()
+
+    def vacuum(self, keep: int = 1, grace_hours: float = 24) -> None:
+        self.store.vacuum(keep, grace_hours)
 
     # -- build --------------------------------------------------------------------
 
-    def build(self, scanned: DataFrame, force: bool = False) -> BuildReport:
-        """Bring the index to the state of a scan (columns as in `filetree.with_derived`)."""
+    def build(self, scanned: DataFrame, force: bool = False, whole: bool = True) -> BuildReport:
+        """Bring the index to the state of a scan (columns as in `filetree.with_derived`).
+
+        With `whole` files that the scan does not have leave the index; otherwise only those that it has are looked at.
+        """
         started = time.time()
-        old = self.version()
-        version = f"v{int(started * 1000):015d}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.folder}/{version}"
-
-        def save(name: str, table: DataFrame, columns: str) -> DataFrame:
-            names = self.spark.createDataFrame([], columns).columns
-            table.select(*names).write.parquet(f"{base}/{name}")
-            return self.spark.read.schema(columns).parquet(f"{base}/{name}")
-
-        state = compare(scanned, self.table("files", old), force)
-        state.write.parquet(f"{base}/state")
-        state = self.spark.read.parquet(f"{base}/state")
+        store, old = self.store, self.version()
+        manifest = store.manifest(old)
+        segment = store.new_segment()
+
+        live_files = store.live("files", old).select("path", "file_id", "hash", "error", "segment")
+        if not whole:
+            live_files = live_files.join(scanned.select("path"), "path", "left_semi")
+        state = store.work("state", segment, compare(scanned, live_files.drop("segment", "file_id"), force))
         touched = state.filter(F.col("state").isin("new", "changed")).select("path")
-        kept_ids = self.table("files", old).select("path", "file_id").join(
-            state.filter(F.col("state") == "unchanged").select("path"), "path", "left_semi").select("file_id")
-
+        gone = state.filter(F.col("state").isin("changed", "deleted")).select("path")
+        dead = live_files.join(gone, "path").select("file_id", F.col("segment").alias("of"))
+        if old is not None:
+            dead = store.save("dead_files", segment, dead)
         unreadable = scanned.filter("error IS NOT NULL").count() if "error" in scanned.columns else 0
+        if state.filter("state NOT IN ('unchanged', 'unreadable')").isEmpty():
+            store.forget(segment)
+            return BuildReport(0, 0, 0, unreadable, int((time.time() - started) * 1000))
+
         fresh = scanned.drop("error").join(touched, "path", "left_semi").withColumn("file_id", F.md5("path"))
-        extraction.find_matches(fresh).write.parquet(f"{base}/{MATCH_TABLE}")
-        match_schema = extraction.MATCH_SCHEMA.format(id="string")
-        matches = self.spark.read.schema(match_schema).parquet(f"{base}/{MATCH_TABLE}")
-
-        def with_kept(name: str, rows: DataFrame, key: str = "file_id") -> DataFrame:
-            """New rows and those of unchanged files."""
-            kept = self.table(name, old).join(kept_ids.withColumnRenamed("file_id", key), key, "left_semi")
-            return rows.unionByName(kept.select(*rows.columns))
-
-        new_symbols = extraction.symbols_of(matches)
-        new_symbols.write.parquet(f"{base}/plain_symbols")
-        new_symbols = self.spark.read.schema(schema.SYMBOLS).parquet(f"{base}/plain_symbols")
-        full_symbols = extraction.with_members(new_symbols, extraction.class_members(matches, new_symbols))
-        symbols = save("symbols", with_kept("symbols", full_symbols), schema.SYMBOLS)
-
-        # Callers are known per file; callees are resolved against all symbols again, since
-        # a new file may hold the target of an old call.
-        new_calls = resolve.callers_of(extraction.calls_of(matches), new_symbols)
-        old_calls = self.table("call_graph", old).join(
-            kept_ids.withColumnRenamed("file_id", "caller_file_id"), "caller_file_id", "left_semi")
-        calls = new_calls.unionByName(
-            old_calls.withColumnRenamed("caller_file_id", "file_id").select(*new_calls.columns))
-        edges = resolve.callees_of(calls, symbols).withColumnRenamed("file_id", "caller_file_id")
-        save("call_graph", edges, schema.CALL_GRAPH)
-        save("comments", with_kept("comments", extraction.comments_of(matches)), schema.COMMENTS)
+        matches = store.work("matches", segment, extraction.find_matches(fresh))
+        plain = store.work("plain_symbols", segment, extraction.symbols_of(matches))
+        calls = store.work("calls", segment, resolve.callers_of(extraction.calls_of(matches), plain))
+        rows = {"symbols": plain.count(), "callers": calls.count()}
+        rows["definitions"] = rows["symbols"]
+        symbols = store.save(
+            "symbols", segment, extraction.with_members(plain, extraction.class_members(matches, plain)), rows["symbols"])
+        store.save("comments", segment, extraction.comments_of(matches))
+        size = int(fresh.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+        files = self._save_files(segment, size, fresh, matches, plain)
+        store.save_grams(segment, files, size)
+        own = store.save("definitions", segment, resolve.definitions_of(plain), rows["definitions"])
+        names = plain.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
+        store.save("callers", segment, calls.join(names, "caller_symbol_id").select(
+            "caller", F.col("callee_name").alias("callee"), "file_id").distinct(), rows["callers"])
+        again, rows["call_graph"] = self._save_edges(segment, old, dead, own, calls, rows["callers"])
+        length = postings.document_length(SYMBOL_COLUMNS)
+        per_file = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.sum(length).alias("symbol_tokens"))
+        sizes = store.save("sizes", segment, files.select("file_id", "index_tokens").join(per_file, "file_id", "left").fillna(0))
+        totals = _totals(sizes)
+        store.save_postings(segment, postings.build(files), postings.build(symbols, "symbol_id", SYMBOL_COLUMNS, carry=("name",)), totals)
+
+        done = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("error")).first()
+        gone = _per_segment(dead) if old is not None else {}
+        lost = _totals(store.live("sizes", old).join(
+            dead.withColumnRenamed("of", "segment"), ["file_id", "segment"], "left_semi")) if gone else {k: [0, 0] for k in totals}
+        entries = [{**s, "dead_files": s["dead_files"] + gone.get(s["id"], 0),
+                    "dead_edges": s["dead_edges"] + again.get(s["id"], 0)} for s in manifest["segments"]]
+        entries.append(store.entry(segment, totals, size, rows, [n for n, c in (("dead_files", gone), ("dead_edges", again)) if c]))
+        corpus = {kind: [manifest["corpus"][kind][i] + totals[kind][i] - lost[kind][i] for i in (0, 1)] for kind in totals}
+        store.commit(old, {"segments": entries, "corpus": corpus})
+        store.delete(f"work/{segment}")
+        self.compact()
+        return BuildReport(
+            files_indexed=done[0] - done[2], symbols_extracted=totals["symbols"][0], total_tokens=done[1],
+            errors=done[2] + unreadable, time_ms=int((time.time() - started) * 1000))
 
+    def _save_files(self, segment: str, size: int, fresh: DataFrame, matches: DataFrame, symbols: DataFrame) -> DataFrame:
         details = (
             extraction.imports_exports_of(matches)
-            .join(extraction.structure_of(new_symbols), "file_id", "full")
+            .join(extraction.structure_of(symbols), "file_id", "full")
             .join(matches.filter(F.col("kind") == "error").select("file_id", "error"), "file_id", "full")
         )
         none = F.array().cast("array<string>")
-        new_files = fresh.join(details, "file_id", "left").select(
+        new = fresh.join(details, "file_id", "left").select(
             "file_id", "path", "relative_path", "content", "hash", "size", "language", "last_modified",
             F.current_timestamp().alias("indexed_at"), text.estimate_tokens(F.col("content")).alias("tokens"),
             postings.document_length().alias("index_tokens"),
             F.coalesce("imports", none).alias("imports"), F.coalesce("exports", none).alias("exports"),
             "structure", "error")
-        # In ranges of ids, sorted, so that fetching a few files by id skips nearly all of the table.
-        files = with_kept("files", new_files)
-        total = scanned.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        files = files.repartitionByRange(max(1, -(-int(total) // BYTES_PER_FILE)), "file_id").sortWithinPartitions("file_id")
-        files = save("files", files, schema.FILES)
-
-        self._save_postings(base, files, symbols, touched, with_kept)
-
-        done = files.join(touched, "path", "left_semi").agg(
-            F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("error")).first()
-        report = BuildReport(
-            files_indexed=done[0] - done[2], symbols_extracted=new_symbols.count(), total_tokens=done[1],
-            errors=done[2] + unreadable, time_ms=int((time.time() - started) * 1000))
-        fs, _ = self._fs()
-        fs.delete(self._path(f"{version}/plain_symbols"), True)
-        fs.delete(self._path(f"{version}/{MATCH_TABLE}"), True)
-        fs.create(self._path(f"{version}/COMPLETE")).close()
-        return report
-
-    def _save_postings(self, base: str, files: DataFrame, symbols: DataFrame, touched: DataFrame, with_kept) -> None:
-        sizes = files.select(F.lit("files").alias("kind"), F.col("index_tokens").alias("length")).unionByName(
-            symbols.select(F.lit("symbols").alias("kind"), postings.document_length(SYMBOL_COLUMNS).alias("length")))
-        sizes.groupBy("kind").agg(
-            F.count(F.lit(1)).alias("total"), F.sum("length").alias("total_length")
-        ).write.parquet(f"{base}/corpus")
-        length = {r.kind: r.total_length for r in self.spark.read.parquet(f"{base}/corpus").collect()}
-
-        new = postings.build(files.join(touched, "path", "left_semi"))
-        postings.write(with_kept("postings", new), f"{base}/postings", length.get("files", 0))
-        # Symbols are numbered anew with their file and are few next to the texts.
-        postings.write(
-            postings.build(symbols, "symbol_id", SYMBOL_COLUMNS, carry=("name",)),
-            f"{base}/symbol_postings", length.get("symbols", 0), key="symbol_id")
+        return self.store.save("files", segment, _in_ranges(new, size))
+
+    def _save_edges(self, segment: str, old: str | None, dead: DataFrame, own: DataFrame, calls: DataFrame,
+                    new: int) -> tuple[dict[str, int], int]:
+        """Write the edges of the new calls and of the old calls whose name stands for something else now.
+
+        Gives the number of replaced rows by segment and the number of edges. Only the definitions of names that the new files call or define, or that the dead ones defined, are looked at.
+        """
+        store = self.store
+        moved, edges, winners = {}, calls, None
+        if old is None:
+            winners = store.work("winners", segment, resolve.winners_of(own))
+        else:
+            dead = dead.withColumnRenamed("of", "segment")
+            known = store.live("definitions", old)
+            lost = known.join(dead, ["file_id", "segment"], "left_semi").select("name")
+            asked = store.work("names", segment, lost.union(own.select("name")).union(
+                calls.select(resolve.last_part("callee_name"))).distinct())
+            around = store.work("definitions", segment, known.join(asked, "name", "left_semi").join(
+                dead.withColumn("dead", F.lit(True)), ["file_id", "segment"], "left").drop("segment"))
+            stay = around.filter("dead IS NULL").drop("dead").unionByName(own)
+            winners = store.work("winners", segment, resolve.winners_of(stay))
+            changed = resolve.changed_names(resolve.winners_of(around.drop("dead")), winners)
+            kept = store.live("call_graph", old).join(
+                dead.withColumnRenamed("file_id", "caller_file_id"), ["caller_file_id", "segment"], "left_anti")
+            concerned = store.work("moved", segment, resolve.edges_to_resolve(kept, changed))
+            moved = _per_segment(concerned.withColumnRenamed("segment", "of"))
+            if moved:
+                store.save("dead_edges", segment, concerned.select("call_id", F.col("segment").alias("of")))
+                # Their files do not define the name, so that `own`, which has the new files only, finds nothing for them.
+                edges = calls.unionByName(concerned.withColumnRenamed("caller_file_id", "file_id").select(*calls.columns))
+        count = new + sum(moved.values())
+        resolved = resolve.resolve_calls(edges, own, winners)
+        store.save("call_graph", segment, resolved.withColumnRenamed("file_id", "caller_file_id"), count)
+        return moved, count
+
+    # -- upkeep -------------------------------------------------------------------
+
+    def compact(self) -> None:
+        """Merge segments as long as a size class is full or a segment is mostly dead; a new version each time."""
+        store = self.store
+        while True:
+            old = self.version()
+            manifest = store.manifest(old)
+            chosen = store.mergeable(manifest["segments"])
+            if not chosen:
+                return
+            segment = store.new_segment()
+
+            def live(name: str) -> DataFrame:
+                return store.live(name, old, only=chosen).drop("segment")  # noqa: B023
+
+            totals = _totals(store.save("sizes", segment, live("sizes")))
+            size = int(live("files").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+            store.save_grams(segment, store.save("files", segment, _in_ranges(live("files"), size)), size)
+            store.save("comments", segment, live("comments"))
+            rows = {name: sum(s["rows"][name] for s in manifest["segments"] if s["id"] in chosen) for name in KEYS}
+            for name, count in rows.items():
+                store.save(name, segment, live(name), count)
+            store.save_postings(segment, live("postings"), live("symbol_postings"), totals)
+            entries = [s for s in manifest["segments"] if s["id"] not in chosen]
+            kills = []
+            for name in ("dead_files", "dead_edges"):  # of segments that stay
+                dead = store.read(name, store.with_kills(manifest, name, chosen)).filter(~F.col("of").isin(chosen)).drop("segment")
+                if not dead.isEmpty():
+                    store.save(name, segment, dead)
+                    kills.append(name)
+            store.commit(old, {**manifest, "segments": [*entries, store.entry(segment, totals, size, rows, kills)]})
+
+
+def _per_segment(dead: DataFrame) -> dict[str, int]:
+    return {r.of: r.n for r in dead.groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _in_ranges(files: DataFrame, total: int) -> DataFrame:
+    """In ranges of ids, sorted, so that fetching a few files by id skips nearly all of the table."""
+    return files.repartitionByRange(max(1, -(-total // BYTES_PER_FILE)), "file_id").sortWithinPartitions("file_id")
+
+
+def _totals(sizes: DataFrame) -> dict[str, list[int]]:
+    """Numbers and tokens of the files and symbols of a table of sizes."""
+    names = ("index_tokens", "symbols", "symbol_tokens")
+    row = sizes.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    return {"files": [row.files, row.index_tokens], "symbols": [row.symbols, row.symbol_tokens]}

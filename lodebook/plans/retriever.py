@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from lodebook import cache
 from lodebook.functions import text
 from lodebook.functions.match import match_of
-from lodebook.operators import graph, history, impact, packing, postings, related, search, stats, usages
+from lodebook.operators import extraction, graph, history, impact, packing, postings, related, resolve, search, stats, usages
 from lodebook.operators import symbols as symbol_ops
 from lodebook.plans.index import Index
 from lodebook.session import materialize
 from lodebook.sources import gitlog
 
 
+MOST_LITERALS = 1000
+
+
 @dataclass
 class SearchResult:
     files: DataFrame
@@ -62,19 +65,25 @@ class Retriever:
         self.edges = self.index.table("call_graph", self.version)
         self.cache = cache.ResultCache(spark, self.index.folder, self.version)
 
-    def _corpus(self, kind: str) -> tuple[int, int]:
-        row = self.index.table("corpus", self.version).filter(F.col("kind") == kind).first()
-        return (row.total, row.total_length) if row else (1, 1)
+    def _ranked(self, kind: str, term: str, **keys) -> DataFrame:
+        """Scores from the postings of the term's words."""
+        found = self.index.postings(kind, match_of(term).words(), self.version)
+        total, length = self.index.corpus(kind, self.version)
+        return postings.ranked(found, term, max(1, total), max(1, length), bucketed=False, **keys)
+
+    def _with_text(self, term: str, wildcards: bool = False) -> DataFrame:
+        """The files whose text may hold a term."""
+        return self.index.files_with(term, self.version, wildcards)
 
     # -- search ---------------------------------------------------------------------
 
     def _ranked_files(self, term: str, sort_by: str, languages, limit: int) -> DataFrame:
         """The top files with `position`, `file_id`: from the inverted index where it applies."""
         if match_of(term) is None:
-            hits = search.like_files(self.files, term, limit=limit, languages=languages)
+            hits = search.like_files(self._with_text(term, wildcards=True), term, limit=limit, languages=languages)
             order = [F.col("relative_path"), F.col("file_id")]
             return hits.withColumn("position", F.row_number().over(_window(order))).select("file_id", "position")
-        hits = postings.ranked(self.index.table("postings", self.version), term, *self._corpus("files"))
+        hits = self._ranked("files", term)
         if languages or sort_by != "relevance":
             narrow = self.files.select("file_id", "relative_path", "language", "size", "last_modified")
             if languages:
@@ -143,9 +152,7 @@ class Retriever:
 
     def _symbol_hits(self, term: str) -> DataFrame:
         """symbol_id, name and score from the inverted index of the symbols."""
-        return postings.ranked(
-            self.index.table("symbol_postings", self.version), term, *self._corpus("symbols"),
-            key="symbol_id", carry=("name",))
+        return self._ranked("symbols", term, key="symbol_id", carry=("name",))
 
     def _ranked_symbols(self, term: str, languages, limit: int) -> DataFrame:
         hits = self._symbol_hits(term) if match_of(term) else None
@@ -157,7 +164,7 @@ class Retriever:
         return symbol_ops.find_symbol(self.symbols, self.files, name, languages, hits=hits).drop("position")
 
     def find_usages(self, name: str, languages=None, max_tokens: int = 4000) -> DataFrame:
-        return usages.find_usages(self.files, self.symbols, name, max_tokens, languages)
+        return usages.find_usages(self._with_text(name, wildcards=True), self.symbols, name, max_tokens, languages)
 
     def file_context(self, path: str, **include) -> DataFrame:
         """One file by its path or relative path."""
@@ -190,15 +197,42 @@ class Retriever:
     # -- graph and impact -------------------------------------------------------------
 
     def _root(self, name: str):
-        return symbol_ops.first_symbol(self.symbols, name).first()
+        """The symbol that a name stands for: found by its definition, read from the bucket of its file."""
+        exact = self.index.lookup("definitions", [name], self.version).filter(F.col("rank") < resolve.DOTTED)
+        first = exact.agg(F.min(F.struct("file_id", "rank")).alias("first")).select(
+            F.col("first.file_id").alias("file_id"),
+            extraction.symbol_id_of(F.col("first.file_id"), F.col("first.rank").cast("decimal(21,0)")).alias("symbol_id")).first()
+        if first is None or first.file_id is None:
+            return None
+        return self.index.lookup("symbols", [first.file_id], self.version).filter(F.col("symbol_id") == first.symbol_id).first()
+
+    def _edges_to(self, name: str) -> DataFrame:
+        """The edges that a name may be the callee of."""
+        return self.index.lookup("call_graph", [name.rsplit(".", 1)[-1]], self.version)
+
+    def _edges_from(self, root) -> DataFrame:
+        """The edges of a symbol: the names that it calls lead to their buckets."""
+        called = self.index.lookup("callers", [root.name], self.version).filter(F.col("file_id") == root.file_id)
+        names = _few(called.select(resolve.last_part("callee").alias("name")))
+        edges = self.edges if names is None else self.index.lookup("call_graph", names, self.version)
+        return edges.filter(F.col("caller_symbol_id") == root.symbol_id)
+
+    def _around(self, edges: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+        """The symbols and files at one end of some edges, read by their ids where these are few."""
+        ids = _few(edges.select(F.col(f"{end}_file_id").alias("name")))
+        if ids is None:
+            return self.symbols, self.files
+        return self.index.lookup("symbols", ids, self.version), self.files.filter(F.col("file_id").isin(ids))
 
     def dependency_graph(self, name: str) -> DependencyGraph | None:
         root = self._root(name)
         if root is None:
             return None
-        node = symbol_ops.with_file(self.symbols.filter(F.col("symbol_id") == root.symbol_id), self.files)
-        calls = graph.outgoing(self.edges, self.symbols, self.files, root.symbol_id)
-        called_by = graph.incoming(self.edges, self.symbols, self.files, name, root.symbol_id)
+        own = self.index.lookup("symbols", [root.file_id], self.version).filter(F.col("symbol_id") == root.symbol_id)
+        node = symbol_ops.with_file(own, self.files.filter(F.col("file_id") == root.file_id))
+        made, received = self._edges_from(root), self._edges_to(name).filter(graph.refers_to(name, root.symbol_id))
+        calls = graph.outgoing(made, *self._around(made, "callee"), root.symbol_id)
+        called_by = graph.incoming(received, *self._around(received, "caller"), name, root.symbol_id)
         keep = cache.GRAPH_MINUTES
         return DependencyGraph(
             node.select("symbol_id", "file_id", "name", "type", "file_path", F.col("line_start").alias("line")),
@@ -207,22 +241,28 @@ class Retriever:
 
     def call_graph(self, name: str, depth: int = 1) -> DataFrame:
         """caller, callee, distance around a name."""
-        return graph.neighbourhood(graph.named_edges(self.edges, self.symbols), name, depth)
+        def pairs_of(names: list[str] | None) -> DataFrame:
+            rows = self.index.table("callers", self.version) if names is None else self.index.lookup("callers", names, self.version)
+            return rows.select("caller", "callee").distinct()
+
+        return graph.walk(pairs_of, name, depth)
 
     def impact_analysis(self, name: str) -> Impact | None:
         root = self._root(name)
         if root is None:
-            affected = impact.unindexed(self.files, name)
+            affected = impact.unindexed(self._with_text(name), name)
             summary = impact.unindexed_totals(affected).select(
                 F.lit(name).alias("symbol"), F.lit("unknown").alias("type"), F.lit("not indexed").alias("location"),
                 "*", F.lit(0).cast("long").alias("symbols_affected"))
             if summary.isEmpty():
                 return None
             return Impact(summary, impact.top_affected(affected, limit=None), _tests(affected))
+        edges = self._edges_to(name)
         affected = self.cache.through(
             f"impact {name}",
-            impact.affected_files(self.files, self.edges, name, root.symbol_id, root.file_id), cache.IMPACT_MINUTES)
-        callers = impact.symbols_affected(self.edges, self.symbols, name, root.symbol_id)
+            impact.affected_files(
+                self.files, edges, name, root.symbol_id, root.file_id, self._with_text(name)), cache.IMPACT_MINUTES)
+        callers = impact.symbols_affected(edges, self.symbols, name, root.symbol_id)
         path = self.files.filter(F.col("file_id") == root.file_id).select("relative_path").first()[0]
         summary = impact.with_risk(impact.totals(affected), F.lit(root.name), F.lit(root.type)).select(
             F.lit(root.name).alias("symbol"), F.lit(root.type).alias("type"),
@@ -240,7 +280,7 @@ class Retriever:
         if root is not None:
             row = self.files.filter(F.col("file_id") == root.file_id).select("relative_path").first()
         else:
-            row = self.files.filter(text.like_ci(F.col("content"), name)).select(
+            row = self._with_text(name, wildcards=True).filter(text.like_ci(F.col("content"), name)).select(
                 F.min_by("relative_path", "file_id").alias("relative_path")).first()
         if row is None or row.relative_path is None:
             return None
@@ -284,6 +324,12 @@ class Retriever:
         return "\n".join(out) + "\n"
 
 
+def _few(names: DataFrame) -> list[str] | None:
+    """The distinct values of the column `name` where they are few enough for literals."""
+    rows = names.filter("name IS NOT NULL").distinct().limit(MOST_LITERALS + 1).collect()
+    return [r.name for r in rows] if len(rows) <= MOST_LITERALS else None
+
+
 def _window(order):
     """A window over a top-k result."""
     return Window.orderBy(*order)

@@ -24,10 +24,18 @@ term string, file_id string, field int, positions array<int>, doc_length long, b
 SYMBOL_POSTINGS = """
 term string, symbol_id string, name string, field int, positions array<int>, doc_length long, bucket int
 """
-CORPUS = "kind string, total long, total_length long"
+# What a name may stand for: per file the first symbol of that name or last part of a name.
+DEFINITIONS = "name string, file_id string, rank decimal(23,0)"
+# Which name calls which, once per file.
+CALLERS = "caller string, callee string, file_id string"
+SIZES = "file_id string, index_tokens long, symbols long, symbol_tokens long"
+GRAMS = "gram int, block string, bucket int"
+DEAD_FILES = "file_id string, of string"
+DEAD_EDGES = "call_id string, of string"
 CACHE = "query_key string, result string, created_at timestamp, expires_at timestamp"
 
 TABLES = {
     "files": FILES, "symbols": SYMBOLS, "call_graph": CALL_GRAPH, "comments": COMMENTS,
-    "postings": POSTINGS, "symbol_postings": SYMBOL_POSTINGS, "corpus": CORPUS,
+    "postings": POSTINGS, "symbol_postings": SYMBOL_POSTINGS,
+    "definitions": DEFINITIONS, "callers": CALLERS, "sizes": SIZES, "grams": GRAMS, "dead_files": DEAD_FILES, "dead_edges": DEAD_EDGES,
 }

@@ -11,17 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodebook.plans.index import Index
+from lodebook.session import materialize
 from lodebook.sources.filetree import with_derived
 
-KNOWN = ["path", "relative_path", "content", "hash", "size", "language", "last_modified"]
-
-
 def upsert(index: Index, batch: DataFrame) -> None:
-    """The newest version per path wins; files that are not in the batch stay."""
+    """The newest version per path wins; files that are not in the batch stay, and their texts are not read."""
     newest = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "last_modified").alias("v")).select("v.*")
-    arrived = with_derived(newest)
-    known = index.table("files").select(*KNOWN)
-    index.build(arrived.unionByName(known.join(arrived.select("path"), "path", "left_anti").select(*KNOWN)))
+    index.build(materialize(with_derived(newest), "arrived"), whole=False)
 
 
 def keep_indexed(versions: DataFrame, index: Index, checkpoint: str, **trigger):
