@@ -287,10 +287,30 @@ JAVASCRIPT = [
     Rule("js_call_member", rf"(?:(?<![\w$.)\]?]){_NAME}|(?<=[\w$)\]}}]))\s*\.\s*{_NAME}\s*\(", "line", True),
     Rule("js_call_new", rf"(?<![\w$.])new\s+{_NAME}(?![\w$.])", "line", True),
 ]
-# What follows the words of a Java or C# function; without it their patterns need not be tried.
-TAILS = {
-    ("java", REGEX_LANGUAGES["java"]["function"][0]): r"\([^)]*\)(?:\s+throws\s+[\w,\s]+)?\s*\{",
-    ("csharp", REGEX_LANGUAGES["csharp"]["function"][0]): r"\([^)]*\)",
+
+
+class Anchor(NamedTuple):
+    """How a pattern that begins with a run of words is found without trying it at every place.
+
+    `run`: the characters of such a run; it ends where `last` (the run's end, or a word in it and what follows) meets the
+    parenthesis that opens the parameters. `tail`: what must follow the closing one. `lead`: what may stand before the run.
+    """
+
+    run: str
+    tail: str
+    last: str = ""
+    lead: str = ""
+
+
+_TEMPLATE = r"^\s*template\s*<[^>]*>\Z"
+ANCHORS = {
+    ("java", REGEX_LANGUAGES["java"]["function"][0]): Anchor(r"\w\s", r"(?:\s+throws\s+[\w,\s]+)?\s*\{"),
+    ("csharp", REGEX_LANGUAGES["csharp"]["function"][0]): Anchor(r"\w\s", ""),
+    ("c", REGEX_LANGUAGES["c"]["function"][0]): Anchor(r"\w\s*", r"\s*\{"),
+    ("c", REGEX_LANGUAGES["c"]["function"][1]): Anchor(r"\w\s*", ";"),
+    ("cpp", REGEX_LANGUAGES["cpp"]["function"][0]): Anchor(
+        r"\w\s*&", r"(?:\s*const)?(?:\s*override)?(?:\s*noexcept)?(?:\s*->\s*[\w:]+)?\s*\{", lead=_TEMPLATE),
+    ("cpp", REGEX_LANGUAGES["cpp"]["function"][1]): Anchor(r"\w\s*&", "", r"operator\s*[^\s(]+\s*", _TEMPLATE),
 }
 
 

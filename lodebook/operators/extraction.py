@@ -243,21 +243,51 @@ def _is_shorthand_method(masked: str, match: re.Match) -> bool:
     return False
 
 
-def anchored(regex: re.Pattern, tail: re.Pattern, content: str) -> Iterator[re.Match]:
-    """Matches of a pattern that begins with words and blanks up to a parenthesis.
+PARAMETERS = r"\([^)]*\)"
 
-    Such a match lies in a run of words and blanks that ends at a parenthesis with the right things behind it; only
-    there is the pattern tried, so text without such runs costs one pass.
+
+@lru_cache(maxsize=None)
+def _anchor_patterns(pattern: str, anchor: R.Anchor) -> tuple[re.Pattern, ...]:
+    """The head of the pattern up to the parameters, its runs, their ends, what follows the parameters, what may precede."""
+    head = pattern[:pattern.index(PARAMETERS)] + r"\("
+    runs = rf"(?<![{anchor.run}])[{anchor.run}]++"
+    return tuple(re.compile(p, re.M | re.A) for p in (
+        head, runs, (anchor.last or rf"(?<=[{anchor.run}])") + r"\(", anchor.tail, anchor.lead or r"(?!)"))
+
+
+def anchored(regex: re.Pattern, anchor: R.Anchor, content: str) -> Iterator[re.Match]:
+    """The matches of a pattern with an anchor, in one pass.
+
+    Every run of words is looked at once, and only if it ends at a parenthesis, or at the last word that the pattern
+    needs before one, and the right things follow the parameters. Text without such runs costs one pass.
     """
-    end = 0
-    for run in re.finditer(r"(?<![\w\s])[\w\s]++(?=\()", content, re.A):
-        if tail.match(content, run.end()):
-            at = max(run.start(), end)
-            match = regex.search(content, at)
-            while match and match.start() < run.end():
-                end = match.end()
-                yield match
-                match = None
+    head, runs, last, tail, lead = _anchor_patterns(regex.pattern, anchor)
+    end, close = 0, -1  # end of the match before, the closing parenthesis after a run
+    opened = last.search(content)
+    for run in runs.finditer(content):
+        while opened and opened.start() < run.start():
+            opened = last.search(content, opened.start() + 1)
+        if opened is None:
+            return
+        if opened.start() > run.end() or (not anchor.last and opened.start() != run.end()):
+            continue
+        if close < opened.end() - 1:
+            close = content.find(")", opened.end() - 1)
+            if close < 0:
+                return
+        rest = tail.match(content, close + 1)
+        at = max(run.start(), end)
+        if rest is None or at >= opened.end():
+            continue
+        found = None
+        if anchor.lead and at == run.start() and content[at - 1:at] == ">":
+            prefix = lead.search(content, max(content.rfind(">", 0, at - 1) + 1, end), at)
+            found = head.match(content, prefix.start(), opened.end()) if prefix else None
+        found = found or head.search(content, at, opened.end())
+        match = regex.match(content, found.start(), rest.end()) if found else None
+        if match:
+            end = match.end()
+            yield match
 
 
 def file_matches(file_id, language: str | None, content: str, rules) -> Iterator[tuple]:
@@ -267,8 +297,8 @@ def file_matches(file_id, language: str | None, content: str, rules) -> Iterator
     if any(rule.masked for _, rule, _ in rules):
         masked = mask_js(content)
     for index, rule, regex in rules:
-        tail = R.TAILS.get((language, rule.pattern))
-        found = anchored(regex, re.compile(tail, re.A), content) if tail else regex.finditer(masked if rule.masked else content)
+        anchor = R.ANCHORS.get((language, rule.pattern))
+        found = anchored(regex, anchor, content) if anchor else regex.finditer(masked if rule.masked else content)
         for match in found:
             begin = match.start()
             if masked[begin:begin + 1] == "," and rule.masked:
@@ -392,6 +422,8 @@ SYMBOL_KINDS = (
 SYMBOL_RULES = (*SYMBOL_KINDS, "js_method")
 CALL_RULES = ("js_method js_call js_call_member js_call_new call_function call_method call_new "
               "py_call_function py_call_method py_call_new").split()
+PROPERTY_RULES = ("py_property", "js_property")
+IMPORT_RULES = "import py_import py_from js_import export py_all js_export js_export_list js_export_default".split()
 
 
 def _pick(kind_values: dict[str, Column]) -> Column:

@@ -149,10 +149,12 @@ defined AS (
     ({code.PY_SYMBOLS}) UNION ALL ({code.JAVA_SYMBOLS})
     UNION ALL SELECT * FROM ({code.TS_SYMBOLS}) WHERE file_id IN (SELECT {code.C} FROM customer WHERE c_acctbal >= 0))
   UNION SELECT {NATION}, 'nation_' || n_nationkey FROM nation),
+anywhere AS (SELECT last, arg_min(file_id, md5(file_id)) AS file_id FROM defined GROUP BY last),
 target AS (
-  SELECT c.file_id, c.callee_name, c.line_number, c.call_type, coalesce(min(d.file_id) FILTER (d.file_id = c.file_id), arg_min(d.file_id, md5(d.file_id))) AS callee_path
-  FROM (SELECT *, row_number() OVER () AS id FROM calls) c JOIN defined d ON d.last = regexp_extract(c.callee_name, '[^.]+$')
-  GROUP BY c.id, c.file_id, c.callee_name, c.line_number, c.call_type)
+  SELECT c.file_id, c.callee_name, c.line_number, c.call_type, coalesce(o.file_id, a.file_id) AS callee_path
+  FROM calls c
+  LEFT JOIN defined o ON o.file_id = c.file_id AND o.last = regexp_extract(c.callee_name, '[^.]+$')
+  JOIN anywhere a ON a.last = regexp_extract(c.callee_name, '[^.]+$'))
 SELECT file_id AS path, callee_name, line_number, call_type, callee_path FROM target"""),
     "mentions_by_blocks": (mentions_by_blocks, f"""
 WITH lines AS (

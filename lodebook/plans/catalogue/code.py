@@ -39,7 +39,7 @@ def calls_in(files):
 def class_members(spark, sf):
     """Classes of the Python and TypeScript files with methods and properties in their metadata."""
     files = codetree.python_files(spark, sf).unionByName(codetree.typescript_files(spark, sf))
-    matches = matches_in(files)
+    matches = matches_in(files, (*extraction.SYMBOL_RULES, *extraction.PROPERTY_RULES))
     symbols = extraction.symbols_of(matches)
     merged = extraction.with_members(symbols, extraction.class_members(matches, symbols))
     return merged.filter(F.col("type") == "class").select(
@@ -49,18 +49,18 @@ def class_members(spark, sf):
 
 
 def imports_exports(spark, sf):
-    found = extraction.imports_exports_of(extraction.find_matches(codetree.all_files(spark, sf)))
+    found = extraction.imports_exports_of(extraction.find_matches(codetree.all_files(spark, sf), extraction.IMPORT_RULES))
     return found.select(
         "file_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"))
 
 
 def comments(spark, sf):
-    return extraction.comments_of(extraction.find_matches(codetree.typescript_files(spark, sf)))
+    return extraction.comments_of(extraction.find_matches(codetree.typescript_files(spark, sf), ("comment",)))
 
 
 def nested_symbols(spark, sf):
     """The structure of every Python file, as text."""
-    symbols = extraction.symbols_of(matches_in(codetree.python_files(spark, sf)))
+    symbols = extraction.symbols_of(matches_in(codetree.python_files(spark, sf), extraction.SYMBOL_RULES))
     category = F.explode("structure").alias("category", "details")
     return extraction.structure_of(symbols).select("file_id", category).select(
         "file_id", "category",
@@ -94,14 +94,15 @@ def generic_sql() -> str:
 def tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, symbols, edges) of the code tree; symbols and edges are written once."""
     files = codetree.all_files(spark, sf)
-    matches = matches_in(files)
+    matches = matches_in(files, (*extraction.SYMBOL_RULES, *extraction.CALL_RULES))
     symbols = materialize(extraction.symbols_of(matches), "symbols")
-    edges = materialize(resolve.call_graph(extraction.calls_of(matches), symbols), "edges")
+    calls = materialize(extraction.calls_of(matches), "calls")
+    edges = materialize(resolve.call_graph(calls, symbols), "edges")
     return files, symbols, edges
 
 
 def callers(spark, sf):
-    matches = matches_in(codetree.all_files(spark, sf))
+    matches = matches_in(codetree.all_files(spark, sf), (*extraction.SYMBOL_RULES, *extraction.CALL_RULES))
     symbols = materialize(extraction.symbols_of(matches), "symbols")
     made = resolve.callers_of(extraction.calls_of(matches), symbols)
     names = symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
@@ -165,13 +166,17 @@ def call_graph_tree(spark, sf):
     _, symbols, edges = tree(spark, sf)
     name = busiest_customer(spark, sf).replace("customer_", "Customer") + ".load"
     start = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min("o_orderkey").alias("k")).first().k
-    pairs = graph.named_edges(edges, symbols)
-    return graph.neighbourhood(pairs, f"ship_{start}", 2).unionByName(graph.neighbourhood(pairs, name, 0))
+
+    def pairs_of(names: list[str] | None) -> DataFrame:
+        chosen = symbols if names is None else symbols.filter(F.col("name").isin(names))
+        return graph.named_edges(edges, chosen)
+
+    return graph.walk(pairs_of, f"ship_{start}", 2).unionByName(graph.walk(pairs_of, name, 0))
 
 
 def import_targets(spark, sf):
     """Files each import of the tree points to, at most five per import; so for imports with wildcards and capitals."""
-    matches = matches_in(codetree.all_files(spark, sf))
+    matches = matches_in(codetree.all_files(spark, sf), extraction.IMPORT_RULES)
     imports = extraction.imports_exports_of(matches).select(F.explode("imports").alias("import"))
     number = F.col("n_nationkey").cast("string")
     more = read_table(spark, sf, "nation").select(F.explode(F.array(

@@ -1,5 +1,5 @@
+import random
 import re
-
 import time
 
 import pytest
@@ -232,3 +232,37 @@ def test_file_facts_of_python():
     text = "class A:\n    @dec\n    def f(self):\n        x = 1\n\n    # c\n    def g(self): pass\n\ndef h():\n    pass\n"
     rows = [r for r in X.file_matches("f", "python", text, X.compiled_rules("python")) if r[2] in ("py_def", "py_class")]
     assert [(r[5], r[6], r[10], r[11]) for r in rows] == [(3, 6, True, ["@dec"]), (7, 8, True, []), (9, 11, False, []), (1, 8, False, [])]
+
+
+PIECES = {
+    "c": ["int ", "void ", "* ", "foo", "(", "a, b", ")", " {", "}", "\n", ";", "static ", "struct X ", "(x)", " ", "return f(x);\n", "/* c */"],
+    "cpp": ["int ", "T& ", "* ", "foo", "(", "a", ")", " {", "}", "\n", ";", "template <class T>\n", "template<a> ", "operator", "==",
+            "operator ", "+ ", " const", " noexcept", " -> int", "friend ", "(x)", " ", "virtual "],
+    "java": ["public ", "int ", "foo", "(", "a b", ")", " {", "}", "\n", ";", "static ", " throws E", "class X", "(x)", " "],
+    "csharp": ["public ", "int ", "foo", "(", "a b", ")", " {", "}", "\n", ";", "async ", "class X", "(x)", " "],
+}
+
+
+def test_anchored_patterns_find_what_the_patterns_find():
+    rng, total = random.Random(3), 0
+    for (language, pattern), anchor in R.ANCHORS.items():
+        regex = re.compile(pattern, re.M | re.A)
+        for _ in range(1500):
+            text = "".join(rng.choice(PIECES[language]) for _ in range(rng.randint(0, 30)))
+            expected = [(m.span(), m.groups()) for m in regex.finditer(text)]
+            assert [(m.span(), m.groups()) for m in X.anchored(regex, anchor, text)] == expected, text
+            total += len(expected)
+    assert total > 400
+
+
+def test_long_prose_costs_one_pass_in_every_language():
+    rng = random.Random(5)
+    words = "the function of operator int value (see this) and class is not a x, test. import def struct use type new".split()
+    prose = ""
+    while len(prose) < 1 << 18:
+        prose += " ".join(rng.choice(words) for _ in range(rng.randint(3, 14))) + rng.choice([".\n", " ", "\n", "; "])
+    for language in ["", "python", "javascript", *R.REGEX_LANGUAGES]:
+        started = time.process_time()
+        for _ in X.file_matches("f", language, prose, X.compiled_rules(language)):
+            pass
+        assert time.process_time() - started < 5, language
