@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodebook.functions import rules as R
+from lodebook.operators import extractors
+from lodebook.operators.extractors import REGISTRY, Registry
 from lodebook.operators.ranges import innermost
 from lodebook.session import ship_package
 
@@ -333,24 +335,54 @@ def compiled_rules(language: str) -> list[tuple[int, R.Rule, re.Pattern]]:
     return [(i, rule, re.compile(rule.pattern, re.M | re.A)) for i, rule in enumerate(rules.get(language, rules[""]))]
 
 
-def _match_finder(schema: pa.Schema, kinds: frozenset[str] | None):
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+def _has_own_rules(language: str) -> bool:
+    return language in R.rules_by_language() and language != ""
+
+
+def match_chain(registry: Registry, kinds: frozenset[str] | None):
+    """A function of (file_id, language, content): what the first extractor that does not fail finds.
+
+    If all fail, the comments are left, and the first failure as an error.
+    """
+    chains: dict[str, list] = {}
 
     def wanted(language: str) -> list:
         rules = compiled_rules(language)
         return rules if kinds is None else [r for r in rules if r[1].kind in kinds]
 
+    def best(file_id, language: str | None, content: str) -> list[tuple]:
+        name, problem = language or "", None
+        if name not in chains:
+            chains[name] = registry.chain(name, 10 if _has_own_rules(name) else 1)
+        for extractor in chains[name]:
+            try:
+                if extractor is None:
+                    return list(file_matches(file_id, language, content, wanted(name)))
+                return extractors.rows_of(extractor, file_id, language, content, FileFacts(content), kinds)
+            except Exception as failure:  # one bad file is reported and the rest goes on
+                problem = problem or failure
+        left = [(file_id, language, "error", -1, 0, 0, 0, 0, "", [], False, [], repr(problem))]
+        comments = [r for r in compiled_rules("") if r[1].kind == "comment" and (kinds is None or "comment" in kinds)]
+        try:
+            left += file_matches(file_id, language, content, comments)
+        except Exception:  # a text that cannot even be scanned for comments has its error only
+            pass
+        return left
+
+    return best
+
+
+def _match_finder(schema: pa.Schema, kinds: frozenset[str] | None, registry: Registry):
+    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        best = match_chain(registry, kinds)
         for batch in batches:
             for file_id, language, content in zip(*[column.to_pylist() for column in batch.columns]):
-                try:
-                    found = list(file_matches(file_id, language, content, wanted(language or "")))
-                except Exception as problem:  # one bad file is reported and the rest goes on
-                    found = [(file_id, language, "error", -1, 0, 0, 0, 0, "", [], False, [], repr(problem))]
-                rows.extend(found)
+                rows.extend(best(file_id, language, content))
                 if len(rows) >= FLUSH_ROWS:
                     yield to_batch(rows)
                     rows = []
@@ -360,17 +392,19 @@ def _match_finder(schema: pa.Schema, kinds: frozenset[str] | None):
     return find
 
 
-def find_matches(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+def find_matches(files: DataFrame, kinds: tuple[str, ...] | None = None, registry: Registry | None = None) -> DataFrame:
     """One row per rule match. Narrow: no shuffle, files stay where they were read.
 
-    With `kinds` only the rules of these kinds are run; rules keep their numbers.
+    With `kinds` only the rules of these kinds are run; rules keep their numbers. `registry` has added extractors, as they
+    are now; by default the common one.
     """
     ship_package(files.sparkSession)
     id_type = files.schema["file_id"].dataType.simpleString()
     schema = StructType.fromDDL(MATCH_SCHEMA.format(id=id_type))
     arrow = pa.schema([
         pa.field(f.name, ARROW_TYPES.get(f.dataType.simpleString(), pa.string())) for f in schema.fields])
-    return files.select("file_id", "language", "content").mapInArrow(_match_finder(arrow, None if kinds is None else frozenset(kinds)), schema)
+    return files.select("file_id", "language", "content").mapInArrow(_match_finder(
+        arrow, None if kinds is None else frozenset(kinds), Registry(list((registry or REGISTRY).extractors))), schema)
 
 
 def _group(n: int) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodebook.plans.catalogue import builds, code, graphs, histories, texts
+from lodebook.plans.catalogue import builds, code, graphs, histories, languages, texts
 
-QUERIES = {**texts.QUERIES, **code.QUERIES, **graphs.QUERIES, **histories.QUERIES, **builds.QUERIES}
+QUERIES = {**texts.QUERIES, **code.QUERIES, **graphs.QUERIES, **histories.QUERIES, **builds.QUERIES, **languages.QUERIES}
 
 
 def callables() -> dict:
