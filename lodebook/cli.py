@@ -9,6 +9,7 @@ import argparse
 import json
 import os
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def run_index(spark, args, root: str, folder: str) -> str:
     return "\n".join([*out, "", '💡 Next: lodebook query "search term"'])
 
 
-def run_query(spark, args, root: str, folder: str) -> str:
+def run_query(spark, args, root: str, folder: str) -> str | Iterator[str]:
     term = validate.search_term(args.term)
     tokens = validate.positive_int(args.tokens, "--tokens")
     form = validate.output_format(args.format)
@@ -136,7 +137,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     folder = args.index or os.path.join(root, INDEX_FOLDER)
     run = {"index": run_index, "query": run_query, "stats": run_stats, "clear": run_clear}[args.command]
     try:
-        print(run(spark or build_session(master=os.environ.get("SPARK_MASTER", "local[*]")), args, root, folder))
+        shown = run(spark or build_session(master=os.environ.get("SPARK_MASTER", "local[*]")), args, root, folder)
+        for piece in [shown] if isinstance(shown, str) else shown:
+            print(piece, end="")
+        print()
         return 0
     except validate.ValidationError as problem:
         print(f"❌ Validation error: {problem}", file=sys.stderr)

@@ -168,8 +168,10 @@ def call_graph_tree(spark, sf):
     start = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min("o_orderkey").alias("k")).first().k
 
     def pairs_of(names: list[str] | None) -> DataFrame:
-        chosen = symbols if names is None else symbols.filter(F.col("name").isin(names))
-        return graph.named_edges(edges, chosen)
+        if names is None:
+            return graph.named_edges(edges, symbols)
+        callers = symbols.filter(F.col("name").isin(names)).select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
+        return edges.join(callers, "caller_symbol_id").select("caller", F.col("callee_name").alias("callee")).distinct()
 
     return graph.walk(pairs_of, f"ship_{start}", 2).unionByName(graph.walk(pairs_of, name, 0))
 

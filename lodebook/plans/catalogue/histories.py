@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lodebook import cache
 from lodebook.functions import text
+from lodebook.functions.jsonpatch import merge_patch
 from lodebook.operators import history
 from lodebook.plans import index
+from lodebook.session import ship_package
 from lodebook.sources.tables import document_files, order_changes, order_commits, read_table
 
 
@@ -118,6 +120,18 @@ def metadata_merge(spark, sf):
         F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"))
 
 
+def metadata_nested(spark, sf):
+    """Nested metadata of documents patched with their labels: members of the inner object are kept, replaced and removed."""
+    ship_package(spark)
+    base = read_table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(
+        F.struct(F.col("source").alias("name"), F.col("lang").alias("language")).alias("origin"),
+        F.array("lang").alias("tags"), F.lit("?").alias("quality"))).alias("metadata"))
+    patch = read_table(spark, sf, "labels").dropDuplicates(["doc_id"]).select("doc_id", F.concat(
+        F.lit('{"origin":{"language":null,"checked":{"toxic":'), F.col("toxic").cast("string"), F.lit('}},"tags":["'),
+        F.col("quality").cast("string"), F.lit('"],"quality":null}')).alias("patch"))
+    return base.join(patch, "doc_id", "left").select("doc_id", merge_patch(F.col("metadata"), F.col("patch")).alias("metadata"))
+
+
 def cache_entries(spark, sf):
     """Events as cache entries of so many minutes as their value; the clock is the last event."""
     now = read_table(spark, sf, "events").agg(F.max("ts").alias("now")).scalar()
@@ -189,6 +203,12 @@ WITH l AS (SELECT DISTINCT ON (doc_id) * FROM labels)
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'language=' || lang || ';quality=?;source=' || source
                  ELSE 'quality=' || quality || ';source=' || source || ';toxic=' || toxic END AS metadata
 FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id"""),
+    "metadata_nested_patch": (metadata_nested, """
+WITH l AS (SELECT DISTINCT ON (doc_id) * FROM labels),
+d AS (SELECT doc_id, to_json({'origin': {'name': source, 'language': lang}, 'tags': [lang], 'quality': '?'}) AS metadata FROM documents),
+p AS (SELECT doc_id, ('{"origin":{"language":null,"checked":{"toxic":' || toxic || '}},"tags":["' || quality || '"],"quality":null}')::JSON AS patch FROM l)
+SELECT d.doc_id, CAST(CASE WHEN p.doc_id IS NULL THEN metadata ELSE json_merge_patch(metadata, patch) END AS VARCHAR) AS metadata
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id"""),
     "cache_live_entries": (cache_entries, """
 SELECT event_id, event_type FROM events
 WHERE ts + CAST(floor(value * 60) AS INTEGER) * INTERVAL 1 MINUTE > (SELECT max(ts) FROM events)"""),

@@ -23,34 +23,50 @@ def json_rows(df: DataFrame | None) -> Iterator[dict]:
             yield json.loads(row.j)
 
 
-def _json_list(df: DataFrame | None) -> list[dict]:
-    return list(json_rows(df))
-
-
-def as_json(result: dict) -> str:
+def json_text(value, margin: str = "") -> Iterator[str]:
+    """A value as indented JSON, piece by piece; an iterator is a list whose members are read one by one."""
+    if isinstance(value, dict):
+        opened, closed, members = "{", "}", ((json.dumps(k, ensure_ascii=False) + ": ", v) for k, v in value.items())
+    elif isinstance(value, Iterator):
+        opened, closed, members = "[", "]", (("", v) for v in value)
+    else:
+        yield json.dumps(value, indent=2, ensure_ascii=False).replace("\n", "\n" + margin)
+        return
+    yield opened
+    lead = "\n"
+    for name, member in members:
+        yield f"{lead}{margin}  {name}"
+        yield from json_text(member, margin + "  ")
+        lead = ",\n"
+    yield closed if lead == "\n" else f"\n{margin}{closed}"
+
+
+def as_json(result: dict) -> Iterator[str]:
+    """The report as pieces of JSON text. Long results (calls, callers, usages, commits) pass through row by row; only the
+    symbols, at most 20, are held."""
     graph, impact, history = result.get("graph"), result.get("impact"), result.get("history")
-    symbols = _json_list(result["symbols"])
+    symbols = list(json_rows(result["symbols"]))
     out = {
         "primarySymbol": symbols[0] if symbols else None,
         "allSymbols": symbols,
-        "files": _json_list(result["search"].files),
-        "symbols": _json_list(result["search"].symbols),
-        "usages": _json_list(result.get("usages")),
+        "files": json_rows(result["search"].files),
+        "symbols": json_rows(result["search"].symbols),
+        "usages": json_rows(result.get("usages")),
         "dependencyGraph": graph and {
-            "root": next(json_rows(graph.root), None), "calls": _json_list(graph.calls), "calledBy": _json_list(graph.called_by)},
+            "root": next(json_rows(graph.root), None), "calls": json_rows(graph.calls), "calledBy": json_rows(graph.called_by)},
         "impactAnalysis": impact and {
-            **next(json_rows(impact.summary)), "affectedFiles": _json_list(impact.affected_files),
-            "testFiles": [r["path"] for r in json_rows(impact.test_files)]},
+            **next(json_rows(impact.summary)), "affectedFiles": json_rows(impact.affected_files),
+            "testFiles": (r["path"] for r in json_rows(impact.test_files))},
         "gitHistory": history and {
-            "filePath": history.file_path, "recentCommits": _json_list(history.recent_commits),
-            "fileChanges": _json_list(history.file_changes), "blame": _json_list(history.blame),
-            **next(json_rows(history.summary)), "authors": _json_list(history.authors),
-            "changeFrequency": next(json_rows(history.change_frequency)), "relatedFiles": _json_list(history.related_files)},
-        "recentChanges": None if result.get("recent") is None else _json_list(result["recent"]),
+            "filePath": history.file_path, "recentCommits": json_rows(history.recent_commits),
+            "fileChanges": json_rows(history.file_changes), "blame": json_rows(history.blame),
+            **next(json_rows(history.summary)), "authors": json_rows(history.authors),
+            "changeFrequency": next(json_rows(history.change_frequency)), "relatedFiles": json_rows(history.related_files)},
+        "recentChanges": None if result.get("recent") is None else json_rows(result["recent"]),
         "totalTokens": result["search"].total_tokens,
         "truncated": result["search"].truncated,
     }
-    return json.dumps(out, indent=2, ensure_ascii=False)
+    return json_text(out)
 
 
 def _section(title: str, lines: list[str]) -> list[str]:
@@ -195,7 +211,7 @@ def stats_json(stats: dict[str, DataFrame]) -> str:
     return json.dumps({
         "status": "indexed" if total.file_count else "empty", "files": total.file_count, "symbols": total.symbol_count,
         "tokens": total.total_tokens, "last_indexed": total.last_indexed and total.last_indexed.isoformat() + "Z",
-        "languages": _json_list(stats["languages"]),
+        "languages": list(json_rows(stats["languages"])),
         "largest_files": [{"path": f.relative_path, "size": f.size, "tokens": f.tokens} for f in rows(stats["largest_files"], 5)],
     }, indent=2)
 

@@ -1,12 +1,16 @@
+import json
 import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodebook import render
 from lodebook.functions import paths, text
+from lodebook.functions.jsonpatch import merge_patch
 from lodebook.functions.match import clean_term, match_of
 from lodebook.operators import postings, search
+from lodebook.session import ship_package
 
 DOCS = [
     (1, "src/a.ts", "the cat sat on the mat", "en"),
@@ -129,3 +133,35 @@ def test_snippet_marks_first_hit(spark):
     shown = df.select(search.snippet(F.col("t"), ["w50"])).first()[0]
     assert shown.startswith("...w34 ") and "<mark>w50</mark>" in shown and shown.endswith("...")
     assert len(re.findall(r"w\d+", shown)) == 32
+
+
+def test_json_in_pieces_equals_json_at_once():
+    value = {"a": [1, {"b": "x\ny", "ü": None}], "empty": [], "none": {}, "d": {"e": [[], [2, "z"]], "f": True}, "g": 1.5}
+
+    def streamed(v):
+        if isinstance(v, dict):
+            return {k: streamed(x) for k, x in v.items()}
+        return (streamed(x) for x in v) if isinstance(v, list) else v
+
+    pieces = list(render.json_text(streamed(value)))
+    assert len(pieces) > 10
+    assert "".join(pieces) == json.dumps(value, indent=2, ensure_ascii=False)
+    assert "".join(render.json_text(value)) == "".join(pieces)
+
+
+# The cases of RFC 7396, appendix A: target, patch, result.
+MERGE_CASES = [
+    ('{"a":"b"}', '{"a":"c"}', '{"a":"c"}'), ('{"a":"b"}', '{"b":"c"}', '{"a":"b","b":"c"}'), ('{"a":"b"}', '{"a":null}', "{}"),
+    ('{"a":"b","b":"c"}', '{"a":null}', '{"b":"c"}'), ('{"a":["b"]}', '{"a":"c"}', '{"a":"c"}'), ('{"a":"c"}', '{"a":["b"]}', '{"a":["b"]}'),
+    ('{"a":{"b":"c"}}', '{"a":{"b":"d","c":null}}', '{"a":{"b":"d"}}'), ('{"a":[{"b":"c"}]}', '{"a":[1]}', '{"a":[1]}'),
+    ('["a","b"]', '["c","d"]', '["c","d"]'), ('{"a":"b"}', '["c"]', '["c"]'), ('{"a":"foo"}', "null", "null"), ('{"a":"foo"}', '"bar"', '"bar"'),
+    ('{"e":null}', '{"a":1}', '{"e":null,"a":1}'), ("[1,2]", '{"a":"b","c":null}', '{"a":"b"}'), ("{}", '{"a":{"bb":{"ccc":null}}}', '{"a":{"bb":{}}}'),
+]
+
+
+def test_merge_patch(spark):
+    ship_package(spark)
+    rows = [*MERGE_CASES, ('{"a":1}', None, '{"a":1}'), (None, '{"a":{"ü":null,"b":2}}', '{"a":{"b":2}}'), (None, None, None)]
+    frame = spark.createDataFrame(rows, "target string, patch string, expected string").repartition(2)
+    found = frame.select("expected", merge_patch(F.col("target"), F.col("patch")).alias("got")).collect()
+    assert len(found) == len(rows) and all(r.got == r.expected for r in found)
