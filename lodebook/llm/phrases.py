@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodebook.llm import arrays
 from lodebook.session import materialize, ship_package
 
-WINDOW = 1 << 22
+WINDOW = 1 << 21
 OUT_ROWS = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITS_PER_PHRASE = 32
@@ -217,6 +217,7 @@ def _count(longest: int, chosen, as_text: bool, totals: bool = False):
                         yield pa.RecordBatch.from_arrays(
                             [names.take(pa.array(seen)), pa.array(np.zeros(len(seen), np.int32)),
                              pa.array([""] * len(seen), pa.string()), pa.array(total[seen])], ["lang", "words", "phrase", "f"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -224,13 +225,17 @@ def _count(longest: int, chosen, as_text: bool, totals: bool = False):
 def _by_text(texts: DataFrame, longest: int, chosen, totals: bool) -> DataFrame:
     """lang, words, phrase, f by one pass over the texts; words = 0 has the number of words of a language."""
     found = texts.mapInArrow(_count(longest, chosen, True, totals), "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return found.repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _by_key(texts: DataFrame, longest: int, chosen) -> DataFrame:
-    """words, key, f: the same by the phrases' hashes; two phrases with one hash count as one."""
+    """words, key, f: the same by the phrases' hashes; two phrases with one hash count as one.
+
+    A window's phrases are added up in its task, so that a phrase is one row per window, however common it is. Most are
+    rare: a second map of them in the memory of the task would save little, so rows are dealt out by phrase at once.
+    """
     found = texts.mapInArrow(_count(longest, chosen, False), "words int, key long, f long")
-    return found.groupBy("words", "key").agg(F.sum("f").alias("f"))
+    return found.repartition("words", "key").groupBy("words", "key").agg(F.sum("f").alias("f"))
 
 
 def _sample(texts: DataFrame, share: float) -> DataFrame:
