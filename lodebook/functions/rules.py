@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 class Rule(NamedTuple):
     """`ends` names how the last line of a match is found; `masked` rules do not see
-    the inside of strings and comments."""
+    the inside of strings and comments. Rules that end as a scope have no pattern: `operators.scopes` finds them."""
 
     kind: str
     pattern: str
@@ -271,13 +271,12 @@ JAVASCRIPT = [
     Rule("js_function", rf"\b(async\s+)?function\s*(\*?)\s*{_NAME}{_GENERICS}\s*\(([^)]*)\)", "body", True),
     Rule("js_function_value", rf"(?:\b(?:const|let|var)\s+|,\s*){_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?function\s*(\*?)\s*[\w$]*\s*\(([^)]*)\)", "body", True),
     Rule("js_arrow", rf"(?:\b(?:const|let|var)\s+|,\s*){_NAME}\s*(?::[^=\n]+)?=\s*(async\s+)?{_GENERICS}(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z_$][\w$]*))\s*(?::[^={{}}\n]+)?=>", "expression", True),
-    Rule("js_class", rf"(?<!= )\b(abstract\s+)?class\s+(?!extends\b){_NAME}{_GENERICS}(?:\s+extends\s+([\w$.]+)[^{{]*)?[^{{;()]*(?=\{{)", "body", True),
-    Rule("js_class_value", rf"\b(?:const|let|var)\s+{_NAME}\s*=\s*class\b(?:\s+(?!extends\b)[\w$]+)?(?:\s+extends\s+([\w$.]+))?[^{{;()]*(?=\{{)", "body", True),
-    Rule("js_method", rf"^[ \t]*((?:(?:public|private|protected|readonly|override|abstract|static|async|get|set)\s+)*)\*?\s*#?{_NAME}{_GENERICS}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{}};]+)?(?=\{{)", "body", True),
-    Rule("js_interface", rf"\binterface\s+{_NAME}{_GENERICS}(?:\s+extends\s+([^{{]+?))?\s*(?=\{{)", "body", True),
+    Rule("js_class", r"(?!)", "scope", True),
+    Rule("js_method", r"(?!)", "scope", True),
+    Rule("js_interface", r"(?!)", "scope", True),
     Rule("js_type", rf"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+{_NAME}{_GENERICS}\s*=", "expression", True),
-    Rule("js_enum", rf"\b(const\s+)?enum\s+{_NAME}\s*(?=\{{)", "body", True),
-    Rule("js_property", rf"^[ \t]+(?:(?:public|private|protected|readonly|static|declare|override)\s+)*#?{_NAME}[ \t]*[?!]?[ \t]*(?::|=(?![=>])|;)", "line", True),
+    Rule("js_enum", r"(?!)", "scope", True),
+    Rule("js_property", r"(?!)", "scope", True),
     Rule("js_import", r"^[ \t]*import\s+(?:[^'\";()]*?\bfrom\s*)?['\"]([^'\"\n]+)['\"]"),
     Rule("js_export", rf"^[ \t]*export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const\s+(?=enum\b))?(?:function\s*\*?|class|interface|type|enum)\s+{_NAME}(?!\s*from)", "line", True),
     Rule("js_export_list", r"^[ \t]*export\s+(?:type\s+)?\{([^}]*)\}", "line", True),

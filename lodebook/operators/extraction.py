@@ -21,6 +21,7 @@ from lodebook.functions import rules as R
 from lodebook.operators import extractors
 from lodebook.operators.extractors import REGISTRY, Registry
 from lodebook.operators.ranges import innermost
+from lodebook.operators.scopes import Scopes
 from lodebook.session import ship_package
 
 FLUSH_ROWS = 20000
@@ -168,9 +169,12 @@ _JS_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-
 _BEFORE_REGEX = re.compile(r"(?:[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else))\s*\Z|\A\s*\Z")
 
 
-def mask_js(text: str) -> str:
-    """The text with the inside of strings, comments and regular expressions blanked; `${...}` in templates stays."""
-    out, at, keep = [], 0, 0
+def mask_js(text: str) -> tuple[str, str]:
+    """The text with strings, comments and regular expressions blanked; `${...}` in templates stays.
+
+    In the second text a quotation mark stands where each literal begins, and parentheses around what a template holds.
+    """
+    out, literals, at, keep = [], [], 0, 0
     templates: list[int] = []  # depth of braces at which each open template goes on
     depth = 0
 
@@ -178,6 +182,8 @@ def mask_js(text: str) -> str:
         nonlocal keep
         out.append(text[keep:start])
         out.append(re.sub(r"[^\n]", " ", text[start:end]))
+        if text[start:start + 2] not in ("//", "/*"):
+            literals.append((len(out) - 1, ")" if text[start] == "}" else '"', "(" if text[start] in "`}" and text[end - 2:end] == "${" else ""))
         keep = end
 
     while True:
@@ -208,7 +214,10 @@ def mask_js(text: str) -> str:
         else:
             blank(mark.start(), at)
     out.append(text[keep:])
-    return "".join(out)
+    masked = "".join(out)
+    for k, first, last in literals:
+        out[k] = first + out[k][1:len(out[k]) - len(last)] + last
+    return masked, "".join(out)
 
 
 def declarator_commas(masked: str) -> set[int]:
@@ -232,19 +241,6 @@ def declarator_commas(masked: str) -> set[int]:
     return found
 
 
-def _is_shorthand_method(masked: str, match: re.Match) -> bool:
-    """Is `name(...)` a method of an object literal? It follows `{` or `,` and a body follows it."""
-    before = re.sub(r"(\b(?:async|get|set)|\*)\s*\Z", "", masked[max(0, match.start() - 200):match.start()].rstrip()).rstrip()
-    if not before.endswith(("{", ",")):
-        return False
-    depth, at = 0, match.end() - 1
-    for mark in re.compile(r"[()]").finditer(masked, at):
-        depth += 1 if mark.group() == "(" else -1
-        if depth == 0:
-            return re.compile(r"\s*\{").match(masked, mark.end()) is not None
-    return False
-
-
 PARAMETERS = r"\([^)]*\)"
 
 
@@ -295,10 +291,18 @@ def anchored(regex: re.Pattern, anchor: R.Anchor, content: str) -> Iterator[re.M
 def file_matches(file_id, language: str | None, content: str, rules) -> Iterator[tuple]:
     """All rule matches of one file. `rules` holds (index, rule, compiled pattern)."""
     facts = FileFacts(content)
-    masked, commas = content, None
+    masked, commas, scopes = content, None, None
     if any(rule.masked for _, rule, _ in rules):
-        masked = mask_js(content)
+        masked, marked = mask_js(content)
+        if any(rule.ends == "scope" or rule.kind == "js_call" for _, rule, _ in rules):
+            scopes = Scopes(marked)
     for index, rule, regex in rules:
+        if rule.ends == "scope":
+            for begin, end, last, groups in scopes.rows[rule.kind]:
+                first = facts.line_of(begin)
+                yield (file_id, language, rule.kind, index, begin, first + 1, bisect.bisect_right(facts.starts, last),
+                       begin - facts.starts[first] + 1, content[begin:end].rstrip(), groups, False, [], None)
+            continue
         anchor = R.ANCHORS.get((language, rule.pattern))
         found = anchored(regex, anchor, content) if anchor else regex.finditer(masked if rule.masked else content)
         for match in found:
@@ -309,7 +313,7 @@ def file_matches(file_id, language: str | None, content: str, rules) -> Iterator
                 if begin not in commas:
                     continue
                 begin = match.start(1)
-            if rule.kind == "js_call" and _is_shorthand_method(masked, match):
+            if rule.kind == "js_call" and begin in scopes.declared:
                 continue
             first = facts.line_of(begin)
             groups = [g or "" for g in match.groups()]
@@ -449,12 +453,12 @@ def _js_signature_params(params: Column) -> Column:
 
 SYMBOL_KINDS = (
     "function class variable py_def py_lambda py_class js_function js_function_value js_arrow "
-    "js_class js_class_value js_interface js_type js_enum"
+    "js_class js_interface js_type js_enum"
 ).split()
 
 # What symbols_of, calls_of, imports_exports_of and comments_of read.
 SYMBOL_RULES = (*SYMBOL_KINDS, "js_method")
-CALL_RULES = ("js_method js_call js_call_member js_call_new call_function call_method call_new "
+CALL_RULES = ("js_call js_call_member js_call_new call_function call_method call_new "
               "py_call_function py_call_method py_call_new").split()
 PROPERTY_RULES = ("py_property", "js_property")
 IMPORT_RULES = "import py_import py_from js_import export py_all js_export js_export_list js_export_default".split()
@@ -477,7 +481,7 @@ def symbols_of(matches: DataFrame) -> DataFrame:
     py_async, js_async = F.when(g1 != "", "async ").otherwise(""), F.when(g1 != "", "async ").otherwise("")
     name = _pick({
         "function": g0, "class": g0, "variable": g0, "py_def": g2, "py_lambda": g0, "py_class": g1,
-        "js_function": g2, "js_function_value": g0, "js_arrow": g0, "js_class": g1, "js_class_value": g0,
+        "js_function": g2, "js_function_value": g0, "js_arrow": g0, "js_class": g1,
         "js_interface": g0, "js_type": g0, "js_enum": g1,
     })
     kind_type = _pick({
@@ -485,12 +489,11 @@ def symbols_of(matches: DataFrame) -> DataFrame:
         "py_def": F.when(F.col("in_class"), "method").otherwise("function"),
         "py_lambda": F.lit("function"), "py_class": F.lit("class"),
         "js_function": F.lit("function"), "js_function_value": F.lit("function"), "js_arrow": F.lit("function"),
-        "js_class": F.lit("class"), "js_class_value": F.lit("class"), "js_interface": F.lit("interface"),
+        "js_class": F.lit("class"), "js_interface": F.lit("interface"),
         "js_type": F.lit("type"), "js_enum": F.lit("enum"),
     })
     arrow_params = F.when(g3 != "", g3).otherwise(g2)
     extends = F.when(g2 != "", F.concat(F.lit(" extends "), F.when(g2.contains("."), "unknown").otherwise(g2))).otherwise("")
-    value_extends = F.when(g1 != "", F.concat(F.lit(" extends "), F.when(g1.contains("."), "unknown").otherwise(g1))).otherwise("")
     signature = _pick({
         "function": spaced, "class": spaced, "variable": spaced,
         "py_def": F.concat(py_async, F.lit("def "), g2, F.lit("("), g3, F.lit(")"),
@@ -501,7 +504,6 @@ def symbols_of(matches: DataFrame) -> DataFrame:
         "js_function_value": F.concat(js_async, F.lit("function "), g0, _js_signature_params(g3)),
         "js_arrow": F.concat(F.lit("const "), g0, F.lit(" = "), js_async, _js_signature_params(arrow_params), F.lit(" => ...")),
         "js_class": F.concat(F.lit("class "), g1, extends),
-        "js_class_value": F.concat(F.lit("class "), g0, value_extends),
         "js_interface": F.concat(
             F.lit("interface "), g0,
             F.when(g1 != "", F.concat(F.lit(" extends "), F.array_join(_trimmed_list(g1), ", "))).otherwise("")),
@@ -509,6 +511,7 @@ def symbols_of(matches: DataFrame) -> DataFrame:
         "js_enum": F.concat(F.lit("enum "), g1),
     })
     raw = F.to_json(F.struct(F.col("text").alias("raw")))
+    members = F.slice("groups", F.lit(3), F.greatest(F.size("groups") - 2, F.lit(0)))
     metadata = _pick({
         "function": raw, "class": raw, "variable": raw,
         "py_def": F.to_json(F.struct(
@@ -524,10 +527,9 @@ def symbols_of(matches: DataFrame) -> DataFrame:
         "js_arrow": F.to_json(F.struct(
             (g1 != "").alias("async"), F.lit(True).alias("arrow"), F.size(_js_params(arrow_params)).alias("params"))),
         "js_class": F.to_json(F.struct((g2 != "").alias("extends"), (g0 != "").alias("abstract"))),
-        "js_class_value": F.to_json(F.struct((g1 != "").alias("extends"), F.lit(False).alias("abstract"))),
-        "js_interface": F.to_json(F.struct(F.size(_trimmed_list(g1)).alias("extends"))),
+        "js_interface": F.to_json(F.struct(members.alias("properties"), F.size(_trimmed_list(g1)).alias("extends"))),
         "js_type": F.lit("{}"),
-        "js_enum": F.to_json(F.struct((g0 != "").alias("const"))),
+        "js_enum": F.to_json(F.struct(members.alias("members"), (g0 != "").alias("const"))),
     })
     # JavaScript is numbered by position; a class comes after its methods, hence the odd number.
     js = F.col("kind").startswith("js_")
@@ -542,27 +544,20 @@ def symbols_of(matches: DataFrame) -> DataFrame:
 
 
 def _js_methods(matches: DataFrame) -> DataFrame:
-    """Methods belong to the innermost class around them and are named `Class.method`."""
-    classes = matches.filter(F.col("kind").isin("js_class", "js_class_value")).select(
-        "file_id", F.col("line").alias("range_start"), F.col("line_end").alias("range_end"),
-        F.when(F.col("kind") == "js_class", _group(1)).otherwise(_group(0)).alias("class_name"),
-        F.col("start").alias("class_start"),
-    )
-    found = matches.filter((F.col("kind") == "js_method") & ~_group(1).isin(R.JS_KEYWORDS)).select(
-        "file_id", "line", "line_end", "start",
-        _group(1).alias("method"), F.regexp_replace(_group(0), r"\s+", " ").alias("flags"),
-    )
+    """Methods are named `Class.method` after the class whose body they stand in."""
+    found = matches.filter(F.col("kind") == "js_method").select(
+        "file_id", "line", "line_end", "start", _group(1).alias("method"), _group(0).alias("flags"),
+        _group(2).alias("class_name"), _group(3).cast("long").alias("class_start"))
     flags = F.col("flags")
 
     def flag(word: str) -> Column:
         return F.concat(F.lit(" "), flags).contains(f" {word} ")
 
-    owned = innermost(found, classes, ["class_name", "class_start"], row_id=["file_id", "start"])
     kind = (
         F.when(F.col("method") == "constructor", "constructor").when(flag("get"), "get")
         .when(flag("set"), "set").otherwise("method")
     )
-    return owned.select(
+    return found.select(
         symbol_id_of(F.col("file_id"), _order(F.col("class_start") * 2, F.col("start"))).alias("symbol_id"),
         "file_id", F.concat_ws(".", "class_name", "method").alias("name"), F.lit("method").alias("type"),
         F.col("line").alias("line_start"), "line_end",
@@ -578,17 +573,10 @@ def _js_methods(matches: DataFrame) -> DataFrame:
 def calls_of(matches: DataFrame) -> DataFrame:
     """call_id, file_id, callee_name, call_type, line_number, column_number."""
     g0, g1 = _group(0), _group(1)
-    # In JavaScript a declaration looks like a call; its own rule tells them apart.
-    declared = matches.filter(F.col("kind") == "js_method").select(
-        "file_id", F.col("line"), g1.alias("declared_name"))
-    is_plain_call = F.col("kind") == "js_call"
-    js_calls = matches.filter(is_plain_call & ~g0.isin(R.JS_KEYWORDS))
-    js_calls = js_calls.join(
-        declared, (js_calls.file_id == declared.file_id) & (js_calls.line == declared.line)
-        & (F.get(js_calls.groups, F.lit(0)) == declared.declared_name), "left_anti")
-    other = matches.filter(
+    found = matches.filter(
         (F.col("kind").isin("call_function", "call_new") & ~g0.isin(R.CALL_KEYWORDS))
         | (F.col("kind") == "py_call_function") & ~g0.isin(R.PYTHON_KEYWORDS)
+        | (F.col("kind") == "js_call") & ~g0.isin(R.JS_KEYWORDS)
         | F.col("kind").isin("call_method", "py_call_method", "py_call_new", "js_call_member", "js_call_new")
     )
     member = F.col("kind").isin("call_method", "py_call_method")
@@ -605,7 +593,7 @@ def calls_of(matches: DataFrame) -> DataFrame:
         .otherwise("function")
     )
     column = F.when(F.col("kind").startswith("js_"), F.col("column") - 1).otherwise(F.col("column"))
-    return js_calls.unionByName(other).select(
+    return found.select(
         symbol_id_of(F.col("file_id"), _order(F.col("rule"), F.col("start"))).alias("call_id"),
         "file_id", name.alias("callee_name"), call_type.alias("call_type"),
         F.col("line").alias("line_number"), F.nullif(column, F.lit(0)).alias("column_number"),
@@ -648,21 +636,21 @@ def comments_of(matches: DataFrame) -> DataFrame:
 
 
 def class_members(matches: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol_id of a class with the names of its methods and properties, in line order."""
+    """symbol_id of a class with the names of its methods and properties, in the order of the text."""
     classes = symbols.filter(F.col("type") == "class").select(
         "file_id", F.col("line_start").alias("range_start"), F.col("line_end").alias("range_end"),
         F.col("symbol_id").alias("class_id"))
     methods = symbols.filter(F.col("type") == "method").select(
         "file_id", F.col("line_start").alias("line"),
-        F.element_at(F.split("name", r"\."), -1).alias("member"), F.lit("m").alias("role"))
+        F.element_at(F.split("name", r"\."), -1).alias("member"), F.lit("m").alias("role"), order_of(F.col("symbol_id")).alias("place"))
     properties = matches.filter(
         F.col("kind").isin("py_property", "js_property") & ~_group(0).isin(R.NO_PROPERTIES)
-    ).select("file_id", "line", _group(0).alias("member"), F.lit("p").alias("role"))
+    ).select("file_id", "line", _group(0).alias("member"), F.lit("p").alias("role"), F.col("start").cast(ORDER_TYPE).alias("place"))
     owned = innermost(
-        methods.unionByName(properties), classes, ["class_id"], row_id=["file_id", "line", "role", "member"])
+        methods.unionByName(properties), classes, ["class_id"], row_id=["file_id", "line", "role", "member", "place"])
 
     def names(role: str) -> Column:
-        entries = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("line", "member"))))
+        entries = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("line", "place", "member"))))
         return F.transform(entries, lambda e: e["member"])
 
     return owned.groupBy(F.col("class_id").alias("symbol_id")).agg(

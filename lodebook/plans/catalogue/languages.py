@@ -62,6 +62,40 @@ def imports(spark, sf):
     return found.filter("imports <> ''")
 
 
+# A class with 0 to 4 computed methods that return objects with methods, and as many fields that hold functions.
+SCOPES_HEAD = "class Box_@K<T extends { a: number }> extends mix({ b() {} }) {\n"
+SCOPES_PAIR = "  ['s' + 1]() { }; [key_@I]() { return { go_@I() {}, x: 1 } }\n  field_@I = async (x) => { y = { z: call_@I(x) } }\n"
+SCOPES_TAIL = ("  last(): void {\n    return `} ${new (class Hidden { no() {} })()} {`;\n  }\n}\n"
+               "const enum Kind_@K { A, B = 2 }\ninterface Shape_@K { side: number; area(): void }")
+
+
+def scope_files(spark, sf):
+    """For every customer a TypeScript file whose number of members follows from its key."""
+    key, count = F.col("c_custkey").cast("string"), (F.col("c_custkey") % 5).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.array_join(F.transform(numbers, lambda i: F.replace(F.lit(SCOPES_PAIR), F.lit("@I"), i.cast("string"))), "")
+    content = F.replace(F.concat(F.lit(SCOPES_HEAD), pairs, F.lit(SCOPES_TAIL)), F.lit("@K"), key)
+    return read_table(spark, sf, "customer").select(key.alias("file_id"), F.lit("typescript").alias("language"), content.alias("content"))
+
+
+def scope_symbols(spark, sf):
+    matches = extraction.find_matches(scope_files(spark, sf), extraction.SYMBOL_RULES)
+    return extraction.symbols_of(matches).select("file_id", "name", "type", "line_start", "line_end", "signature")
+
+
+def scope_members(spark, sf):
+    matches = extraction.find_matches(scope_files(spark, sf), (*extraction.SYMBOL_RULES, *extraction.PROPERTY_RULES))
+    symbols = extraction.symbols_of(matches)
+    merged = extraction.with_members(symbols, extraction.class_members(matches, symbols))
+    parts = [F.get_json_object("metadata", f"$.{part}").alias(part) for part in ("methods", "properties", "members")]
+    return merged.filter("type <> 'method'").select("file_id", "name", *parts)
+
+
+def scope_calls(spark, sf):
+    matches = extraction.find_matches(scope_files(spark, sf), extraction.CALL_RULES)
+    return extraction.calls_of(matches).select("file_id", "callee_name", "call_type", "line_number")
+
+
 def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -77,4 +111,25 @@ FROM part, (VALUES {_FOUND}) AS found(language, type, name, line)"""),
     "extract_language_imports": (imports, f"""
 SELECT language || '/' || p_partkey AS file_id, replace(imports, '@K', p_partkey || '') AS imports
 FROM part, (VALUES {_IMPORTS}) AS found(language, imports)"""),
+    "extract_javascript_scopes": (scope_symbols, """
+WITH files AS (SELECT c_custkey || '' AS file_id, CAST(c_custkey % 5 AS INTEGER) AS n FROM customer),
+     pairs AS (SELECT file_id, unnest(range(n)) AS i FROM files)
+SELECT file_id, 'Box_' || file_id AS name, 'class' AS type, 1 AS line_start, 5 + 2 * n AS line_end,
+       'class Box_' || file_id || ' extends unknown' AS signature FROM files
+UNION ALL SELECT file_id, 'Box_' || file_id || '.key_' || i, 'method', 2 + 2 * i, 2 + 2 * i, 'key_' || i || '()' FROM pairs
+UNION ALL SELECT file_id, 'Box_' || file_id || '.unknown', 'method', 2 + 2 * i, 2 + 2 * i, 'unknown()' FROM pairs
+UNION ALL SELECT file_id, 'Box_' || file_id || '.last', 'method', 2 + 2 * n, 4 + 2 * n, 'last()' FROM files
+UNION ALL SELECT file_id, 'Kind_' || file_id, 'enum', 6 + 2 * n, 6 + 2 * n, 'enum Kind_' || file_id FROM files
+UNION ALL SELECT file_id, 'Shape_' || file_id, 'interface', 7 + 2 * n, 7 + 2 * n, 'interface Shape_' || file_id FROM files"""),
+    "extract_javascript_members": (scope_members, """
+WITH files AS (SELECT c_custkey || '' AS file_id, CAST(c_custkey % 5 AS INTEGER) AS n FROM customer)
+SELECT file_id, 'Box_' || file_id AS name,
+       '[' || array_to_string(list_append(flatten([['"unknown"', '"key_' || i || '"'] FOR i IN range(n)]), '"last"'), ',') || ']' AS methods,
+       '[' || array_to_string(['"field_' || i || '"' FOR i IN range(n)], ',') || ']' AS properties, NULL AS members FROM files
+UNION ALL SELECT file_id, 'Kind_' || file_id, NULL, NULL, '["A","B"]' FROM files
+UNION ALL SELECT file_id, 'Shape_' || file_id, NULL, '["side"]', NULL FROM files"""),
+    "extract_javascript_calls": (scope_calls, """
+WITH files AS (SELECT c_custkey || '' AS file_id, CAST(c_custkey % 5 AS INTEGER) AS n FROM customer)
+SELECT file_id, 'mix' AS callee_name, 'function' AS call_type, 1 AS line_number FROM files
+UNION ALL SELECT file_id, 'call_' || i, 'function', 3 + 2 * i FROM (SELECT file_id, unnest(range(n)) AS i FROM files)"""),
 }
