@@ -10,6 +10,12 @@ text, or else the innermost element with nearly all of it. All of its blocks tha
 adverts, forms, scripts, styles, comments of readers) are the main text, so short paragraphs between long ones
 stay.
 
+Tags tell such an element for certain. Forms and names only suggest one, since layouts have names like these too: the mark
+counts unless the content blocks, found with certain elements left out, say that the element holds the page's text. That is so
+if little content is left outside of marked elements, or an article in it holds most of the page's content, and if it has the
+shape of a text (an article, a heading or several content blocks). Elements named as adverts, comments or consent keep their
+mark unless nothing else on the page is content.
+
 Null and empty pages, and pages without text, give an empty text. Character references are decoded, white space
 in a block becomes one blank. Repeated rows are treated alike; `main_texts` keeps the named columns only.
 """
@@ -45,8 +51,9 @@ SILENT = {
     "video", "select", "textarea", "button",
 }
 ASIDE = {
-    "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset",
+    "nav", "header", "footer", "aside", "menu", "dialog",
 }
+FORMS = {"form", "fieldset"}
 ENDS_P = BLOCK - {
     "body", "html", "button", "caption", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr",
     "title", "iframe", "canvas", "noscript", "select", "textarea",
@@ -68,29 +75,43 @@ PURPOSE = {
     "sharing", "related", "recommended", "recommendations", "trending", "popular", "complementary", "contentinfo",
     "dialog", "hidden", "skip", "copyright", "legal",
 }
+#: Those of them that hardly ever name a layout.
+STRICT = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "adbox", "adslot", "advertising", "sponsor",
+    "sponsored", "sponsors", "promo", "promos", "promotion", "promotions", "cookie", "cookies", "consent", "gdpr",
+    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "comment", "comments",
+    "commentlist", "replies", "reply", "respond", "disqus", "discussion", "responses", "hidden",
+}
 ABOUT = {"has", "with", "no", "without"}
 NAMED = {"article", "main"}
 REGIONS = {"section", "div", "td", "center", "body", "html", ""}
 KEPT_TAGS = {"html", "body", "article", "main"}
 _SPACE = re.compile(r"\s+")
 SIGMA = 1.0
+NONE, LIKELY, NEARLY, CERTAIN = range(4)
+LEFT = 0.25  # of an element's content, that much outside of marked elements keeps its mark
+TITLES = {"h1", "h2"}
+SEVERAL = 3
+PLENTY = 80.0
 
 
-def purpose(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Does the element serve something else than the main text?"""
+def purpose(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Does the element serve something else than the main text, and how sure is that?"""
     if tag in ASIDE:
-        return True
+        return CERTAIN
+    sure = LIKELY if tag in FORMS else NONE
     for name, value in attrs:
         if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
+            return CERTAIN
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return tag not in KEPT_TAGS
+            return CERTAIN if tag not in KEPT_TAGS else sure
         if name in ("class", "id", "role") and value and tag not in KEPT_TAGS:
             words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value) if w]
             # "has-sidebar" speaks of something else than the element itself.
-            if any(w in PURPOSE and not (k and words[k - 1] in ABOUT) for k, w in enumerate(words)):
-                return True
-    return False
+            for k, word in enumerate(words):
+                if word in PURPOSE and not (k and words[k - 1] in ABOUT):
+                    sure = max(sure, NEARLY if word in STRICT else LIKELY)
+    return sure
 
 
 @dataclass
@@ -99,14 +120,13 @@ class Block:
     linked: int
     tags: int
     element: int
-    aside: bool
+    aside: bool = False
 
 
 @dataclass
 class Element:
     number: int
     tag: str
-    aside: bool
     silent: bool
 
 
@@ -117,7 +137,7 @@ class BlockReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[Element] = []
-        self.names, self.parents = [""], [0]  # by number of the element; 0 is the page
+        self.names, self.parents, self.marks = [""], [0], [NONE]  # by number of the element; 0 is the page
         self.standing: dict[str, int] = {}
         self.parts: list[str] = []
         self.linked = self.tags = 0
@@ -126,8 +146,7 @@ class BlockReader(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             inside = self.open[-1] if self.open else None
-            self.blocks.append(Block(text, self.linked, max(1, self.tags), inside.number if inside else 0,
-                                     bool(inside and inside.aside)))
+            self.blocks.append(Block(text, self.linked, max(1, self.tags), inside.number if inside else 0))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -167,9 +186,8 @@ class BlockReader(HTMLParser):
         self.names.append(tag)
         self.parents.append(inside.number if inside else 0)
         self.standing[tag] = self.standing.get(tag, 0) + 1
-        # The main element is never part of something around it that serves another purpose.
-        self.open.append(Element(len(self.names) - 1, tag, bool(inside and inside.aside and tag != "main") or purpose(tag, attrs),
-                                 bool(inside and inside.silent) or tag in SILENT))
+        self.marks.append(purpose(tag, attrs))
+        self.open.append(Element(len(self.names) - 1, tag, bool(inside and inside.silent) or tag in SILENT))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -198,8 +216,65 @@ class BlockReader(HTMLParser):
     def finish(self) -> list[Block]:
         self.close()
         self._flush()
+        self.set_asides(CERTAIN)
         return self.blocks
 
+    def set_asides(self, least: int) -> None:
+        """Blocks in elements with a mark of at least `least` are asides."""
+        aside = [False]
+        for number in range(1, len(self.names)):
+            # The main element is never part of something around it that serves another purpose.
+            inherited = aside[self.parents[number]] and self.names[number] != "main"
+            aside.append(inherited or self.marks[number] >= least)
+        for block in self.blocks:
+            block.aside = aside[block.element]
+
+    def sums(self, amounts: list[float]) -> list[float]:
+        """Sums of what the elements hold, with all in them."""
+        total = list(amounts)
+        for number in range(len(total) - 1, 0, -1):
+            total[self.parents[number]] += total[number]
+        return total
+
+    def drop_marks(self) -> None:
+        """Takes uncertain marks from elements that hold the page's text; the less certain and larger ones are looked at first."""
+        # A cut ratio, so that one very long block does not make others look like menus.
+        ratios = text_to_tag(self.blocks, most=PLENTY)
+        content = (ratios.content | (ratios.raw >= max(ratios.threshold, 1.0))).tolist()
+        chars, count = [0.0] * len(self.names), [0.0] * len(self.names)
+        for block, good in zip(self.blocks, content, strict=True):
+            chars[block.element] += len(block.text) * good
+            count[block.element] += good
+        held, counted = self.sums(chars), self.sums(count)
+        articles = [float(name in NAMED and held[k] > 0.5 * held[0]) for k, name in enumerate(self.names)]
+        shaped = self.sums([float(name in NAMED and held[k] > 0) for k, name in enumerate(self.names)])
+        titled = self.sums([float(name in TITLES and held[k] > 0) for k, name in enumerate(self.names)])
+        articles = self.sums(articles)
+        # What stands under each uncertain mark and no further one.
+        nearest = [0] * len(self.names)
+        own = [0.0] * len(self.names)
+        for number in range(len(self.names)):
+            parent = 0 if self.names[number] == "main" else nearest[self.parents[number]]
+            nearest[number] = number if self.marks[number] else parent
+            own[nearest[number]] += chars[number]
+        free, kept = own[0], set()
+        for number in sorted((k for k, mark in enumerate(self.marks) if LIKELY <= mark <= NEARLY), key=lambda k: (self.marks[k], -held[k], k)):
+            around = 0 if self.names[number] == "main" else nearest[self.parents[number]]
+            # It stays marked if an element around it does.
+            if not held[number] or self.marks[around] or (around and around in kept):
+                kept.add(number)
+                continue
+            if self.marks[number] == NEARLY:
+                holds = free == 0 and shaped[number] + titled[number] > 0
+            else:
+                holds = (free < LEFT * held[number] or articles[number] > 0) and (
+                    shaped[number] + titled[number] > 0 or counted[number] >= SEVERAL)
+            if holds:
+                self.marks[number] = NONE
+                free += own[number]
+            else:
+                kept.add(number)
+
 
 @dataclass
 class Ratios:
@@ -209,9 +284,9 @@ class Ratios:
     content: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
 
-def text_to_tag(blocks: list[Block], sigma: float = SIGMA) -> Ratios:
-    """Ratio of each block, smoothed over its neighbours, and the threshold between the two clusters."""
-    raw = np.array([0.0 if b.aside else max(0, len(b.text) - b.linked) / b.tags for b in blocks])
+def text_to_tag(blocks: list[Block], sigma: float = SIGMA, most: float = np.inf) -> Ratios:
+    """Ratio of each block, at most `most`, smoothed over its neighbours, and the threshold between the two clusters."""
+    raw = np.array([0.0 if b.aside else max(0, len(b.text) - b.linked) / b.tags for b in blocks]).clip(max=most)
     reach = int(3 * sigma) + 1
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
@@ -236,13 +311,14 @@ def main_text(html: str) -> str:
     blocks = reader.finish()
     if not blocks:
         return ""
+    reader.drop_marks()
+    reader.set_asides(LIKELY)
     content = text_to_tag(blocks).content
     # Text of content blocks by element; the innermost element with most of it is the region.
     weight = [0] * len(reader.names)
     for block, good in zip(blocks, content.tolist(), strict=True):
         weight[block.element] += len(block.text) * good
-    for number in range(len(weight) - 1, 0, -1):
-        weight[reader.parents[number]] += weight[number]
+    weight = reader.sums(weight)
     # An article may be named as such; otherwise its element holds nearly all content.
     named = [n for n, w in enumerate(weight) if reader.names[n] in NAMED and w > 0.5 * weight[0]]
     wide = [n for n, w in enumerate(weight) if reader.names[n] in REGIONS and w > 0.9 * weight[0]]

@@ -65,3 +65,39 @@ def test_ratios_separate_content():
     blocks = reader.finish()
     ratios = text_to_tag(blocks)
     assert ratios.content[10:].all() and not ratios.content[:8].any()
+
+
+ARTICLE = f"<article><h1>Title</h1><p>{FILLER}</p><p>Short.</p><p>{FILLER}</p></article>"
+TEXT = "\n\n".join(["Title", FILLER.strip(), "Short.", FILLER.strip()])
+MORE = (f'<div class="sidebar"><h2>See</h2><p>{FILLER}</p></div><form><label>Your mail</label></form><div id="cookie-notice"><p>{FILLER}</p></div>'
+        f'<section id="comments"><h2>Replies</h2><article class="comment"><p>{FILLER * 9}</p></article></section>')
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<div class="layout sidebar-left">', "</div>"), ('<div class="header-fixed">', "</div>"), ('<form id="aspnetForm" action="/x">', "</form>"),
+    ('<div class="content side">', "</div>"), ('<div class="nav-open"><form><div class="search-page">', "</div></form></div>")])
+@pytest.mark.parametrize("body", [ARTICLE, ARTICLE.replace("article>", "div>")])
+def test_layouts_with_telling_names_keep_their_text(start, end, body):
+    assert main_text(f"<body><nav><a href=/>Home</a></nav>{start}{body}{end}<footer>{FILLER}</footer></body>") == TEXT
+    assert main_text(f"<body>{start}{MORE}{body}{MORE}{end}</body>") == TEXT
+    assert main_text(f"<body>{MORE}{start}{body}{end}</body>") == TEXT
+
+
+def test_what_is_marked_stays_out():
+    assert main_text(f"<body>{ARTICLE}{MORE}</body>") == TEXT
+    assert main_text("<body><form><label>Name</label><input><label>Mail</label></form></body>") == ""
+    assert main_text(f"<body><article></article><div class=ad><p>{FILLER}</p></div><div id=cookie-bar><p>{FILLER * 4}</p></div></body>") == ""
+    deep = '<div class="side">' * 3000
+    assert main_text(f"<body>{deep}{ARTICLE}") == TEXT
+
+
+def test_pages_without_telling_names_need_the_clusters():
+    for k in range(40):
+        links = "".join(f'<li><a href="/{n}">Topic number {n}</a></li>' for n in range(6 + k % 9))
+        tail = "".join(f'<div><a href="/{n}">Read more of {n}</a></div>' for n in range(4 + k % 5))
+        parts = [f"<h1>Case {k}</h1>", *(f"<p>{FILLER}{n}</p>" for n in range(3 + k % 7))]
+        page = f"<html><body><div class=a{k}><ul>{links}</ul></div><div class=b{k}>{''.join(parts)}</div><div class=c{k}>{tail}</div></body></html>"
+        assert main_text(page) == "\n\n".join([f"Case {k}", *(f"{FILLER}{n}" for n in range(3 + k % 7))])
+        reader = BlockReader()
+        reader.feed(page)
+        assert "Topic number 1" in "\n\n".join(b.text for b in reader.finish() if not b.aside)
