@@ -194,6 +194,9 @@ def load(model_file: str) -> PieceMerges:
     return PieceMerges(model_file)
 
 
+SEEDS = (1,)
+
+
 def _token_cuts(model: PieceMerges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     apart = model.apart[data]
     cut = apart.copy()
@@ -228,7 +231,7 @@ def count_block(model: PieceMerges, known: dict[int, int], data: np.ndarray, off
     if not len(data):
         return np.zeros(len(offsets) - 1, np.int64)
     starts, ends = _token_cuts(model, data, offsets)
-    hashes, at, back = np.unique(arrays.segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes, at, back = np.unique(arrays.wide_hashes(data, starts, ends, SEEDS)[0], return_index=True, return_inverse=True)
     counts = np.array([known.get(h, -1) for h in hashes.tolist()], np.int64)
     new = np.flatnonzero(counts < 0)
     if len(new):

@@ -42,6 +42,16 @@ def test_hard_texts(library):
     assert got.tolist() == [len(x) for x in library.encode(texts)]
 
 
+def test_words_made_to_collide(library):
+    # Thue-Morse words and their mirrors: equal under any sum of powers modulo 2**64.
+    marks = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    texts = [marks, marks.translate(str.maketrans("ab", "ba"))] * 2
+    wide = pa.array([" " + t for t in texts])
+    got = [token_counts.count_block(token_counts.load(MODEL), {}, d, o) for _, _, d, o in arrays.blocks(wide)]
+    counts = [len(x) for x in library.encode(texts)]
+    assert np.concatenate(got).tolist() == counts and counts[0] != counts[1]
+
+
 def test_awkward_rows(awkward, nothing, library):
     rows = token_counts.token_counts(awkward, MODEL).collect()
     assert len(rows) == 10
