@@ -12,11 +12,14 @@ all others; an input column of that name is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEEP = 0.5
 CONTEXT_CHARS = 32
+BLOCK = 128  # matches whose places are added up together; sums of blocks are added next
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
@@ -92,6 +95,18 @@ def _score(kind: str, before: Column, after: Column) -> Column:
     return F.round(F.lit(CONFIRMED[kind]) + 0.2 * word(NEAR_WORDS[kind]) - 0.3 * word(DOUBT_WORDS), 2)
 
 
+def _at(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _starts(blocks: Column) -> Column:
+    """Characters before each block."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(blocks, none, lambda acc, b: F.struct(
+        (acc["at"] + b["at"]).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+
 def find_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with `pii`: an array of (kind, start, end, value, score) by kind as listed, then by start."""
     text = F.col(text_column).cast("string")
@@ -121,7 +136,15 @@ def find_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
                             .otherwise(acc["spans"]).alias("spans"))
 
         start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        return F.when(n > 0, F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(none)
+
+        def in_blocks(rows: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(BLOCK)), lambda i: F.aggregate(
+                F.slice(rows, i + 1, F.lit(BLOCK)), start, step))
+            return _at(blocks, lambda b: F.flatten(F.zip_with(b, _starts(b), lambda block, at: F.transform(
+                block["spans"], lambda s: s.withField("start", s["start"] + at).withField("end", s["end"] + at)))))
+
+        return (F.when(n > BLOCK, _at(rows, in_blocks))
+                .when(n > 0, F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(none))
 
     found = found.withColumns({f"_{k}_spans": spans(k) for k in KINDS})
     return (found.withColumn("pii", F.concat(*[F.col(f"_{k}_spans") for k in KINDS]))

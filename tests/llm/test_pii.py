@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,12 @@ def test_awkward_rows(awkward, nothing):
 def test_no_python_in_the_plan(awkward):
     plan = pii.pii_digests(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    texts = [" ".join(f"a{k}@b.org 10.0.{k % 300}.1 é" for k in range(n)) for n in (127, 128, 129, 1000, 32000)]
+    started = time.time()
+    rows = {r.doc_id: r for r in pii.pii_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert time.time() - started < 30
+    for k, text in enumerate(texts):
+        assert rows[k].spans == ",".join(base_spans(text))
