@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodebook.operators import extraction
+from lodebook.plans.catalogue.code import matches_in
+from lodebook.sources.codetree import dealt
 from lodebook.sources.tables import read_table
 
 # Per language a file, and what its patterns find there: (type, name, line), imports in order. `@K` stands for the key.
@@ -47,12 +49,13 @@ SAMPLES: dict[str, tuple[str, list[tuple[str, str, int]], list[str]]] = {
 def language_files(spark, sf):
     """For every part a file in every language."""
     samples = F.explode(F.create_map(*[F.lit(x) for name, (content, _, _) in SAMPLES.items() for x in (name, content)]))
-    return read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), samples.alias("language", "sample")).select(
+    parts = dealt(read_table(spark, sf, "part").select("p_partkey"), "p_partkey", len(SAMPLES))
+    return parts.select(F.col("p_partkey").cast("string").alias("key"), samples.alias("language", "sample")).select(
         F.concat_ws("/", "language", "key").alias("file_id"), "language", F.replace("sample", F.lit("@K"), F.col("key")).alias("content"))
 
 
 def symbols(spark, sf):
-    matches = extraction.find_matches(language_files(spark, sf), extraction.SYMBOL_RULES)
+    matches = matches_in(language_files(spark, sf), extraction.SYMBOL_RULES)
     return extraction.symbols_of(matches).select("file_id", "type", "name", F.col("line_start").alias("line"))
 
 
@@ -75,16 +78,17 @@ def scope_files(spark, sf):
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.array_join(F.transform(numbers, lambda i: F.replace(F.lit(SCOPES_PAIR), F.lit("@I"), i.cast("string"))), "")
     content = F.replace(F.concat(F.lit(SCOPES_HEAD), pairs, F.lit(SCOPES_TAIL)), F.lit("@K"), key)
-    return read_table(spark, sf, "customer").select(key.alias("file_id"), F.lit("typescript").alias("language"), content.alias("content"))
+    customers = dealt(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return customers.select(key.alias("file_id"), F.lit("typescript").alias("language"), content.alias("content"))
 
 
 def scope_symbols(spark, sf):
-    matches = extraction.find_matches(scope_files(spark, sf), extraction.SYMBOL_RULES)
+    matches = matches_in(scope_files(spark, sf), extraction.SYMBOL_RULES)
     return extraction.symbols_of(matches).select("file_id", "name", "type", "line_start", "line_end", "signature")
 
 
 def scope_members(spark, sf):
-    matches = extraction.find_matches(scope_files(spark, sf), (*extraction.SYMBOL_RULES, *extraction.PROPERTY_RULES))
+    matches = matches_in(scope_files(spark, sf), (*extraction.SYMBOL_RULES, *extraction.PROPERTY_RULES))
     symbols = extraction.symbols_of(matches)
     merged = extraction.with_members(symbols, extraction.class_members(matches, symbols))
     parts = [F.get_json_object("metadata", f"$.{part}").alias(part) for part in ("methods", "properties", "members")]

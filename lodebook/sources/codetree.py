@@ -65,10 +65,20 @@ KEYS = {
 }
 
 
+FILES_PER_TASK = 50_000
+
+
+def dealt(rows: DataFrame, key: str, files: int = 1) -> DataFrame:
+    """Narrow rows, of which each becomes `files` files, dealt out by key: a small table would stay in one task, and a
+    fixed number of tasks would grow with the input."""
+    tasks = -(-rows.count() * files // FILES_PER_TASK)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, tasks), key)
+
+
 def keys_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The few narrow columns that contents are made from, dealt out before the contents exist."""
     columns = KEYS[table]
-    return read_table(spark, folder, table).select(*columns).repartition(spark.sparkContext.defaultParallelism, columns[0])
+    return dealt(read_table(spark, folder, table).select(*columns), columns[0])
 
 
 def _file(table: DataFrame, path: Column, content: Column, language: str) -> DataFrame:
