@@ -55,12 +55,23 @@ def authors(spark, sf):
     return history.authors(order_commits(spark, sf))
 
 
+LINES_PER_TASK = 500_000
+
+
 def first_last_seen(spark, sf):
-    """Per file: commits, authors, first and last change, in one aggregation."""
-    commits = _changes(spark, sf).select("path", "hash", "author", "date").distinct()
-    return commits.groupBy("path").agg(
-        F.count(F.lit(1)).alias("total_commits"), F.countDistinct("author").alias("unique_authors"),
-        F.min("date").cast("date").alias("first_seen"), F.max("date").cast("date").alias("last_modified"))
+    """Per file: commits, authors, first and last change, in one aggregation.
+
+    Lines and orders are made distinct where they meet, in as many tasks as the lines ask for, so that the memory of a task
+    does not grow with the tables.
+    """
+    lines = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("path"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_PER_TASK))
+    commits = lines.repartition(tasks, "hash").distinct().join(order_commits(spark, sf).repartition(tasks, "hash").distinct(), "hash")
+    per_author = commits.groupBy("path", "author").agg(
+        F.count(F.lit(1)).alias("commits"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return per_author.repartition(tasks, "path").groupBy("path").agg(
+        F.sum("commits").alias("total_commits"), F.count("author").alias("unique_authors"),
+        F.min("first").cast("date").alias("first_seen"), F.max("last").cast("date").alias("last_modified"))
 
 
 def history_summary(spark, sf):
