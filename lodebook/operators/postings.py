@@ -1,17 +1,18 @@
 """The inverted index: one row per (term, document, field) with the positions of the term.
 
-Rows are laid out by term bucket and sorted by term, so a query reads the buckets of its
-own words only. A common word is spread over several files of its bucket.
+Each task writes the rows of the documents that it reads in long runs sorted by term, so that
+nothing is shuffled and a query skips, by the bounds of the pages, all but the stretches with its
+own words. A common word is spread over the files of all tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +21,8 @@ from lodebook.functions.match import Match, match_of
 from lodebook.operators.search import FILE_COLUMNS
 from lodebook.session import ship_package
 
-TOKENS_PER_FILE = 50_000_000
-GROUP_ROWS = 500
-
-
-def layout(total_length: int) -> tuple[int, int]:
-    """(buckets, files per bucket) for a corpus of so many tokens: both grow with it, buckets by the root."""
-    buckets = max(4, math.isqrt(total_length // 500))
-    return buckets, max(1, -(-total_length // (buckets * TOKENS_PER_FILE)))
-
-
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+RUN_TOKENS = 2_000_000  # a run of documents that are sorted together
+ROWS_OUT = 50_000
 
 
 def _field_tokens(columns: tuple) -> list[Column]:
@@ -44,7 +35,7 @@ def document_length(columns: tuple = FILE_COLUMNS) -> Column:
 
 
 def build(table: DataFrame, key: str = "file_id", columns: tuple = FILE_COLUMNS, carry: tuple = ()) -> DataFrame:
-    """term, key, carry, field, positions, doc_length. Narrow: a document's words are grouped where it is read."""
+    """term, key, carry, field, positions, doc_length, in runs sorted by term. Narrow: words are grouped where they are read."""
     ship_package(table.sparkSession)
     source = table.select(key, *carry, F.array(*_field_tokens(columns)).alias("fields"))
     kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (key, *carry))
@@ -53,41 +44,44 @@ def build(table: DataFrame, key: str = "file_id", columns: tuple = FILE_COLUMNS,
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, GROUP_ROWS):
-                part = batch.slice(start, GROUP_ROWS)
+            tokens = np.diff(batch.column(batch.num_columns - 1).flatten().offsets.to_numpy()).reshape(-1, width).sum(1)
+            run = np.cumsum(tokens) // RUN_TOKENS
+            bounds = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(bounds, bounds[1:]):
+                part = batch.slice(start, stop - start)
                 lists = part.column(part.num_columns - 1).flatten()
                 sizes = np.diff(lists.offsets.to_numpy())
                 words = lists.flatten().dictionary_encode()
                 if not len(words):
                     continue
+                ranks = pc.sort_indices(words.dictionary).to_numpy()  # in the order of bytes
+                rank_of = np.empty(len(ranks), np.int64)
+                rank_of[ranks] = np.arange(len(ranks))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 position = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                code = owner * np.int64(len(words.dictionary)) + words.indices.to_numpy()
+                code = rank_of[words.indices.to_numpy()] * np.int64(len(sizes)) + owner
                 order = np.argsort(code, kind="stable")
                 code = code[order]
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                term, place = code[first] % len(words.dictionary), code[first] // len(words.dictionary)
-                row = pa.array(place // width)
-                lengths = sizes.reshape(-1, width).sum(1)
-                positions = pa.ListArray.from_arrays(
-                    pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [words.dictionary.take(pa.array(term)), *(part.column(i).take(row) for i in range(1 + len(carry))),
-                     pa.array((place % width).astype(np.int32)), positions, pa.array(lengths[place // width].astype(np.int64))], names)
+                term, place = ranks[code[first] // len(sizes)], code[first] % len(sizes)
+                row, field = place // width, (place % width).astype(np.int32)
+                lengths = sizes.reshape(-1, width).sum(1)[row].astype(np.int64)
+                ends = np.append(first, len(code))
+                position = position[order].astype(np.int32)
+                for at in range(0, len(first), ROWS_OUT):
+                    some, edge = slice(at, at + ROWS_OUT), ends[at:at + ROWS_OUT + 1]
+                    positions = pa.ListArray.from_arrays(
+                        pa.array((edge - edge[0]).astype(np.int32)), pa.array(position[edge[0]:edge[-1]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [words.dictionary.take(pa.array(term[some])), *(part.column(i).take(pa.array(row[some])) for i in range(1 + len(carry))),
+                         pa.array(field[some]), positions, pa.array(lengths[some])], names)
 
     return source.mapInArrow(group, f"term string, {kept}, field int, positions array<int>, doc_length long")
 
 
-def write(postings: DataFrame, path: str, total_length: int, key: str = "file_id") -> None:
-    """Partitioned by bucket; each bucket in files small enough for one task to sort."""
-    buckets, pieces = layout(total_length)
-    placed = postings.drop("bucket").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    piece = F.pmod(F.xxhash64(key), F.lit(pieces))
-    (
-        placed.repartition(buckets * pieces, "bucket", piece)
-        .sortWithinPartitions("bucket", "term")
-        .write.partitionBy("bucket").parquet(path)
-    )
+def write(postings: DataFrame, path: str, ordered: bool = True) -> None:
+    """Each task writes its own rows; unless they are `ordered` in runs, as `build` gives them, it sorts them by term."""
+    (postings if ordered else postings.sortWithinPartitions("term")).write.parquet(path)
 
 
 def _occurrences(at: Column, phrase: tuple[str, ...]) -> Column:
@@ -101,14 +95,9 @@ def _occurrences(at: Column, phrase: tuple[str, ...]) -> Column:
     return F.size(found).cast("long")
 
 
-def hits(postings: DataFrame, match: Match, key: str = "file_id", carry: tuple = (),
-         total_length: int | None = None) -> DataFrame:
-    """key, carry, doc_length and the hits `f0`, `f1`, ... of each phrase, for documents with
-    any word. With `total_length` the postings are read from a bucketed table."""
-    words = match.words()
-    wanted = postings.filter(F.col("term").isin(words))
-    if total_length is not None:
-        wanted = wanted.filter(F.col("bucket").isin(_buckets(postings, words, layout(total_length)[0])))
+def hits(postings: DataFrame, match: Match, key: str = "file_id", carry: tuple = ()) -> DataFrame:
+    """key, carry, doc_length and the hits `f0`, `f1`, ... of each phrase, for documents with any word."""
+    wanted = postings.filter(F.col("term").isin(match.words()))
     names = [f"f{i}" for i in range(len(match.phrases))]
     per_field = wanted.groupBy(key, *carry, "doc_length", "field").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
@@ -117,24 +106,17 @@ def hits(postings: DataFrame, match: Match, key: str = "file_id", carry: tuple =
     return counted.groupBy(key, *carry, "doc_length").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _buckets(postings: DataFrame, words: list[str], buckets: int) -> list[int]:
-    """Buckets of the query's own few words, so that the partition filter is a literal."""
-    row = postings.sparkSession.range(1).select(
-        *[bucket_of(F.lit(w), buckets).alias(f"b{i}") for i, w in enumerate(words)]).first()
-    return sorted(set(row))
-
-
 def ranked(postings: DataFrame, term: str, total, total_length, key: str = "file_id", carry: tuple = (),
-           bucketed: bool = True) -> DataFrame:
+           bucketed: bool = False) -> DataFrame:
     """key, carry and score of every document that matches the term.
 
     `total` documents with `total_length` tokens are the corpus: numbers, or columns such as
-    scalar subqueries when the postings are not a bucketed table.
+    scalar subqueries when the postings are not a stored table. `bucketed` has no effect any more.
     """
     match = match_of(term)
     if match is None:
         raise ValueError(f"nothing to search for in {term!r}")
-    counted = hits(postings, match, key, carry, total_length if bucketed else None)
+    counted = hits(postings, match, key, carry)
     names = [f"f{i}" for i in range(len(match.phrases))]
     seen = counted.agg(F.struct(*[F.sum((F.col(n) > 0).cast("long")).alias(n) for n in names]).alias("seen")).scalar()
     scored = [names[i] for i in match.scored]

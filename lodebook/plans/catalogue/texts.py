@@ -121,11 +121,11 @@ SELECT {KEEP}, round(score, 6) AS score FROM scored {extra} ORDER BY {order}, fi
 
 
 def postings_top10(spark, sf):
-    """The same search from an inverted index that is built, written in buckets and read back first."""
+    """The same search from an inverted index that is built, written in sorted runs and read back first."""
     files = document_files(spark, sf)
     corpus = files.agg(F.count(F.lit(1)).alias("total"), F.sum(postings.document_length()).alias("length")).first()
     path = new_scratch_path(spark, "postings")
-    postings.write(postings.build(files), path, corpus.length)
+    postings.write(postings.build(files), path)
     hits = postings.ranked(spark.read.parquet(path), "the tion OR of_the", corpus.total, corpus.length)
     return hits.orderBy("score", "file_id").limit(10).withColumn("score", F.round("score", 6))
 

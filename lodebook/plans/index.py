@@ -7,6 +7,7 @@ again only where a definition that came or went changes what their name stands f
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,11 @@ from lodebook.operators.search import SYMBOL_COLUMNS
 from lodebook.plans.segments import KEYS, SegmentStore
 
 BYTES_PER_FILE = 256 * 1024 * 1024
+DETAILS = "details"  # imports, exports and structure in `files`
+SYMBOLS = {"symbols", "symbol_postings"}
+CALLS = {"call_graph", "callers"}
+# Tables that an index can do without; `files` and `sizes` are always kept.
+PARTS = {*SYMBOLS, *CALLS, "definitions", "comments", "postings", "grams", DETAILS}
 
 
 @dataclass
@@ -62,7 +68,14 @@ def merge_metadata(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 
 class Index:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, only: Iterable[str] | None = None):
+        """`only` names the PARTS that the first build begins with and every later one keeps up; by default all.
+
+        Of `files` in an index without details imports, exports and structure are empty; without symbols there are none in `sizes`.
+        """
+        if only is not None and not set(only) <= PARTS:
+            raise ValueError(f"no parts of an index: {sorted(set(only) - PARTS)}")
+        self.only = None if only is None else {*only, *(["definitions"] if "call_graph" in only else [])}
         self.spark = spark
         self.store = SegmentStore(spark, folder)
         self.folder = self.store.folder
@@ -76,6 +89,15 @@ class Index:
     def version(self) -> str | None:
         return self.store.version()
 
+    def parts(self, version: str | None = None) -> set[str]:
+        """The parts that this index keeps."""
+        version = version or self.version()
+        kept = self.only if version is None else self.store.manifest(version).get("parts")
+        kept = PARTS if kept is None else set(kept)
+        if self.only is not None and kept != self.only:
+            raise ValueError(f"the index has other parts: {sorted(kept)}")
+        return kept
+
     def table(self, name: str, version: str | None = None) -> DataFrame:
         return self.store.live(name, version or self.version()).drop("segment")
 
@@ -113,44 +135,63 @@ class Index:
         started = time.time()
         store, old = self.store, self.version()
         manifest = store.manifest(old)
-        segment = store.new_segment()
+        segment, parts = store.new_segment(), self.parts(old)
 
         live_files = store.live("files", old).select("path", "file_id", "hash", "error", "segment")
         if not whole:
             live_files = live_files.join(scanned.select("path"), "path", "left_semi")
-        state = store.work("state", segment, compare(scanned, live_files.drop("segment", "file_id"), force))
-        touched = state.filter(F.col("state").isin("new", "changed")).select("path")
-        gone = state.filter(F.col("state").isin("changed", "deleted")).select("path")
-        dead = live_files.join(gone, "path").select("file_id", F.col("segment").alias("of"))
-        if old is not None:
-            dead = store.save("dead_files", segment, dead)
         unreadable = scanned.filter("error IS NOT NULL").count() if "error" in scanned.columns else 0
-        if state.filter("state NOT IN ('unchanged', 'unreadable')").isEmpty():
+        if old is None:
+            dead = live_files.select("file_id", F.col("segment").alias("of"))
+            fresh = scanned.filter("error IS NULL") if "error" in scanned.columns else scanned
+            fresh = fresh.drop("error").filter("path IS NOT NULL")
+            nothing = fresh.isEmpty()
+        else:
+            state = store.work("state", segment, compare(scanned, live_files.drop("segment", "file_id"), force))
+            gone = state.filter(F.col("state").isin("changed", "deleted")).select("path")
+            dead = store.save("dead_files", segment, live_files.join(gone, "path").select("file_id", F.col("segment").alias("of")))
+            # Stored, so that its size is known: where few files changed no text is shuffled to find them.
+            touched = store.work("touched", segment, state.filter(F.col("state").isin("new", "changed")).select("path"))
+            fresh = scanned.drop("error").join(touched, "path", "left_semi")
+            nothing = state.filter("state NOT IN ('unchanged', 'unreadable')").isEmpty()
+        if nothing:
             store.forget(segment)
             return BuildReport(0, 0, 0, unreadable, int((time.time() - started) * 1000))
 
-        fresh = scanned.drop("error").join(touched, "path", "left_semi").withColumn("file_id", F.md5("path"))
-        matches = store.work("matches", segment, extraction.find_matches(fresh))
-        plain = store.work("plain_symbols", segment, extraction.symbols_of(matches))
-        calls = store.work("calls", segment, resolve.callers_of(extraction.calls_of(matches), plain))
-        rows = {"symbols": plain.count(), "callers": calls.count()}
-        rows["definitions"] = rows["symbols"]
-        symbols = store.save(
-            "symbols", segment, extraction.with_members(plain, extraction.class_members(matches, plain)), rows["symbols"])
-        store.save("comments", segment, extraction.comments_of(matches))
+        fresh = fresh.withColumn("file_id", F.md5("path"))
+        matches = plain = symbols = calls = own = None
+        rows, again = dict.fromkeys(KEYS, 0), {}
+        kinds = _kinds_of(parts)
+        if kinds is None or kinds:
+            matches = store.work("matches", segment, extraction.find_matches(fresh, kinds))
+        if parts & {*SYMBOLS, *CALLS, "definitions", DETAILS}:
+            plain = store.work("plain_symbols", segment, extraction.symbols_of(matches))
+            rows["symbols"] = rows["definitions"] = plain.count()
+        if parts & SYMBOLS:
+            symbols = extraction.with_members(plain, extraction.class_members(matches, plain))
+            symbols = store.save("symbols", segment, symbols, rows["symbols"]) if "symbols" in parts else store.work("symbols", segment, symbols)
+        if "comments" in parts:
+            store.save("comments", segment, extraction.comments_of(matches))
         size = int(fresh.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-        files = self._save_files(segment, size, fresh, matches, plain)
-        store.save_grams(segment, files, size)
-        own = store.save("definitions", segment, resolve.definitions_of(plain), rows["definitions"])
-        names = plain.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
-        store.save("callers", segment, calls.join(names, "caller_symbol_id").select(
-            "caller", F.col("callee_name").alias("callee"), "file_id").distinct(), rows["callers"])
-        again, rows["call_graph"] = self._save_edges(segment, old, dead, own, calls, rows["callers"])
-        length = postings.document_length(SYMBOL_COLUMNS)
-        per_file = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.sum(length).alias("symbol_tokens"))
-        sizes = store.save("sizes", segment, files.select("file_id", "index_tokens").join(per_file, "file_id", "left").fillna(0))
+        files = self._save_files(segment, size, fresh, matches, plain if DETAILS in parts else None)
+        if "grams" in parts:
+            store.save_grams(segment, files, size)
+        if "definitions" in parts:
+            own = store.save("definitions", segment, resolve.definitions_of(plain), rows["definitions"])
+        if parts & CALLS:
+            calls = store.work("calls", segment, resolve.callers_of(extraction.calls_of(matches), plain))
+            rows["callers"] = calls.count()
+        if "callers" in parts:
+            names = plain.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
+            store.save("callers", segment, calls.join(names, "caller_symbol_id").select(
+                "caller", F.col("callee_name").alias("callee"), "file_id").distinct(), rows["callers"])
+        if "call_graph" in parts:
+            again, rows["call_graph"] = self._save_edges(segment, old, dead, own, calls, rows["callers"])
+        sizes = store.save("sizes", segment, _sizes_of(files, symbols))
         totals = _totals(sizes)
-        store.save_postings(segment, postings.build(files), postings.build(symbols, "symbol_id", SYMBOL_COLUMNS, carry=("name",)), totals)
+        store.save_postings(
+            segment, postings.build(files) if "postings" in parts else None,
+            postings.build(symbols, "symbol_id", SYMBOL_COLUMNS, carry=("name",)) if "symbol_postings" in parts else None)
 
         done = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("error")).first()
         gone = _per_segment(dead) if old is not None else {}
@@ -160,21 +201,26 @@ class Index:
                     "dead_edges": s["dead_edges"] + again.get(s["id"], 0)} for s in manifest["segments"]]
         entries.append(store.entry(segment, totals, size, rows, [n for n, c in (("dead_files", gone), ("dead_edges", again)) if c]))
         corpus = {kind: [manifest["corpus"][kind][i] + totals[kind][i] - lost[kind][i] for i in (0, 1)] for kind in totals}
-        store.commit(old, {"segments": entries, "corpus": corpus})
+        store.commit(old, {"segments": entries, "corpus": corpus, **({} if parts == PARTS else {"parts": sorted(parts)})})
         store.delete(f"work/{segment}")
         self.compact()
         return BuildReport(
             files_indexed=done[0] - done[2], symbols_extracted=totals["symbols"][0], total_tokens=done[1],
             errors=done[2] + unreadable, time_ms=int((time.time() - started) * 1000))
 
-    def _save_files(self, segment: str, size: int, fresh: DataFrame, matches: DataFrame, symbols: DataFrame) -> DataFrame:
-        details = (
-            extraction.imports_exports_of(matches)
-            .join(extraction.structure_of(symbols), "file_id", "full")
-            .join(matches.filter(F.col("kind") == "error").select("file_id", "error"), "file_id", "full")
-        )
+    def _save_files(self, segment: str, size: int, fresh: DataFrame, matches: DataFrame | None, symbols: DataFrame | None) -> DataFrame:
         none = F.array().cast("array<string>")
-        new = fresh.join(details, "file_id", "left").select(
+        if matches is None:
+            found = fresh.withColumn("error", F.lit(None).cast("string"))
+        else:
+            details = self.store.work("errors", segment, matches.filter(F.col("kind") == "error").select("file_id", "error"))
+            if symbols is not None:
+                details = extraction.imports_exports_of(matches).join(
+                    extraction.structure_of(symbols), "file_id", "full").join(details, "file_id", "full")
+            found = fresh.join(details, "file_id", "left")
+        if symbols is None:
+            found = found.withColumns({"imports": none, "exports": none, "structure": F.lit(None).cast(schema.STRUCTURE)})
+        new = found.select(
             "file_id", "path", "relative_path", "content", "hash", "size", "language", "last_modified",
             F.current_timestamp().alias("indexed_at"), text.estimate_tokens(F.col("content")).alias("tokens"),
             postings.document_length().alias("index_tokens"),
@@ -232,14 +278,20 @@ class Index:
             def live(name: str) -> DataFrame:
                 return store.live(name, old, only=chosen).drop("segment")  # noqa: B023
 
+            parts = self.parts(old)
             totals = _totals(store.save("sizes", segment, live("sizes")))
             size = int(live("files").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-            store.save_grams(segment, store.save("files", segment, _in_ranges(live("files"), size)), size)
-            store.save("comments", segment, live("comments"))
+            files = store.save("files", segment, _in_ranges(live("files"), size))
+            if "grams" in parts:
+                store.save_grams(segment, files, size)
+            if "comments" in parts:
+                store.save("comments", segment, live("comments"))
             rows = {name: sum(s["rows"][name] for s in manifest["segments"] if s["id"] in chosen) for name in KEYS}
             for name, count in rows.items():
-                store.save(name, segment, live(name), count)
-            store.save_postings(segment, live("postings"), live("symbol_postings"), totals)
+                if name in parts:
+                    store.save(name, segment, live(name), count)
+            store.save_postings(segment, *(
+                live(name) if name in parts else None for name in ("postings", "symbol_postings")), ordered=False)
             entries = [s for s in manifest["segments"] if s["id"] not in chosen]
             kills = []
             for name in ("dead_files", "dead_edges"):  # of segments that stay
@@ -254,9 +306,35 @@ def _per_segment(dead: DataFrame) -> dict[str, int]:
     return {r.of: r.n for r in dead.groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _kinds_of(parts: set[str]) -> tuple[str, ...] | None:
+    """The kinds of matches that some parts are made from; None stands for all."""
+    if parts == PARTS:
+        return None
+    kinds: dict[str, None] = {}
+    for needed, some in (
+            ({*SYMBOLS, *CALLS, "definitions", DETAILS}, extraction.SYMBOL_RULES), (SYMBOLS, extraction.PROPERTY_RULES),
+            (CALLS, extraction.CALL_RULES), ({"comments"}, ("comment",)), ({DETAILS}, extraction.IMPORT_RULES)):
+        if parts & needed:
+            kinds.update(dict.fromkeys(some))
+    return tuple(kinds)
+
+
+def _sizes_of(files: DataFrame, symbols: DataFrame | None) -> DataFrame:
+    if symbols is None:
+        return files.select("file_id", "index_tokens", F.lit(0).cast("long").alias("symbols"), F.lit(0).cast("long").alias("symbol_tokens"))
+    length = postings.document_length(SYMBOL_COLUMNS)
+    per_file = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.sum(length).alias("symbol_tokens"))
+    return files.select("file_id", "index_tokens").join(per_file, "file_id", "left").fillna(0)
+
+
 def _in_ranges(files: DataFrame, total: int) -> DataFrame:
-    """In ranges of ids, sorted, so that fetching a few files by id skips nearly all of the table."""
-    return files.repartitionByRange(max(1, -(-total // BYTES_PER_FILE)), "file_id").sortWithinPartitions("file_id")
+    """In ranges of ids, sorted, so that fetching a few files by id skips nearly all of the table.
+
+    Ids are hexadecimal digests, so that ranges of equal width are of one size and no sample is read first.
+    """
+    tasks = max(1, -(-total // BYTES_PER_FILE))
+    place = F.floor(F.conv(F.substring("file_id", 1, 6), 16, 10).cast("long") * tasks / 16 ** 6).cast("int")
+    return files.repartitionById(tasks, place).sortWithinPartitions("file_id")
 
 
 def _totals(sizes: DataFrame) -> dict[str, list[int]]:

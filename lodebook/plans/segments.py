@@ -195,20 +195,14 @@ class SegmentStore:
         return self.live(name, version, where=place & F.expr(KEYS[name]).isin(keys)).drop("segment")
 
     def postings(self, name: str, version: str | None, words: list[str]) -> DataFrame:
-        """The live postings of a few words: of every segment only the buckets of these words are read."""
-        kind = "files" if name == "postings" else "symbols"
-        places = []
-        for s in self.manifest(version)["segments"]:
-            buckets = postings.layout(s["tokens"][kind])[0]
-            own = reduce(lambda a, b: a | b, [F.col("bucket") == postings.bucket_of(F.lit(w), buckets) for w in words])
-            places.append((F.col("segment") == s["id"]) & own)
-        rows = self.live(name, version, where=reduce(lambda a, b: a | b, places) if places else F.lit(False))
-        return rows.drop("segment")
-
-    def save_postings(self, segment: str, files: DataFrame, symbols: DataFrame, totals: dict[str, list[int]]) -> None:
-        """Write a segment's postings in buckets whose number follows its own size."""
-        postings.write(files, f"{self.folder}/postings/segment={segment}", totals["files"][1])
-        postings.write(symbols, f"{self.folder}/symbol_postings/segment={segment}", totals["symbols"][1], key="symbol_id")
+        """The live postings of a few words: of every segment only the stretches of these words are read."""
+        return self.live(name, version, where=F.col("term").isin(words)).drop("segment")
+
+    def save_postings(self, segment: str, files: DataFrame | None, symbols: DataFrame | None, ordered: bool = True) -> None:
+        """Write a segment's postings, of files and of symbols if there are any; `ordered` as in `postings.write`."""
+        for name, rows in (("postings", files), ("symbol_postings", symbols)):
+            if rows is not None:
+                postings.write(rows, f"{self.folder}/{name}/segment={segment}", ordered)
 
     def save_grams(self, segment: str, files: DataFrame, size: int) -> None:
         """Write which blocks of a segment's files hold which sequences of bytes."""

@@ -19,10 +19,10 @@ callee_symbol_id string, callee_file_id string, call_type string, line_number in
 """
 COMMENTS = "file_id string, line_number int, comment string"
 POSTINGS = """
-term string, file_id string, field int, positions array<int>, doc_length long, bucket int
+term string, file_id string, field int, positions array<int>, doc_length long
 """
 SYMBOL_POSTINGS = """
-term string, symbol_id string, name string, field int, positions array<int>, doc_length long, bucket int
+term string, symbol_id string, name string, field int, positions array<int>, doc_length long
 """
 # What a name may stand for: per file the first symbol of that name or last part of a name.
 DEFINITIONS = "name string, file_id string, rank decimal(23,0)"
