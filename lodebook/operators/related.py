@@ -59,9 +59,10 @@ def import_targets(imports: DataFrame, files: DataFrame, per_import: int = 5) ->
         _pieces(F.col("lowered"), n) if n else F.array(F.lit("")) for n in sizes or [PIECE]])).alias("piece"))
     held = found.join(asked.select("piece").distinct(), "piece", "left_semi")
     counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, "piece", "left").groupBy("import", "needle").agg(
-        F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    # Stored, so that its size is known: where imports are few the paths stay in the tasks that read them.
+    rarest = materialize(asked.join(counts, "piece", "left").groupBy("import", "needle").agg(
+        F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece")), "rarest")
     pattern = F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    hits = held.join(rarest, "piece").filter(F.like(F.col("lowered"), pattern))
+    hits = found.join(rarest, "piece").filter(F.like(F.col("lowered"), pattern))
     rank = F.row_number().over(Window.partitionBy("import").orderBy("file_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= per_import).select("import", "file_id", "relative_path", "rank")
