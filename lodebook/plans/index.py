@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodebook import schema
 from lodebook.functions import text
-from lodebook.operators import extraction, postings, resolve
+from lodebook.operators import extraction, postings, ranges, resolve
 from lodebook.operators.search import SYMBOL_COLUMNS
 from lodebook.plans.segments import KEYS, SegmentStore
 
@@ -168,7 +168,8 @@ class Index:
             plain = store.work("plain_symbols", segment, extraction.symbols_of(matches))
             rows["symbols"] = rows["definitions"] = plain.count()
         if parts & SYMBOLS:
-            symbols = extraction.with_members(plain, extraction.class_members(matches, plain))
+            tasks = ranges.tasks_for(plain, matches.count())
+            symbols = extraction.with_members(plain, extraction.class_members(matches, plain, tasks), tasks)
             symbols = store.save("symbols", segment, symbols, rows["symbols"]) if "symbols" in parts else store.work("symbols", segment, symbols)
         if "comments" in parts:
             store.save("comments", segment, extraction.comments_of(matches))
@@ -211,7 +212,7 @@ class Index:
     def _save_files(self, segment: str, size: int, fresh: DataFrame, matches: DataFrame | None, symbols: DataFrame | None) -> DataFrame:
         none = F.array().cast("array<string>")
         if matches is None:
-            found = fresh.withColumn("error", F.lit(None).cast("string"))
+            found = fresh.withColumn("error", F.when(F.col("content").isNull(), F.lit("no text")))  # as extraction reports it
         else:
             details = self.store.work("errors", segment, matches.filter(F.col("kind") == "error").select("file_id", "error"))
             if symbols is not None:
