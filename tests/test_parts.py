@@ -104,3 +104,15 @@ def test_members_of_many_matches_are_spread_over_more_tasks(spark, monkeypatch):
     tasks = ranges.tasks_for(matches, matches.count())
     assert tasks == matches.count() > 8
     assert members(tasks)[0] == members(None)[0] and members(tasks)[1] == tasks
+
+
+def test_files_without_text_are_treated_alike(spark, tmp_path):
+    def corpus(folder, only):
+        index = Index(spark, str(tmp_path / folder), only=only)
+        files = scan(spark, {"a.txt": "one two", "b.txt": "three"})
+        none = files.filter("path = 'b.txt'").withColumns({"path": F.lit("n.txt"), "content": F.lit(None).cast("string"), "hash": F.lit(None).cast("string")})
+        for more in (files, files.filter("path = 'a.txt'").withColumn("hash", F.lit("x"))):
+            index.build(more.unionByName(none))
+        return index.corpus("files")
+
+    assert corpus("postings", ("postings",)) == corpus("whole", None)
