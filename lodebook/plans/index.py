@@ -23,6 +23,7 @@ BYTES_PER_FILE = 256 * 1024 * 1024
 DETAILS = "details"  # imports, exports and structure in `files`
 SYMBOLS = {"symbols", "symbol_postings"}
 CALLS = {"call_graph", "callers"}
+PLACES = ("symbol_id", "file_id", "name", "line_start", "line_end")  # of a symbol, all that calls and definitions need
 # Tables that an index can do without; `files` and `sizes` are always kept.
 PARTS = {*SYMBOLS, *CALLS, "definitions", "comments", "postings", "grams", DETAILS}
 
@@ -165,7 +166,8 @@ class Index:
         if kinds is None or kinds:
             matches = store.work("matches", segment, extraction.find_matches(fresh, kinds))
         if parts & {*SYMBOLS, *CALLS, "definitions", DETAILS}:
-            plain = store.work("plain_symbols", segment, extraction.symbols_of(matches))
+            found = extraction.symbols_of(matches)
+            plain = store.work("plain_symbols", segment, found if parts & {*SYMBOLS, DETAILS} else found.select(*PLACES))
             rows["symbols"] = rows["definitions"] = plain.count()
         if parts & SYMBOLS:
             tasks = ranges.tasks_for(plain, matches.count())
@@ -180,11 +182,11 @@ class Index:
         if "definitions" in parts:
             own = store.save("definitions", segment, resolve.definitions_of(plain), rows["definitions"])
         if parts & CALLS:
-            calls = store.work("calls", segment, resolve.callers_of(extraction.calls_of(matches), plain))
+            calls = store.work("calls", segment, resolve.calls_in_place(extraction.calls_of(matches), plain, own))
             rows["callers"] = calls.count()
         if "callers" in parts:
-            names = plain.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
-            store.save("callers", segment, calls.join(names, "caller_symbol_id").select(
+            names = plain.select("file_id", extraction.order_text("symbol_id").alias("caller_order"), F.col("name").alias("caller"))
+            store.save("callers", segment, calls.join(names, ["file_id", "caller_order"]).select(
                 "caller", F.col("callee_name").alias("callee"), "file_id").distinct(), rows["callers"])
         if "call_graph" in parts:
             again, rows["call_graph"] = self._save_edges(segment, old, dead, own, calls, rows["callers"])
@@ -249,18 +251,19 @@ class Index:
                 dead.withColumn("dead", F.lit(True)), ["file_id", "segment"], "left").drop("segment"))
             stay = around.filter("dead IS NULL").drop("dead").unionByName(own)
             winners = store.work("winners", segment, resolve.winners_of(stay))
-            changed = resolve.changed_names(resolve.winners_of(around.drop("dead")), winners)
-            kept = store.live("call_graph", old).join(
-                dead.withColumnRenamed("file_id", "caller_file_id"), ["caller_file_id", "segment"], "left_anti")
-            concerned = store.work("moved", segment, resolve.edges_to_resolve(kept, changed))
+            # Stored, so that its size is known: where few names changed no edge is shuffled to find those that lead to them.
+            changed = store.work("changed", segment, resolve.changed_names(resolve.winners_of(around.drop("dead")), winners))
+            concerned = store.work("moved", segment, resolve.edges_to_resolve(store.live("call_graph", old), changed).join(
+                dead.withColumnRenamed("file_id", "caller_file_id"), ["caller_file_id", "segment"], "left_anti"))
             moved = _per_segment(concerned.withColumnRenamed("segment", "of"))
             if moved:
                 store.save("dead_edges", segment, concerned.select("call_id", F.col("segment").alias("of")))
-                # Their files do not define the name, so that `own`, which has the new files only, finds nothing for them.
-                edges = calls.unionByName(concerned.withColumnRenamed("caller_file_id", "file_id").select(*calls.columns))
+                # Their files do not define the name, so that they have no rank of their own.
+                edges = calls.unionByName(concerned.select(
+                    F.col("caller_file_id").alias("file_id"), extraction.order_text("call_id").alias("call_order"), "callee_name", "call_type",
+                    "line_number", "column_number", extraction.order_text("caller_symbol_id").alias("caller_order")), allowMissingColumns=True)
         count = new + sum(moved.values())
-        resolved = resolve.resolve_calls(edges, own, winners)
-        store.save("call_graph", segment, resolved.withColumnRenamed("file_id", "caller_file_id"), count)
+        store.save("call_graph", segment, resolve.resolve_in_place(edges, winners), count, resolve.edge_columns())
         return moved, count
 
     # -- upkeep -------------------------------------------------------------------

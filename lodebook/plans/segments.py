@@ -32,6 +32,7 @@ OWNER = {
 # What rows are found by: such tables lie in buckets of this key, sorted by it.
 KEYS = {"symbols": "file_id", "definitions": "name", "callers": "caller", "call_graph": "substring_index(callee_name, '.', -1)"}
 BUCKET_ROWS = 1000  # buckets grow with the root of the rows: n rows make sqrt(n / 1000) of them
+CODEC = "zstd"  # ids are hexadecimal digests, which only a codec with entropy coding makes smaller
 FANOUT = 8  # segments of one size class that are merged into one
 MOST_RANGES = 200  # blocks that a scan gets as literal ranges; more are joined
 LEAST_TOKENS = 1_000_000  # smaller segments are one size class
@@ -127,23 +128,26 @@ class SegmentStore:
     def columns(name: str) -> list[str]:
         return StructType.fromDDL(schema.TABLES[name]).names
 
-    def save(self, name: str, segment: str, rows: DataFrame, count: int = 0) -> DataFrame:
+    def save(self, name: str, segment: str, rows: DataFrame, count: int = 0, late: dict[str, Column] | None = None) -> DataFrame:
         """Write the rows of a segment's table, and read them back. `count` rows decide the buckets of a table with a key.
 
-        Adaptive execution splits a bucket that a very common key has filled over several tasks and files.
+        Adaptive execution splits a bucket that a very common key has filled over several tasks and files. `late` columns
+        are made from others where the rows are written, so that they are not shuffled.
         """
-        path, rows = f"{self.folder}/{name}/segment={segment}", rows.select(*self.columns(name))
+        path, columns = f"{self.folder}/{name}/segment={segment}", self.columns(name)
         if name in KEYS:
+            rows = rows if late else rows.select(*columns)
             placed = rows.withColumn("bucket", bucket_of(F.expr(KEYS[name]), count)).withColumn("key", F.expr(KEYS[name]))
-            placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").drop("key").write.partitionBy("bucket").parquet(path)
+            ordered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
+            ordered.withColumns(late or {}).select(*columns, "bucket").write.option("compression", CODEC).partitionBy("bucket").parquet(path)
         else:
-            rows.write.parquet(path)
+            rows.withColumns(late or {}).select(*columns).write.option("compression", CODEC).parquet(path)
         return self.read(name, [segment]).select(*self.columns(name))
 
     def work(self, name: str, segment: str, rows: DataFrame) -> DataFrame:
         """Write an intermediate table of a change, and read it back."""
         path = f"{self.folder}/work/{segment}/{name}"
-        rows.write.parquet(path)
+        rows.write.option("compression", CODEC).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def read(self, name: str, segments: list[str]) -> DataFrame:
