@@ -180,11 +180,15 @@ class SegmentStore:
             return scan(clean)
         rows = scan(dirty).withColumn("owner", F.expr(OWNER[name]))
         dead = self.read("dead_files", self.with_kills(self.manifest(version), "dead_files")).select(F.col("file_id").alias("owner"), F.col("of").alias("segment"))
-        rows = rows.join(dead, ["owner", "segment"], "left_anti").drop("owner")
         if edges:
+            # Looked up by file together with the dead files, so that edges are shuffled once and by their file.
             replaced = self.read("dead_edges", self.with_kills(self.manifest(version), "dead_edges")).select(
-                "call_id", F.col("of").alias("segment"))
-            rows = rows.join(replaced, ["call_id", "segment"], "left_anti")
+                F.substring_index("call_id", "#", 1).alias("dead_owner"), F.col("of").alias("dead_segment"), F.col("call_id").alias("dead_call"))
+            gone = dead.select(F.col("owner").alias("dead_owner"), F.col("segment").alias("dead_segment"), F.lit(None).cast("string").alias("dead_call")).unionByName(replaced)
+            rows = rows.join(gone, (F.col("owner") == F.col("dead_owner")) & (F.col("segment") == F.col("dead_segment"))
+                             & (F.col("dead_call").isNull() | (F.col("dead_call") == F.col("call_id"))), "left_anti")
+        else:
+            rows = rows.join(dead, ["owner", "segment"], "left_anti")
         return scan(clean).unionByName(rows.select(*columns)) if clean else rows.select(*columns)
 
     def lookup(self, name: str, version: str | None, keys: list[str]) -> DataFrame:

@@ -49,3 +49,16 @@ def test_calls_are_resolved_in_their_file_first(spark):
     assert {r.callee_name for r in placed.filter("own_rank IS NOT NULL").collect()} == {"x.load", "run", "load", "q.run"}
     bare = resolve.calls_in_place(calls, symbols)
     assert rows(bare) == rows(placed.withColumn("own_rank", F.lit(None).cast("decimal(23,0)")).select(*bare.columns))
+
+
+def test_live_edges_lose_dead_rows_by_one_join(spark, tmp_path):
+    files = {f"{a}.py": f"def {a}():\n    return {b}() + {c}()\n" for a, b, c in ("pqr", "qrp", "rpp")}
+    index, fresh = Index(spark, str(tmp_path), only=("call_graph",)), Index(spark, str(tmp_path / "fresh"), only=("call_graph",))
+    index.build(scan(spark, files))
+    files["p.py"] = "def other():\n    return q()\n"
+    for one in (index, fresh):
+        one.build(scan(spark, files))
+    edges = index.table("call_graph")
+    assert rows(edges) == rows(fresh.table("call_graph")) != []
+    assert any(s["dead_edges"] for s in index.store.manifest(index.version())["segments"])
+    assert plan_of(edges).count("LeftAnti") == 1
