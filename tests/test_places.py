@@ -36,6 +36,15 @@ def test_stretches_do_not_overlap(spark):
     assert found[0][0] == 0 and found[-1][1] == 600
 
 
+def test_caller_names_of_every_call(spark):
+    calls, symbols = tables(spark)
+    expected = calls.join(resolve.caller_names(calls, symbols), ["file_id", "line_number"], "left").select(
+        "file_id", "line_number", "callee_name", "call_id", "caller")
+    found = resolve.caller_names(calls, symbols, ["callee_name", "call_id"])
+    assert rows(found) == rows(expected) and any(r.caller is None for r in found.collect())
+    assert plan_of(found).count("Join") == 1
+
+
 def test_calls_are_resolved_in_their_file_first(spark):
     calls, symbols = tables(spark)
     calls, symbols = calls.distinct(), symbols.distinct()
@@ -62,3 +71,30 @@ def test_live_edges_lose_dead_rows_by_one_join(spark, tmp_path):
     assert rows(edges) == rows(fresh.table("call_graph")) != []
     assert any(s["dead_edges"] for s in index.store.manifest(index.version())["segments"])
     assert plan_of(edges).count("LeftAnti") == 1
+
+
+def test_files_without_what_a_rule_needs_are_not_searched():
+    texts = ["def f(a):\n  return new G(a).h(1)\n", "const a = (x) => y\ntype T = { b: 1 }\nexport default a", "f = lambda x: x.y\n", "plain words", ""]
+    wanted = {rule for group in rules.rules_by_language().values() for rule in group if rule.needs}
+    assert {"lambda", "def", "(", "=>", "new"} <= {rule.needs for rule in wanted}
+
+    class Never:
+        def finditer(self, text):
+            raise AssertionError("searched")
+
+    for language in ("python", "typescript", "go", ""):
+        for text in texts:
+            compiled = extraction.compiled_rules(language)
+            found = extraction.file_matches("f", language, text, compiled)
+            guarded = [(i, rule, Never() if rule.needs and rule.needs not in (extraction.mask_js(text)[0] if rule.masked else text) else regex) for i, rule, regex in compiled]
+            assert extraction.file_matches("f", language, text, guarded) == found
+            everything = [(i, rule._replace(needs=""), regex) for i, rule, regex in compiled]
+            assert extraction.file_matches("f", language, text, everything) == found
+
+
+def test_filled_is_format_string(spark):
+    table = spark.createDataFrame([(1, -2, "O"), (None, 10 ** 12, None), (7, None, "%1$d")], "o_custkey long, o_orderkey long, o_orderstatus string")
+    names = ("o_custkey", "o_orderkey", "o_orderstatus")
+    filled = codetree.filled(codetree.PYTHON_FILE, *names)
+    assert "format_string" not in plan_of(table.select(filled))
+    assert table.filter(filled.eqNullSafe(F.format_string(codetree.PYTHON_FILE, *names))).count() == 3
