@@ -92,6 +92,13 @@ def test_files_without_what_a_rule_needs_are_not_searched():
             assert extraction.file_matches("f", language, text, everything) == found
 
 
+def test_definitions_are_found_once_for_all_calls(spark):
+    calls, symbols = tables(spark)
+    plan = plan_of(resolve.resolved_names(calls, symbols))
+    assert "Union" not in plan and "decimal" not in plan
+    assert number(3) == symbols.select(extraction.order_text("symbol_id").alias("n")).agg(F.max("n")).first()[0]
+
+
 def test_filled_is_format_string(spark):
     table = spark.createDataFrame([(1, -2, "O"), (None, 10 ** 12, None), (7, None, "%1$d")], "o_custkey long, o_orderkey long, o_orderstatus string")
     names = ("o_custkey", "o_orderkey", "o_orderstatus")
